@@ -55,3 +55,10 @@ def words(text: Column) -> Column:
 def crc32_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as decimal text, modulo n: the fixed rule for held-out rows."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
+
+
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer file; executors have the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

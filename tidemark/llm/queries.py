@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
-from tidemark.llm.common import documents
+from tidemark.llm import exact, packing, simhash
+from tidemark.llm.common import documents, tokenizer_path
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +14,30 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLE: dict[str, str] = {}
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.classes(documents(spark, sf_dir))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), length=4096, end_id=1)
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op8_packing": op8_packing,
+}
+ORACLE = {
+    "op2_exact_dedup": r"""
+        WITH n AS (
+            SELECT doc_id, length(coalesce(text, '')) AS n_chars,
+                   sha256(regexp_replace(coalesce(text, ''), '[ \t\n\v\f\r]+', '', 'g')) AS text_sha256
+            FROM documents),
+        k AS (
+            SELECT doc_id, text_sha256,
+                   first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id) AS keep_id,
+                   count(*) OVER (PARTITION BY text_sha256) AS group_size
+            FROM n)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k""",
+}
