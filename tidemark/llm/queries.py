@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, packing, simhash
+from tidemark.llm import exact, packing, quality, simhash, store
 from tidemark.llm.common import documents, tokenizer_path
 
 
@@ -19,14 +19,26 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judged(documents(spark, sf_dir)).select(*names)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), length=4096, end_id=1)
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = store.TokenStore(spark).write(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return made.read_back()
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_quality": op4_quality,
     "op8_packing": op8_packing,
+    "op9_token_store": op9_token_store,
 }
 ORACLE = {
     "op2_exact_dedup": r"""
