@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, packing, quality, simhash, store
+from tidemark.llm import exact, packing, pii, quality, simhash, store
 from tidemark.llm.common import documents, tokenizer_path
 
 
@@ -24,6 +24,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir)).select(*names)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = pii.found_spans(docs, pii.learn(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    ranks = F.transform(base, lambda s: s["rank"])
+    counts = [F.size(F.filter(ranks, F.lit(k).__eq__)).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(4)]
+    listed = F.sha2(pii.span_list(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, listed, pii.span_list(F.col("spans")).alias("spans"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), length=4096, end_id=1)
 
@@ -37,6 +47,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_quality": op4_quality,
+    "op6_pii": op6_pii,
     "op8_packing": op8_packing,
     "op9_token_store": op9_token_store,
 }

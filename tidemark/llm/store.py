@@ -1,7 +1,7 @@
 """A content-addressed store of token ids: chunks, recipes and a Merkle manifest, as Parquet tables.
 
-chunks: digest, n, ids (binary, little-endian unsigned 32-bit) - every different chunk once.
-recipes: part, doc_id, n_tokens, chunks (digests in order), root - files in ascending doc_id order.
+chunks: digest, ids (binary, little-endian, two or four bytes an id) - every different chunk once.
+recipes: part, doc_id, n_tokens, chunks (digest and n, in order), root - files in ascending doc_id order.
 manifest: part, first_doc_id, n_docs, n_tokens, root - one row for each part of the recipes.
 """
 
@@ -14,11 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh_path, remove, written
-from tidemark.llm.tokens import encoded, split_blanks
+from tidemark.llm.tokens import BlankEncoder, encoder, texts_of
 
 #: Bytes of a chunk's digest.
 DIGEST = 16
@@ -88,8 +88,9 @@ def shifted_crc(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
 class TokenStore:
     """Writes and reads a store in a folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self.path = spark, path or fresh_path(spark, "token-store")
+    def __init__(self, spark: SparkSession, path: str | None = None, wide: bool = False) -> None:
+        """wide: ids take four bytes, else two, and must then be below 65,536."""
+        self.spark, self.path, self.wide = spark, path or fresh_path(spark, "token-store"), wide
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
@@ -97,33 +98,55 @@ class TokenStore:
     def write(self, docs: DataFrame, tokenizer: str, end_id: int = 0, least: int = 64, mask: int = 0xFF, most: int = 2048, per_part: int = 20_000) -> TokenStore:
         """Encodes docs (doc_id long, unique; text) and writes the three tables.
 
-        A null or empty text is the end id alone. Chunks do not span documents. Ids are made once; the
-        rows are dealt by digest once, and a chunk that many documents share is combined before that.
+        A null or empty text is the end id alone. Chunks do not span documents. Ids are made once and dealt by digest once; a chunk that
+        many documents share leaves each task once.
         """
-        end = np.array([end_id], "<u4").tobytes()
+        code, dtype = ("I", "<u4") if self.wide else ("H", "<u2")
+        end = np.array([end_id], dtype).tobytes()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for keys, found in encoded(batches, tokenizer, split_blanks, rows=256):
-                rows: list[tuple] = []
-                for key, ids in zip(keys, found, strict=True):
-                    ids += end
+            encode, seen = encoder(BlankEncoder, tokenizer, code), set()
+            for keys, texts in texts_of(batches):
+                names, sizes, names_at, new, new_at = [], [], [0], [], [0]
+                for text in texts:
+                    ids = encode(text) + end
                     start = 0
-                    for pos, stop in enumerate(cuts(np.frombuffer(ids, "<u4"), least, mask, most)):
-                        data = ids[4 * start : 4 * stop]
-                        rows.append((key, pos, chunk_digest(data), stop - start, data))
+                    for stop in cuts(np.frombuffer(ids, dtype), least, mask, most):
+                        data = ids[len(end) * start : len(end) * stop]
+                        name = chunk_digest(data)
+                        names.append(name)
+                        sizes.append(stop - start)
+                        if name not in seen:
+                            seen.add(name)
+                            new.append((name, data))
                         start = stop
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["doc_id", "pos", "digest", "n", "ids"])
+                    names_at.append(len(names))
+                    new_at.append(len(new))
+                listed = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(sizes, pa.int64())], ["digest", "n"])
+                own = pa.StructArray.from_arrays([pa.array([x[i] for x in new], pa.binary()) for i in (0, 1)], ["digest", "ids"])
+                columns = [pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(names_at, pa.int32()), listed), pa.ListArray.from_arrays(pa.array(new_at, pa.int32()), own)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "chunks", "new"])
+
+        def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[bytes] = set()
+            for batch in batches:
+                fresh = []
+                for name in batch.column("digest").to_pylist():
+                    fresh.append(name not in seen)
+                    seen.add(name)
+                yield batch.filter(pa.array(fresh))
 
         texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        raw = written(texts.mapInArrow(run, "doc_id long, pos long, digest binary, n long, ids binary"), "raw-chunks")
-        chunks = raw.select("digest", "n", "ids").dropDuplicates(["digest"])
-        chunks.write.option("compression", "zstd").parquet(f"{self.path}/chunks")
-        listed = F.sort_array(F.collect_list(F.struct("pos", "digest")))
-        recipes = raw.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.transform(listed, lambda x: x["digest"]).alias("chunks"))
-        recipes = recipes.withColumn("root", F.unhex(F.sha2(F.array_join(F.transform("chunks", F.hex), ""), 256)))
-        parts = max(1, -(-docs.count() // per_part))
+        shape = "doc_id long, chunks array<struct<digest:binary,n:long>>, new array<struct<digest:binary,ids:binary>>"
+        raw = written(texts.mapInArrow(run, shape), "raw-chunks", "zstd")
+        chunks = raw.select(F.explode("new").alias("x")).select("x.digest", "x.ids").repartition("digest")
+        chunks.mapInArrow(unique, "digest binary, ids binary").write.option("compression", "zstd").parquet(f"{self.path}/chunks")
+        total = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        root = F.unhex(F.sha2(F.array_join(F.transform("chunks", lambda x: F.hex(x["digest"])), "").cast("binary"), 256))
+        recipes = raw.select("doc_id", total.alias("n_tokens"), "chunks", root.alias("root"))
+        parts = max(1, -(-raw.count() // per_part))
         recipes = recipes.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-        recipes.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "chunks", "root").write.parquet(f"{self.path}/recipes")
+        recipes.select(F.spark_partition_id().alias("part"), "*").write.parquet(f"{self.path}/recipes")
         self._manifest().write.parquet(f"{self.path}/manifest")
         remove(self.spark, raw)
         return self
@@ -148,48 +171,53 @@ class TokenStore:
             .select("doc_id", (F.col("before") + F.col("inside")).alias("start"))
         )
 
-    def _pieces(self) -> DataFrame:
-        return self.table("recipes").select("doc_id", F.posexplode("chunks").alias("pos", "digest"))
-
     def read_ids(self, doc_ids: DataFrame | None = None) -> DataFrame:
-        """doc_id, ids (binary) of all documents, or of those in doc_ids, put together from their recipes."""
-        pieces = self._pieces()
+        """doc_id, ids (binary, as stored) of all documents, or of those in doc_ids, put together from their recipes."""
+        recipes = self.table("recipes")
         if doc_ids is not None:
-            pieces = pieces.join(doc_ids.select("doc_id"), "doc_id", "left_semi")
-        rows = pieces.join(self.table("chunks"), "digest")
+            recipes = recipes.join(doc_ids.select("doc_id"), "doc_id", "left_semi")
+        rows = recipes.select("doc_id", F.posexplode("chunks").alias("pos", "chunk")).select("doc_id", "pos", "chunk.digest")
         listed = F.sort_array(F.collect_list(F.struct("pos", "ids")))
-        empty = F.lit(b"")
-        return rows.groupBy("doc_id").agg(F.aggregate(F.transform(listed, lambda x: x["ids"]), empty, lambda a, x: F.concat(a, x)).alias("ids"))
+        put = F.unhex(F.array_join(F.transform(listed, lambda x: F.hex(x["ids"])), ""))
+        return rows.join(self.table("chunks"), "digest").groupBy("doc_id").agg(put.alias("ids"))
 
     def read_back(self) -> DataFrame:
-        """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone.
+        """doc_id, start, n_tokens, ids_crc32 (over four-byte ids) of every document, from the files alone.
 
         Every chunk's ids are read, held against their digest, and summed up by length and CRC-32; the
-        sums of a document's chunks are then combined, so no ids are shuffled. A chunk that does not
-        match its digest, or is missing, raises an error.
+        sums of a document's chunks are then combined, so no ids are shuffled. A chunk that is missing,
+        or does not match its digest or its recipe, raises an error.
         """
+        dtype = "<u4" if self.wide else "<u2"
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 names, data = batch.column("digest").to_pylist(), batch.column("ids").to_pylist()
                 if any(chunk_digest(x) != name for x, name in zip(data, names, strict=True)):
                     raise ValueError("a chunk does not match its digest")
-                sums = pa.array([zlib.crc32(x) for x in data], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([len(x) // 4 for x in data], pa.int64()), sums], names=["digest", "n", "crc"])
+                ids = [np.frombuffer(x, dtype) for x in data]
+                sums = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([len(x) for x in ids], pa.int64()), sums], names=["digest", "size", "crc"])
 
         def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 part = shifted_crc(batch.column("crc").to_numpy(), 4 * batch.column("after").to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(part.astype(np.int64))], names=["doc_id", "n", "crc"])
 
-        sums = self.table("chunks").select("digest", "ids").mapInArrow(check, "digest binary, n long, crc long")
-        rows = self._pieces().join(sums, "digest", "left")
-        rows = rows.withColumn("n", F.coalesce("n", F.raise_error("a chunk is missing").cast("long")))
-        after = Window.partitionBy("doc_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.select("doc_id", "n", "crc", F.coalesce(F.sum("n").over(after), F.lit(0)).alias("after"))
+        sums = self.table("chunks").mapInArrow(check, "digest binary, size long, crc long")
+        rows = self.table("recipes").select("doc_id", "n_tokens", F.explode(self._ends()).alias("x"))
+        rows = rows.select("doc_id", "x.digest", "x.n", (F.col("n_tokens") - F.col("x.to")).alias("after")).join(sums, "digest", "left")
+        sound = F.when(F.col("size") == F.col("n"), F.col("n")).otherwise(F.raise_error("a chunk is missing or has another length").cast("long"))
+        rows = rows.select("doc_id", sound.alias("n"), "crc", "after")
         found = rows.mapInArrow(shift, "doc_id long, n long, crc long").groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
         return found.join(self.starts(), "doc_id").select("doc_id", "start", "n_tokens", "ids_crc32")
 
+    @staticmethod
+    def _ends() -> Column:
+        """chunks of a recipe with the place where each ends in its document."""
+        ends = F.aggregate("chunks", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["n"])))
+        return F.transform(F.arrays_zip("chunks", F.slice(ends, 2, F.size("chunks")).alias("to")), lambda x: F.struct(x["chunks"]["digest"].alias("digest"), x["chunks"]["n"].alias("n"), x["to"].alias("to")))
+
     def verify(self) -> DataFrame:
         """part, ok: whether each part's recipes still give the root that the manifest holds."""
         now = self._manifest().select("part", F.col("root").alias("now"))

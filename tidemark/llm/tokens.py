@@ -7,83 +7,128 @@ row are the ids of the text. Each worker encodes a distinct chunk once while it
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 
 #: Chunks that a worker keeps; a full cache is emptied, which costs time but changes nothing.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 1_200_000
 
-#: What makes a blank in a text an unsure cut for byte-level BPE: white space, or a byte that may begin some.
-_UNSURE = tuple(b" " + bytes([x]) for x in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0xC2, 0xE1, 0xE2, 0xE3))
-_MAYBE_SPACE = frozenset([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0xC2, 0xE1, 0xE2, 0xE3])
+#: Bytes that are white space, or may begin or end some, in UTF-8.
+_SPACES = b" \t\n\r\x0b\x0c"
+_MAYBE_FIRST = frozenset(_SPACES + b"\xc2\xe1\xe2\xe3")
+_UNSURE = tuple(b" " + bytes([x]) for x in sorted(_MAYBE_FIRST))
 
 
-def split_words(text: bytes) -> list[bytes]:
-    """Chunks for a tokenizer that drops white space."""
-    return text.split()
+class _Chunks(dict):
+    """Chunk of text to ids, as bytes; what is missing is encoded. before: text that stands before each chunk."""
 
+    def __init__(self, encode: Callable, code: str, before: str = "") -> None:
+        self.encode, self.code, self.before = encode, code, before
 
-def split_blanks(text: bytes) -> list[bytes]:
-    """Chunks for byte-level BPE with the usual pattern: a blank goes to the word that follows it.
-
-    The cut before a blank is sure if what follows the blank is not white space, or what precedes it
-    is not: then no alternative of the pattern spans it. Elsewhere nothing is cut.
-    """
-    first, *rest = text.split(b" ")
-    chunks = [first] if first else []
-    if not (text.endswith(b" ") or any(x in text for x in _UNSURE)):
-        return chunks + [b" " + x for x in rest]
-    before = first
-    for piece in rest:
-        sure = (piece and piece[0] not in _MAYBE_SPACE) or (before and 0x21 <= before[-1] <= 0x7E)
-        if sure or not chunks:
-            chunks.append(b" " + piece)
+    def __missing__(self, chunk: bytes) -> bytes:
+        end = chunk[-1:]
+        if (end == b"." or end == b",") and chunk[-2:-1].isalpha():  # a mark after a letter is always cut off
+            ids = self[chunk[:-1]] + self.raw(end)
         else:
-            chunks[-1] += b" " + piece
-        before = piece or before + b" "
-    return chunks
+            ids = self.fresh(chunk)
+        self[chunk] = ids
+        return ids
 
+    def fresh(self, chunk: bytes) -> bytes:
+        return array(self.code, self.encode(self.before + chunk.decode(), add_special_tokens=False).ids).tobytes()
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    def raw(self, chunk: bytes) -> bytes:
+        return array(self.code, self.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
 
-    def __init__(self, path: str, split: Callable[[bytes], list[bytes]]) -> None:
+
+class WordEncoder:
+    """For a tokenizer that lower-cases and drops white space: chunks are words."""
+
+    def __init__(self, path: str, code: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.split, self.cache = Tokenizer.from_file(path), split, {}
+        self.words = _Chunks(Tokenizer.from_file(path).encode, code)
+
+    def __call__(self, text: bytes) -> bytes:
+        if len(self.words) > CACHE_ENTRIES:
+            self.words.clear()
+        if b"<|" not in text:  # else it may hold a special token, whose case counts
+            text = text.lower()
+        return b"".join(map(self.words.__getitem__, text.split()))
+
 
-    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        chunks = [self.split(t) for t in texts]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        new = list(set().union(*chunks).difference(self.cache))
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            found = self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
-            self.cache.update((k, np.array(e.ids, "<u4").tobytes()) for k, e in zip(some, found, strict=True))
-        get = self.cache.__getitem__
-        return (b"".join(map(get, c)) for c in chunks)
+class _Blanks(_Chunks):
+    """Chunks after a blank, for byte-level BPE; a line break between two visible characters is always cut off."""
 
+    plain: _Chunks
 
-_ENCODERS: dict[tuple, Encoder] = {}
+    def fresh(self, chunk: bytes) -> bytes:
+        head, mark, tail = chunk.partition(b"\n")
+        if mark and head and tail and 0x21 <= head[-1] <= 0x7E and tail[0] not in _MAYBE_FIRST:
+            return self[head] + self.raw(mark) + self.plain[tail]
+        return super().fresh(chunk)
 
 
-def encoder(path: str, split: Callable[[bytes], list[bytes]]) -> Encoder:
+class BlankEncoder:
+    """For byte-level BPE with the usual pattern, in which a blank goes to the word that follows it.
+
+    The cut before a blank is sure if what follows the blank is not white space, or what precedes it
+    is not: then no alternative of the pattern spans it. Elsewhere nothing is cut.
+    """
+
+    def __init__(self, path: str, code: str) -> None:
+        from tokenizers import Tokenizer
+
+        encode = Tokenizer.from_file(path).encode
+        self.first, self.rest = _Blanks(encode, code), _Blanks(encode, code, " ")
+        self.first.plain = self.rest.plain = self.first
+
+    def __call__(self, text: bytes) -> bytes:
+        if len(self.first) + len(self.rest) > CACHE_ENTRIES:
+            self.first.clear()
+            self.rest.clear()
+        pieces = text.split(b" ")
+        if text[-1:] == b" " or any(x in text for x in _UNSURE):
+            return b"".join(self.joined(pieces))
+        head = self.first[pieces[0]] if pieces[0] else b""
+        return head + b"".join(map(self.rest.__getitem__, pieces[1:]))
+
+    def joined(self, pieces: list[bytes]) -> Iterator[bytes]:
+        """Ids of the chunks, where some blanks are no sure cut: what belongs together is encoded as one."""
+        held, rest = pieces[0], False  # the open chunk, and whether a blank stands before it
+        before = pieces[0]
+        for piece in pieces[1:]:
+            sure = (piece and piece[0] not in _MAYBE_FIRST) or (before and 0x21 <= before[-1] <= 0x7E)
+            if sure or not (held or rest):
+                if held or rest:
+                    yield (self.rest if rest else self.first)[held]
+                held, rest = piece, True
+            else:
+                held += b" " + piece
+            before = piece or b" "
+        if held or rest:
+            yield (self.rest if rest else self.first)[held]
+
+
+_ENCODERS: dict[tuple, Callable[[bytes], bytes]] = {}
+
+
+def encoder(kind: type, path: str, code: str = "I") -> Callable[[bytes], bytes]:
     """The worker's encoder for this file; workers live longer than tasks, and so does its cache."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if (path, split) not in _ENCODERS:
-        _ENCODERS[path, split] = Encoder(path, split)
-    return _ENCODERS[path, split]
+    if (kind, path, code) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[kind, path, code] = kind(path, code)
+    return _ENCODERS[kind, path, code]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, split: Callable[[bytes], list[bytes]], rows: int = 512) -> Iterator[tuple[list, list[bytes]]]:
-    """doc_id and ids of each row, some rows at a time; null texts count as empty. Batches: doc_id, text."""
-    encode = encoder(path, split)
+def texts_of(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[list, list[bytes]]]:
+    """doc_id and text of each row, some rows at a time; null texts count as empty. Batches: doc_id, text."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             texts = part.column(1)
             texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
-            yield part.column(0).to_pylist(), list(encode([t or b"" for t in texts.to_pylist()]))
+            yield part.column(0).to_pylist(), [t or b"" for t in texts.to_pylist()]
