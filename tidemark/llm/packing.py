@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
-from tidemark.llm.tokens import WordEncoder, encoder, texts_of
+from tidemark.llm.tokens import WordEncoder, encoded, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -27,11 +27,10 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 1,
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(WordEncoder, tokenizer)
-        for keys, texts in texts_of(batches):
+        for keys, found in encoded(batches, encoder(WordEncoder, tokenizer)):
             rows = []
-            for key, text in zip(keys, texts, strict=True):
-                ids = encode(text) + end
+            for key, ids in zip(keys, found, strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
                     row = (key, k, at // 4, len(part) // 4, zlib.crc32(part))

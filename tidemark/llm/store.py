@@ -18,36 +18,45 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh_path, remove, written
-from tidemark.llm.tokens import BlankEncoder, encoder, texts_of
+from tidemark.llm.tokens import BlankEncoder, encoded, encoder
 
 #: Bytes of a chunk's digest.
 DIGEST = 16
 
 
-def cuts(ids: np.ndarray, least: int, mask: int, most: int, window: int = 16) -> list[int]:
-    """Ends of the chunks of an id stream.
+def cuts(streams: list[np.ndarray], least: int, mask: int, most: int, window: int = 16) -> list[list[int]]:
+    """Ends of the chunks of each id stream.
 
     A rolling hash covers the last `window` ids; a chunk ends where its bits under mask are zero, after
-    `least` ids at least and `most` at most. So equal passages are cut alike wherever they stand.
+    `least` ids at least and `most` at most. So equal passages are cut alike wherever they stand. As
+    least is not below window, the streams can be hashed in one go: no hash that counts spans two.
     """
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
+    if least < window:
+        raise ValueError("least must not be below window")
+    ids = np.concatenate(streams) if streams else np.zeros(0, np.uint32)
+    mixed = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+    mixed ^= mixed >> np.uint32(15)
     rolling = mixed.copy()
     for back in range(1, min(window, len(ids))):
-        rolling[back:] += mixed[:-back] << np.uint64(back)
-    marks = np.flatnonzero((rolling >> np.uint64(20)) & np.uint64(mask) == 0) + 1
-    ends, start, n = [], 0, len(ids)
-    for mark in marks:
-        while mark - start > most:
+        rolling[back:] += mixed[:-back] << np.uint32(back)
+    marks = np.flatnonzero((rolling >> np.uint32(16)) & np.uint32(mask) == 0) + 1
+    found, at = [], 0
+    for stream in streams:
+        n, ends, start = len(stream), [], 0
+        low, high = np.searchsorted(marks, (at + 1, at + n))
+        for mark in (marks[low:high] - at).tolist():
+            while mark - start > most:
+                start += most
+                ends.append(start)
+            if mark - start >= least:
+                start = mark
+                ends.append(start)
+        while n - start > most:
             start += most
             ends.append(start)
-        if mark - start >= least and mark < n:
-            start = int(mark)
-            ends.append(start)
-    while n - start > most:
-        start += most
-        ends.append(start)
-    return [*ends, n] if n else []
+        found.append([*ends, n] if n else [])
+        at += n
+    return found
 
 
 def chunk_digest(data: bytes) -> bytes:
@@ -105,13 +114,13 @@ class TokenStore:
         end = np.array([end_id], dtype).tobytes()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encode, seen = encoder(BlankEncoder, tokenizer, code), set()
-            for keys, texts in texts_of(batches):
+            seen: set[bytes] = set()
+            for keys, found in encoded(batches, encoder(BlankEncoder, tokenizer, code)):
                 names, sizes, names_at, new, new_at = [], [], [0], [], [0]
-                for text in texts:
-                    ids = encode(text) + end
+                streams = [ids + end for ids in found]
+                for ids, stops in zip(streams, cuts([np.frombuffer(x, dtype) for x in streams], least, mask, most), strict=True):
                     start = 0
-                    for stop in cuts(np.frombuffer(ids, dtype), least, mask, most):
+                    for stop in stops:
                         data = ids[len(end) * start : len(end) * stop]
                         name = chunk_digest(data)
                         names.append(name)

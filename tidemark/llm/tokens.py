@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import os
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from tokenizers import Tokenizer
 
 #: Chunks that a worker keeps; a full cache is emptied, which costs time but changes nothing.
 CACHE_ENTRIES = 1_200_000
@@ -18,45 +21,98 @@ CACHE_ENTRIES = 1_200_000
 #: Bytes that are white space, or may begin or end some, in UTF-8.
 _SPACES = b" \t\n\r\x0b\x0c"
 _MAYBE_FIRST = frozenset(_SPACES + b"\xc2\xe1\xe2\xe3")
-_UNSURE = tuple(b" " + bytes([x]) for x in sorted(_MAYBE_FIRST))
+
+
+#: How byte-level BPE shows bytes as characters: printable Latin-1 as itself, the others from U+0100 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN_AS = {b: b for b in _SHOWN} | {b: 0x100 + i for i, b in enumerate(x for x in range(0x100) if x not in _SHOWN)}
 
 
 class _Chunks(dict):
-    """Chunk of text to ids, as bytes; what is missing is encoded. before: text that stands before each chunk."""
+    """Chunk of text to ids, as bytes; what is missing is encoded. before: text that stands before each chunk.
 
-    def __init__(self, encode: Callable, code: str, before: str = "") -> None:
-        self.encode, self.code, self.before = encode, code, before
+    A chunk of Latin letters alone is one word to the pre-tokenizer, and goes to the library's BPE
+    model without it; any other goes through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, code: str, before: str = "") -> None:
+        self.encode, self.model, self.code, self.before = tokenizer.encode, tokenizer.model.tokenize, code, before
+        self.shown, self.marks = before.translate(_SHOWN_AS), {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        end = chunk[-1:]
-        if (end == b"." or end == b",") and chunk[-2:-1].isalpha():  # a mark after a letter is always cut off
-            ids = self[chunk[:-1]] + self.raw(end)
+        if chunk.isalpha():
+            ids = array(self.code, [t.id for t in self.model(self.shown + chunk.decode())]).tobytes()
         else:
             ids = self.fresh(chunk)
         self[chunk] = ids
         return ids
 
     def fresh(self, chunk: bytes) -> bytes:
-        return array(self.code, self.encode(self.before + chunk.decode(), add_special_tokens=False).ids).tobytes()
+        text = chunk.decode()
+        if len(text) > 1 and text[-1] in ".," and text[-2].isalpha() and text[-2] < "\u0250" and len(text[-2].lower()) == 1:
+            return self[chunk[:-1]] + self.raw(chunk[-1:])  # a mark after a letter is always cut off
+        if text.isalpha() and max(text) < "\u0250" and (self.shown or text == text.lower()):
+            found = [t.id for t in self.model(self.shown + chunk.decode("latin-1").translate(_SHOWN_AS))]
+            return array(self.code, found).tobytes()
+        return array(self.code, self.encode(self.before + text, add_special_tokens=False).ids).tobytes()
+
+    def raw(self, mark: bytes) -> bytes:
+        """Ids of a single mark, with nothing before it."""
+        if mark not in self.marks:
+            self.marks[mark] = array(self.code, self.encode(mark.decode(), add_special_tokens=False).ids).tobytes()
+        return self.marks[mark]
+
+
+def _spread(values: list[bytes], codes: np.ndarray, offsets: np.ndarray, dtype: str) -> list[bytes]:
+    """values[c] for the codes c of each row, joined; row i has the codes from offsets[i] to offsets[i + 1]."""
+    width = np.dtype(dtype).itemsize
+    sizes = np.array([len(v) for v in values], np.int64) // width
+    starts, blob = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(values), dtype)
+    many = sizes[codes]
+    ends = np.concatenate([[0], np.cumsum(many)])
+    at = np.repeat(starts[codes] - ends[:-1], many) + np.arange(ends[-1])
+    data, cut = blob[at].tobytes(), (ends[offsets] * width).tolist()
+    return [data[i:j] for i, j in zip(cut, cut[1:], strict=False)]
+
+
+class _Encoder:
+    """Ids of texts, as bytes. What is regular is cut, looked up and put together a batch at a time."""
 
-    def raw(self, chunk: bytes) -> bytes:
-        return array(self.code, self.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
+    def __init__(self, path: str, code: str) -> None:
+        self.dtype = f"<u{array(code).itemsize}"
+        self.prepare(Tokenizer.from_file(path), code)
 
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """texts: binary, without nulls."""
+        odd = self.irregular(texts)
+        found = self.regular(texts if not odd else pa.array([b"" if i in odd else t for i, t in enumerate(texts.to_pylist())], pa.binary()))
+        for i in odd:
+            found[i] = self(texts[i].as_py())
+        return found
 
-class WordEncoder:
+
+class WordEncoder(_Encoder):
     """For a tokenizer that lower-cases and drops white space: chunks are words."""
 
-    def __init__(self, path: str, code: str) -> None:
-        from tokenizers import Tokenizer
+    def prepare(self, tokenizer: Tokenizer, code: str) -> None:
+        self.words = _Chunks(tokenizer, code)
 
-        self.words = _Chunks(Tokenizer.from_file(path).encode, code)
+    def irregular(self, texts: pa.Array) -> list[int]:
+        """Texts that may hold a special token, whose case counts."""
+        return np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)).tolist()
 
-    def __call__(self, text: bytes) -> bytes:
+    def regular(self, texts: pa.Array) -> list[bytes]:
         if len(self.words) > CACHE_ENTRIES:
             self.words.clear()
-        if b"<|" not in text:  # else it may hold a special token, whose case counts
-            text = text.lower()
-        return b"".join(map(self.words.__getitem__, text.split()))
+        # the white space of the cast is ASCII's, as in bytes.split()
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+        words = parts.flatten().dictionary_encode()
+        known = [self.words[w] if w else b"" for w in words.dictionary.cast(pa.binary()).to_pylist()]
+        return _spread(known, words.indices.to_numpy(), parts.offsets.to_numpy(), self.dtype)
+
+    def __call__(self, text: bytes) -> bytes:
+        chunks = [w if b"<|" in w else w.lower() for w in text.split()]
+        return b"".join(map(self.words.__getitem__, chunks))
 
 
 class _Blanks(_Chunks):
@@ -71,29 +127,37 @@ class _Blanks(_Chunks):
         return super().fresh(chunk)
 
 
-class BlankEncoder:
+class BlankEncoder(_Encoder):
     """For byte-level BPE with the usual pattern, in which a blank goes to the word that follows it.
 
     The cut before a blank is sure if what follows the blank is not white space, or what precedes it
     is not: then no alternative of the pattern spans it. Elsewhere nothing is cut.
     """
 
-    def __init__(self, path: str, code: str) -> None:
-        from tokenizers import Tokenizer
-
-        encode = Tokenizer.from_file(path).encode
-        self.first, self.rest = _Blanks(encode, code), _Blanks(encode, code, " ")
+    def prepare(self, tokenizer: Tokenizer, code: str) -> None:
+        self.first, self.rest = _Blanks(tokenizer, code), _Blanks(tokenizer, code, " ")
         self.first.plain = self.rest.plain = self.first
 
-    def __call__(self, text: bytes) -> bytes:
+    def irregular(self, texts: pa.Array) -> list[int]:
+        """Texts that have a blank before what is, or may be, white space."""
+        bad = pc.match_substring_regex(texts, r" [ \t\n\r\x0b\x0c\xc2\xe1\xe2\xe3]| $")
+        return np.flatnonzero(bad.to_numpy(zero_copy_only=False)).tolist()
+
+    def regular(self, texts: pa.Array) -> list[bytes]:
         if len(self.first) + len(self.rest) > CACHE_ENTRIES:
             self.first.clear()
             self.rest.clear()
-        pieces = text.split(b" ")
-        if text[-1:] == b" " or any(x in text for x in _UNSURE):
-            return b"".join(self.joined(pieces))
-        head = self.first[pieces[0]] if pieces[0] else b""
-        return head + b"".join(map(self.rest.__getitem__, pieces[1:]))
+        parts = pc.split_pattern(texts, b" ")
+        flat, offsets = parts.flatten(), parts.offsets.to_numpy()
+        pieces = flat.dictionary_encode()
+        known = [self.rest[p] for p in pieces.dictionary.to_pylist()]
+        codes = pieces.indices.to_numpy().copy()
+        heads = flat.take(pa.array(offsets[:-1])).to_pylist()
+        codes[offsets[:-1]] = len(known) + np.arange(len(heads))
+        return _spread(known + [self.first[h] if h else b"" for h in heads], codes, offsets, self.dtype)
+
+    def __call__(self, text: bytes) -> bytes:
+        return b"".join(self.joined(text.split(b" ")))
 
     def joined(self, pieces: list[bytes]) -> Iterator[bytes]:
         """Ids of the chunks, where some blanks are no sure cut: what belongs together is encoded as one."""
@@ -112,10 +176,10 @@ class BlankEncoder:
             yield (self.rest if rest else self.first)[held]
 
 
-_ENCODERS: dict[tuple, Callable[[bytes], bytes]] = {}
+_ENCODERS: dict[tuple, _Encoder] = {}
 
 
-def encoder(kind: type, path: str, code: str = "I") -> Callable[[bytes], bytes]:
+def encoder(kind: type[_Encoder], path: str, code: str = "I") -> _Encoder:
     """The worker's encoder for this file; workers live longer than tasks, and so does its cache."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if (kind, path, code) not in _ENCODERS:
@@ -124,11 +188,16 @@ def encoder(kind: type, path: str, code: str = "I") -> Callable[[bytes], bytes]:
     return _ENCODERS[kind, path, code]
 
 
-def texts_of(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[list, list[bytes]]]:
-    """doc_id and text of each row, some rows at a time; null texts count as empty. Batches: doc_id, text."""
+def encoded(batches: Iterator[pa.RecordBatch], encode: _Encoder, most: int = 1 << 23) -> Iterator[tuple[list, list[bytes]]]:
+    """doc_id and ids of each row, rows of about `most` bytes at a time; null texts count as empty.
+
+    Batches: doc_id, text.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            texts = part.column(1)
-            texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
-            yield part.column(0).to_pylist(), [t or b"" for t in texts.to_pylist()]
+        texts = batch.column(1)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = np.cumsum(sizes) // most
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            part = texts.slice(i, j - i).cast(pa.binary())
+            yield batch.column(0).slice(i, j - i).to_pylist(), encode.batch(pc.fill_null(part, b""))
