@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, packing, pii, quality, simhash, store, toxicity
+from tidemark.llm import ctw, exact, packing, pii, quality, simhash, store, toxicity
 from tidemark.llm.common import documents, tokenizer_path
 
 
@@ -28,6 +28,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir)).select(*names)
 
 
+def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scored(documents(spark, sf_dir))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = pii.found_spans(docs, pii.learn(docs))
@@ -52,6 +56,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op5_context_tree": op5_context_tree,
     "op6_pii": op6_pii,
     "op8_packing": op8_packing,
     "op9_token_store": op9_token_store,
