@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ctw, exact, packing, pii, quality, simhash, store, toxicity
+from tidemark.llm import ctw, exact, packing, pieces, pii, quality, simhash, store, toxicity
 from tidemark.llm.common import documents, tokenizer_path
 
 
@@ -42,6 +42,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, listed, pii.span_list(F.col("spans")).alias("spans"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), length=4096, end_id=1)
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_context_tree": op5_context_tree,
     "op6_pii": op6_pii,
+    "op7_pieces": op7_pieces,
     "op8_packing": op8_packing,
     "op9_token_store": op9_token_store,
 }
