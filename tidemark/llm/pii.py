@@ -70,9 +70,8 @@ def _parts_fit(match: Column) -> Column:
     return F.forall(short, lambda p: (F.length(p) <= 3) & (p.cast("int") <= 255))
 
 
-def _base(kind: str, match: Column) -> Column:
+def _base(kind: str, match: Column, digits: Column) -> Column:
     """Whether a match is a base span."""
-    digits = _digits(match)
     if kind == "email":
         return F.lit(True)
     if kind == "ip":
@@ -89,9 +88,9 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _votes(kind: str, match: Column, left: Column, right: Column) -> list[Column]:
-    """One vote of each labeler on a candidate: its match, the text before it and the text after it."""
-    digits = _digits(match)
+def _votes(kind: str, x: Column) -> list[Column]:
+    """One vote of each labeler on a candidate: its match, its digits, and the text on either side."""
+    match, digits, left, right = x["match"], x["digits"], x["left"], x["right"]
     number = F.length(digits)
     lower, before = F.lower(match), F.lower(left)
     never = F.lit(False)
@@ -154,6 +153,7 @@ def _located(kind: str, text: Column) -> Column:
             F.arrays_zip(found.alias("found"), F.slice(ends, 2, F.size(found)).alias("to")),
             lambda x, i: F.struct(
                 x["found"].alias("match"),
+                _digits(x["found"]).alias("digits"),
                 (x["to"] - F.length(x["found"])).alias("from"),
                 x["to"].alias("to"),
                 F.right(F.get(gaps, i), F.lit(40)).alias("left"),
@@ -165,7 +165,7 @@ def _located(kind: str, text: Column) -> Column:
         bound = F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps"))
         return F.get(F.transform(F.array(bound), place), F.lit(0))
 
-    nothing = F.array().cast("array<struct<match:string,from:int,to:int,left:string,right:string>>")
+    nothing = F.array().cast("array<struct<match:string,digits:string,from:int,to:int,left:string,right:string>>")
     return F.when(text.rlike(NEEDS[kind]) & (F.size(matches) > 0), placed(matches)).otherwise(nothing)
 
 
@@ -173,12 +173,12 @@ def _judged(kind: str, located: Column) -> Column:
     """The matches of a kind with their votes."""
 
     def judge(x: Column) -> Column:
-        votes = [v.cast("int") for v in _votes(kind, x["match"], x["left"], x["right"])]
+        votes = [v.cast("int") for v in _votes(kind, x)]
         return F.struct(
             x["from"].alias("from"),
             F.lit(KINDS.index(kind)).alias("rank"),
             x["to"].alias("to"),
-            _base(kind, x["match"]).alias("base"),
+            _base(kind, x["match"], x["digits"]).alias("base"),
             F.array(*votes).alias("votes"),
         )
 
@@ -203,23 +203,21 @@ class Model:
 
     def score(self, rank: Column, votes: Column) -> Column:
         """The classifier's log-odds that a candidate is personal data."""
-        bias = F.lit(-1.0)
-        for k, b in self.bias.items():
-            bias = F.when(rank == k, b).otherwise(bias)
-        return sum((F.get(votes, F.lit(i)) * w for i, w in enumerate(self.weights)), bias)
+        bias = F.get(_numbers([self.bias.get(k, -1.0) for k in range(len(KINDS))]), rank)
+        return F.aggregate(F.zip_with(votes, _numbers(self.weights), lambda v, w: v * w), bias, lambda a, x: a + x)
+
+
+def _numbers(values: list[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
 
 
 def _posterior(model: Model) -> Column:
     """P(personal data | votes) of a pattern under the labelers' reliabilities."""
-    odds = None
-    for k in range(len(KINDS)):
-        p = model.prior.get(k, 0.5)
-        own = F.lit(math.log(p / (1 - p)))
-        for i in range(len(VOTERS)):
-            a = model.accuracy.get((k, i), 0.75)
-            own = own + F.get("votes", F.lit(i)) * math.log(a / (1 - a))
-        odds = own if odds is None else F.when(F.col("rank") == k, own).otherwise(odds)
-    return 1 / (1 + F.exp(-odds))
+    odds = lambda p: math.log(p / (1 - p))
+    prior = _numbers([odds(model.prior.get(k, 0.5)) for k in range(len(KINDS))])
+    trust = _numbers([odds(model.accuracy.get((k, i), 0.75)) for k in range(len(KINDS)) for i in range(len(VOTERS))])
+    own = F.zip_with("votes", F.slice(trust, F.col("rank") * len(VOTERS) + 1, len(VOTERS)), lambda v, t: v * t)
+    return 1 / (1 + F.exp(-F.aggregate(own, F.get(prior, F.col("rank")), lambda a, x: a + x)))
 
 
 def learn(docs: DataFrame, rounds: int = 8, trust: float = 20.0) -> Model:
@@ -234,10 +232,10 @@ def learn(docs: DataFrame, rounds: int = 8, trust: float = 20.0) -> Model:
     from pyspark.ml.functions import array_to_vector
 
     spans = docs.select(F.explode(candidates(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("c"))
-    patterns = written(spans.groupBy(F.col("c.rank").alias("rank"), F.col("c.votes").alias("votes")).agg(F.count(F.lit(1)).alias("n")), "vote-patterns")
+    patterns = written(spans.groupBy(F.col("c.rank").alias("rank"), F.col("c.votes").alias("votes")).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote-patterns")
     model = Model()
     for _ in range(rounds):
-        p = _posterior(model)
+        p = F.col("p")
         sums = [F.sum("n").alias("n"), F.sum(p * F.col("n")).alias("yes")]
         for i in range(len(VOTERS)):
             v = F.get("votes", F.lit(i))
@@ -245,7 +243,7 @@ def learn(docs: DataFrame, rounds: int = 8, trust: float = 20.0) -> Model:
                 F.sum(F.when(v == 1, p * F.col("n")).when(v == -1, (1 - p) * F.col("n")).otherwise(0)).alias(f"right{i}"),
                 F.sum(F.abs(v) * F.col("n")).alias(f"cast{i}"),
             ]
-        for row in patterns.groupBy("rank").agg(*sums).collect():
+        for row in patterns.withColumn("p", _posterior(model)).groupBy("rank").agg(*sums).collect():
             model.prior[row["rank"]] = (row["yes"] + 0.5 * trust) / (row["n"] + trust)
             for i in range(len(VOTERS)):
                 share = (row[f"right{i}"] + 0.75 * trust) / (row[f"cast{i}"] + trust)
