@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ctw, exact, packing, pieces, pii, quality, simhash, store, toxicity
+from tidemark.llm import ctw, exact, lines, packing, pieces, pii, quality, simhash, store, toxicity
 from tidemark.llm.common import documents, tokenizer_path
 
 
@@ -55,6 +55,11 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.read_back()
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.line_report(documents(spark, sf_dir), threshold=0.8)
+    return found.withColumn("kept_lines", F.array_join(F.transform("kept_lines", lambda x: x.cast("string")), ","))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
@@ -65,6 +70,7 @@ QUERIES = {
     "op7_pieces": op7_pieces,
     "op8_packing": op8_packing,
     "op9_token_store": op9_token_store,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE = {
     "op2_exact_dedup": r"""
