@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from tidemark.plans import market
+
+QUERIES: dict = dict(market.QUERIES)
+ORACLE: dict[str, str] = dict(market.ORACLE)
