@@ -11,10 +11,10 @@ from tidemark.operators import joins as J
 from tidemark.operators import metrics as M
 from tidemark.operators import patterns as P
 from tidemark.operators.bars import series
+from tidemark.plans.registry import Registry
 from tidemark.sources.tables import clock_bars, deals, table, ticks
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+query = Registry()
 
 BARS = """
     bars AS (
@@ -29,22 +29,6 @@ DEALS = """
         FROM events)"""
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-def query(name: str, sql: str | None = None, digits: int = 6):
-    """Registers a function of (spark, sf_dir) under a name, with its SQL if there is one."""
-
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 

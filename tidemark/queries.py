@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market
+from tidemark.plans import market, text
 
-QUERIES: dict = dict(market.QUERIES)
-ORACLE: dict[str, str] = dict(market.ORACLE)
+QUERIES: dict = text.query.queries | market.query.queries
+ORACLE: dict[str, str] = text.query.oracle | market.query.oracle
