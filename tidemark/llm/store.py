@@ -27,7 +27,7 @@ DIGEST = 16
 def cuts(streams: list[np.ndarray], least: int, mask: int, most: int, window: int = 16) -> list[list[int]]:
     """Ends of the chunks of each id stream.
 
-    A rolling hash covers the last `window` ids; a chunk ends where its bits under mask are zero, after
+    A rolling hash covers the last `window` ids, a power of two; a chunk ends where its bits under mask are zero, after
     `least` ids at least and `most` at most. So equal passages are cut alike wherever they stand. As
     least is not below window, the streams can be hashed in one go: no hash that counts spans two.
     """
@@ -36,9 +36,10 @@ def cuts(streams: list[np.ndarray], least: int, mask: int, most: int, window: in
     ids = np.concatenate(streams) if streams else np.zeros(0, np.uint32)
     mixed = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
     mixed ^= mixed >> np.uint32(15)
-    rolling = mixed.copy()
-    for back in range(1, min(window, len(ids))):
-        rolling[back:] += mixed[:-back] << np.uint32(back)
+    rolling, span = mixed, 1  # the sum over the last `span` ids, doubled with each id of age
+    while span < window and span < len(ids):
+        rolling = np.concatenate([rolling[:span], rolling[span:] + (rolling[:-span] << np.uint32(span))])
+        span *= 2
     marks = np.flatnonzero((rolling >> np.uint32(16)) & np.uint32(mask) == 0) + 1
     found, at = [], 0
     for stream in streams:
@@ -136,20 +137,12 @@ class TokenStore:
                 columns = [pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(names_at, pa.int32()), listed), pa.ListArray.from_arrays(pa.array(new_at, pa.int32()), own)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "chunks", "new"])
 
-        def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[bytes] = set()
-            for batch in batches:
-                fresh = []
-                for name in batch.column("digest").to_pylist():
-                    fresh.append(name not in seen)
-                    seen.add(name)
-                yield batch.filter(pa.array(fresh))
-
         texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
         shape = "doc_id long, chunks array<struct<digest:binary,n:long>>, new array<struct<digest:binary,ids:binary>>"
         raw = written(texts.mapInArrow(run, shape), "raw-chunks", "zstd")
         chunks = raw.select(F.explode("new").alias("x")).select("x.digest", "x.ids").repartition("digest")
-        chunks.mapInArrow(unique, "digest binary, ids binary").write.option("compression", "zstd").parquet(f"{self.path}/chunks")
+        same = Window.partitionBy("digest").orderBy("digest")
+        chunks.withColumn("k", F.row_number().over(same)).where("k = 1").drop("k").write.option("compression", "zstd").parquet(f"{self.path}/chunks")
         total = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, x: a + x["n"])
         root = F.unhex(F.sha2(F.array_join(F.transform("chunks", lambda x: F.hex(x["digest"])), "").cast("binary"), 256))
         recipes = raw.select("doc_id", total.alias("n_tokens"), "chunks", root.alias("root"))
