@@ -127,41 +127,34 @@ def _signed(x: int) -> int:
 
 
 def shards(points: DataFrame, radius: int, most: int) -> DataFrame:
-    """fp, mask, value: every shard in which a fingerprint stands as a query and as a tree node.
+    """fp, mask, value, pair: every shard in which a fingerprint stands as a query and as a tree node.
 
     Of radius + 1 runs of bits, two fingerprints within the radius agree on one at least, so shards
-    that fix one run each lose no link. A shard of more than `most` fingerprints is split again by
-    the bits that it leaves free, as often as it takes: nothing is dropped.
+    that fix one run each lose no link. A shard of more than `most` fingerprints is split again by the
+    bits that it leaves free. What is still larger is dealt by a hash into blocks of about `most`, and
+    every pair of blocks is a shard of its own: nothing is dropped.
     """
     spark = points.sparkSession
-    children = {0: _split(0, radius + 1)}
-    level = written(
-        points.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in children[0]])).alias("mask")).select(
-            "fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value")
-        ),
-        "shards",
+    first = _split(0, radius + 1)
+    level = points.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in first])).alias("mask"))
+    level = written(level.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value")), "shards")
+    hot = written(level.groupBy("mask", "value").count().where(F.col("count") > most).select("mask", "value"), "hot")
+    if hot.isEmpty():
+        return level.withColumn("pair", F.lit(0).cast("long"))
+    finer = spark.createDataFrame([(_signed(m), _signed(c)) for m in first for c in _split(m, radius + 1)], "mask long, child long")
+    split = level.join(hot, ["mask", "value"], "left_semi").join(F.broadcast(finer), "mask")
+    split = written(split.select("fp", F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("value")), "shards")
+    still = split.groupBy("mask", "value").count().where(F.col("count") > most)
+    still = still.select("mask", "value", F.ceil(F.col("count") / most).alias("blocks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+        lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other) + 1,
     )
-    masks, done = children[0], []
-    while True:
-        hot = level.groupBy("mask", "value").count().where(F.col("count") > most).select("mask", "value")
-        hot = written(hot, "hot")
-        if hot.isEmpty() or all(not _split(m, radius + 1) for m in masks):
-            done.append(level)
-            break
-        done.append(level.join(hot, ["mask", "value"], "left_anti").select("fp", "mask", "value"))
-        pairs = [(_signed(m), _signed(c)) for m in masks for c in _split(m, radius + 1)]
-        finer = spark.createDataFrame(pairs, "mask long, child long")
-        level = written(
-            level.join(hot, ["mask", "value"], "left_semi")
-            .join(F.broadcast(finer), "mask")
-            .select("fp", F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("value")),
-            "shards",
-        )
-        masks = sorted({c % (1 << BITS) for _, c in pairs})
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    pairs = F.coalesce(pairs, F.array(F.lit(0).cast("long")))
+    split = split.join(still, ["mask", "value"], "left").select("fp", "mask", "value", F.explode(pairs).alias("pair"))
+    cold = level.join(hot, ["mask", "value"], "left_anti").select("fp", "mask", "value", F.lit(0).cast("long").alias("pair"))
+    return cold.unionByName(split)
 
 
 def links(points: DataFrame, radius: int = 3, most: int = 2048, per_task: int = 40_000) -> DataFrame:
@@ -174,10 +167,10 @@ def links(points: DataFrame, radius: int = 3, most: int = 2048, per_task: int =
     buckets = max(1, -(-points.count() * (radius + 1) // per_task))
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["mask", "value", "fp"])
+        rows = rows.sort_values(["mask", "value", "pair", "fp"])
         fps = rows["fp"].to_numpy()
-        new = (rows["mask"].diff() != 0) | (rows["value"].diff() != 0)
-        shard = new.cumsum().to_numpy() - 1
+        keys = rows[["mask", "value", "pair"]].to_numpy()
+        shard = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
         known, who = np.unique(fps, return_inverse=True)
         forest = BKForest(fps.view(np.uint64), shard)
         root = _roots(len(known), ((who[i], who[j]) for i, j in forest.links(radius)))
@@ -185,7 +178,7 @@ def links(points: DataFrame, radius: int = 3, most: int = 2048, per_task: int =
         return pd.DataFrame({"u": known[moved], "v": known[root[moved]]})
 
     return (
-        spread.withColumn("bucket", F.pmod(F.xxhash64("mask", "value"), F.lit(buckets)))
+        spread.withColumn("bucket", F.pmod(F.xxhash64("mask", "value", "pair"), F.lit(buckets)))
         .groupBy("bucket")
         .applyInPandas(search, "u long, v long")
     )
@@ -211,7 +204,10 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
 
 
 def deduplicate(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """docs, with only the document of smallest doc_id of each group of near-duplicates; all columns stay."""
+    """docs, with only the document of smallest doc_id of each group of near-duplicates; all columns stay.
+
+    A row without a doc_id is left out.
+    """
     keep = near_duplicates(docs, radius, shingle, seed).where("doc_id = component_id").select(
         F.col("doc_id").alias("__kept")
     )
