@@ -62,3 +62,15 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs in a struct), doc_id, text: operators add columns beside it and clash with none."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(whole, *[F.col(c) for c in ("doc_id", "text") if c in docs.columns])
+
+
+def unboxed(rows: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of docs out of boxed rows; text, if given, takes the place of the text."""
+    new = {"text": text} if text is not None else {}
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -85,7 +85,10 @@ def classes(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """docs without the rows whose text is in the index or in a better row of docs; all columns stay."""
+    """docs without the rows whose text is in the index or in a better row of docs; all columns stay.
+
+    A row without a doc_id is left out.
+    """
     rows = written(digests(docs), "digests")
     keep = (index or scratch_index(docs.sparkSession)).add(rows).select(F.col("doc_id").alias("__kept"))
     return docs.join(keep, docs["doc_id"] == keep["__kept"], "left_semi")

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import remove, written
+from tidemark.llm.common import boxed, remove, unboxed, written
 
 #: The kinds in the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban")
@@ -290,7 +290,7 @@ def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     All columns stay; a null text stays null. n_chars, where there is one, is the new length.
     """
-    marked = found_spans(docs, model or learn(docs))
+    marked = found_spans(boxed(docs).select("row", "text"), model or learn(docs))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -306,6 +306,5 @@ def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
         return F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text")))
 
     text = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, finish)).otherwise(F.col("text"))
-    changed = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns]
-    out = marked.select(*changed)
+    out = unboxed(marked.select("row", text.alias("text")), docs, F.col("text"))
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

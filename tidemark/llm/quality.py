@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import words
+from tidemark.llm.common import boxed, unboxed, words
 
 #: Fixed phrases of lines that a site or a licence puts around a text.
 BOILERPLATE = (
@@ -139,5 +139,5 @@ def kept(docs: DataFrame, **rules: float) -> DataFrame:
     The verdict is worked out once for each row, ahead of the filter: a column that is not deterministic
     stands between them, through which Spark pushes no filter that would repeat the work.
     """
-    found = judged(docs, **rules).withColumn("__at", F.spark_partition_id())
-    return found.where(F.col("kept") & (F.col("__at") >= 0)).select(*[f"`{c}`" for c in docs.columns])
+    found = judged(boxed(docs).select("row", "text"), **rules).withColumn("at", F.spark_partition_id())
+    return unboxed(found.where(F.col("kept") & (F.col("at") >= 0)), docs)
