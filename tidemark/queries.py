@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market, text
+from tidemark.plans import flows, market, text
 
-QUERIES: dict = text.query.queries | market.query.queries
-ORACLE: dict[str, str] = text.query.oracle | market.query.oracle
+QUERIES: dict = text.query.queries | market.query.queries | flows.query.queries
+ORACLE: dict[str, str] = text.query.oracle | market.query.oracle | flows.query.oracle
