@@ -49,7 +49,7 @@ def test_quality_counts_match_brute_force(spark):
 
 
 def test_quality_verdicts(spark):
-    clean = "\n".join(f"This is sentence {i} of a text, and it says something of its own number {i * 7}." for i in range(8))
+    clean = "\n".join(f"Line{i} says thing{i} of a text{i}, and then it adds{i} its own number{i} here." for i in range(8))
     menu = "\n".join(f"Home | About{i} | News | Contact | Imprint | Login | Search | Help{i}" for i in range(8))
     marks = " ".join(f"word{i}### other{i}$$$" for i in range(40)) + "."
     stutter = " ".join(f"w{i} " * 6 for i in range(12)) + "."
@@ -207,3 +207,4 @@ def test_context_tree_matches_brute_force(spark, most_common):
         assert math.isclose(r.score, sum(map(score, ws)), rel_tol=1e-8)
         assert r.code_length > 0
     assert ctw.scored(table(spark, texts).where("false")).collect() == []
+    assert {r.n_tokens for r in ctw.scored(table(spark, [None, "", " "])).collect()} == {1}
