@@ -20,8 +20,9 @@ def discover(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("json"
 
 def json_lines(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
     """One record a line; lines that are no JSON object are left out."""
-    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where(F.col("_bad").isNull()).drop("_bad")
+    options = {"columnNameOfCorruptRecord": "_bad"}
+    rows = spark.read.text(path).select(F.from_json("value", f"{schema}, _bad string", options).alias("x"))
+    return rows.where(F.col("x._bad").isNull()).select("x.*").drop("_bad")
 
 
 def json_examples(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
@@ -36,8 +37,8 @@ def json_examples(spark: SparkSession, path: str, schema: str = RECORD) -> DataF
 def paragraphs(spark: SparkSession, path: str, longer_than: int = 30) -> DataFrame:
     """text of each paragraph of the text files: parts between two or more line breaks, trimmed."""
     whole = spark.read.text(path, wholetext=True)
-    part = F.explode(F.split("value", r"\n{2,}"))
-    return whole.select(F.trim(part).alias("text")).where(F.length("text") > longer_than)
+    parts = whole.select(F.explode(F.split("value", r"\n{2,}")).alias("text"))
+    return parts.select(F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).where(F.length("text") > longer_than)
 
 
 def parsed_time(text: Column) -> Column:
