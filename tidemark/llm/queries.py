@@ -72,6 +72,8 @@ QUERIES = {
     "op9_token_store": op9_token_store,
     "op10_line_dedup": op10_line_dedup,
 }
+_PHRASES = "|".join(p.replace("(", "[(]").replace(")", "[)]") for p in quality.BOILERPLATE)
+
 ORACLE = {
     "op2_exact_dedup": r"""
         WITH n AS (
@@ -84,4 +86,28 @@ ORACLE = {
                    count(*) OVER (PARTITION BY text_sha256) AS group_size
             FROM n)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k""",
+    "op4_quality": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+        k AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM k) WHERE c > 1),
+        c AS (SELECT doc_id, sum(n) AS n_repeat_words FROM (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS n FROM r) GROUP BY doc_id),
+        l AS (SELECT doc_id, l, list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw,
+                     length(regexp_replace(l, '[^#*$%&|<>{{}}~^=]+', '', 'g')) + len(string_split(l, '!!')) - 1 AS marks,
+                     length(regexp_replace(l, '[^|»›•·]+', '', 'g')) AS bars
+              FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+        f AS (SELECT doc_id, l, coalesce(list_sum(list_transform(lw, lambda x: length(x))), 0) AS chars,
+                     (2 * marks >= len(lw) AND marks > 0)
+                     OR (len(lw) >= 10 AND (NOT regexp_matches(l, '[.!?…。！？;:]') OR 2 * len(list_filter(range(2, len(lw) + 1), lambda i: lw[i] = lw[i - 1])) >= len(lw)))
+                     OR (bars >= 3 AND 5 * bars >= len(lw)) OR (len(lw) <= 25 AND regexp_matches(lower(l), '{_PHRASES}')) AS bad
+              FROM l WHERE len(lw) > 0),
+        g AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE bad), 0) AS lost FROM f GROUP BY doc_id),
+        a AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
+                     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                     coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost, 0) AS lost
+              FROM w LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id)),
+        b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+               CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+               NOT base_failed AND lost <= 0.5 * word_chars AS kept FROM b""",
 }
