@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import flows, market, text
+from tidemark.plans import flows, market, more_market, text
 
-QUERIES: dict = text.query.queries | market.query.queries | flows.query.queries
-ORACLE: dict[str, str] = text.query.oracle | market.query.oracle | flows.query.oracle
+_ALL = (text, market, more_market, flows)
+QUERIES: dict = {k: f for m in _ALL for k, f in m.query.queries.items()}
+ORACLE: dict[str, str] = {k: s for m in _ALL for k, s in m.query.oracle.items()}
