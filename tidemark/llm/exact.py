@@ -20,7 +20,8 @@ class DigestIndex:
 
     It is bucketed and sorted by digest, so the anti-join of a batch reads it without a shuffle and
     without a sort. `doc_id` is the row that was kept, n_chars its length in code points, copies how
-    many rows of its batch had the text. A batch is appended as a whole; a reader sees it or not.
+    many rows of its batch had the text. The table lives as long as the session's catalog: under a
+    metastore it outlasts the session, and the next one goes on with it.
     """
 
     def __init__(self, spark: SparkSession, table: str, buckets: int = 64) -> None:
@@ -91,4 +92,4 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """
     rows = written(digests(docs), "digests")
     keep = (index or scratch_index(docs.sparkSession)).add(rows).select(F.col("doc_id").alias("__kept"))
-    return docs.join(keep, docs["doc_id"] == keep["__kept"], "left_semi")
+    return docs.join(keep.hint("merge"), docs["doc_id"] == keep["__kept"], "left_semi")  # alike at every size

@@ -211,4 +211,4 @@ def deduplicate(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int =
     keep = near_duplicates(docs, radius, shingle, seed).where("doc_id = component_id").select(
         F.col("doc_id").alias("__kept")
     )
-    return docs.join(keep, docs["doc_id"] == keep["__kept"], "left_semi")
+    return docs.join(keep.hint("merge"), docs["doc_id"] == keep["__kept"], "left_semi")  # alike at every size
