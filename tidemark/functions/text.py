@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -163,29 +163,6 @@ def quality(text: Column, least: int = 25, most: int = 100_000, pass_score: floa
         (n("<think>") != n("</think>"), "unbalanced_think"),
     ]
     broken = F.array_compact(F.array(*[F.when(c, r) for c, r in structure]))
-    content = F.regexp_replace(text, ANY_MARK, " ")
-    size = F.greatest(F.length(content), F.lit(1))
-    hidden = F.length(content) - F.length(F.regexp_replace(content, r"[\p{Cc}\p{Cf}\p{Co}\p{Zl}\p{Zp}\p{Zs}&&[^ \n\t]]", ""))
-    letters = F.length(F.regexp_replace(content, r"[^\p{L}\p{N}]+", ""))
-    found = F.transform(F.regexp_extract_all(content, F.lit("([A-Za-z0-9]+)")), F.lower)
-    count = F.size(found)
-    lines = F.filter(F.transform(F.split(content, LINE_ENDS), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    lower = F.lower(content)
-    faults = [
-        ((size - hidden) / size < 0.80, "low_printable", 0.55),
-        (letters / size < 0.12, "low_alphanumeric_density", 0.55),
-        (F.when(count >= 40, most_frequent(found) / count >= 0.50).otherwise(False), "high_word_repetition", 0.55),
-        (F.when(count >= 40, F.size(F.array_distinct(found)) / count < 0.06).otherwise(False), "low_lexical_diversity", 0.45),
-        (F.when(F.size(lines) >= 12, most_frequent(lines) >= 8).otherwise(False), "repeated_lines", 0.55),
-        (F.regexp_count(content, F.lit("<[a-zA-Z][^>]*>")) / F.greatest(count, F.lit(1)) > 0.30, "mostly_html", 0.40),
-        (
-            lower.rlike(r"(?:^|\n)\s*(?:cookie policy|privacy policy|terms of service|all rights reserved)\b")
-            | lower.rlike(r"\b(?:subscribe to our newsletter|accept all cookies|click here to unsubscribe)\b"),
-            "boilerplate",
-            0.35,
-        ),
-    ]
-    judged = F.array(*[F.struct(c.alias("bad"), F.lit(r).alias("reason"), F.lit(p).alias("cost")) for c, r, p in faults])
     verdict = lambda ok, score, reasons: F.struct(ok.alias("accepted"), score.cast("double").alias("score"), reasons.alias("reasons"))
     reject = lambda *r: verdict(F.lit(False), F.lit(0.0), F.array(*map(F.lit, r)))
 
@@ -194,16 +171,52 @@ def quality(text: Column, least: int = 25, most: int = 100_000, pass_score: floa
         score = F.greatest(F.lit(0.0), 1.0 - F.aggregate(bad, F.lit(0.0), lambda a, x: a + x["cost"]))
         return verdict(score >= pass_score, F.bround(score, 4), F.transform(bad, lambda x: x["reason"]))
 
+    def judged(content: Column) -> Column:
+        words = F.transform(F.regexp_extract_all(content, F.lit("([A-Za-z0-9]+)")), F.lower)
+        lines = F.filter(F.transform(F.split(content, LINE_ENDS), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+        parts = F.struct(words.alias("words"), lines.alias("lines"), F.lower(content).alias("lower"))
+        return let(let(parts, lambda p: _faults(content, p["words"], p["lines"], p["lower"])), summed)
+
     return (
         F.when(F.length(text) < least, reject("too_short"))
         .when(F.length(text) > most, reject("too_long"))
         .when(F.size(broken) > 0, verdict(F.lit(False), F.lit(0.0), broken))
         .when(text.contains("�"), reject("unicode_replacement_character"))
         .when(mojibake_score(text) >= 4, reject("residual_mojibake"))
-        .otherwise(F.get(F.transform(F.array(judged), summed), F.lit(0)))
+        .otherwise(let(F.regexp_replace(text, ANY_MARK, " "), judged))
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _faults(content: Column, words: Column, lines: Column, lower: Column) -> Column:
+    """Faults of a text as array of (bad, reason, cost). Counts of the most frequent item wait for enough repeats."""
+    size = F.greatest(F.length(content), F.lit(1))
+    hidden = F.length(content) - F.length(F.regexp_replace(content, r"[\p{Cc}\p{Cf}\p{Co}\p{Zl}\p{Zp}\p{Zs}&&[^ \n\t]]+", ""))
+    letters = F.length(F.regexp_replace(content, r"[^\p{L}\p{N}]+", ""))
+    count, different = F.size(words), F.size(F.array_distinct(words))
+    often = (count >= 40) & (2 * (different - 1) <= count)
+    repeats = (F.size(lines) >= 12) & (F.size(lines) - F.size(F.array_distinct(lines)) >= 7)
+    faults = [
+        ((size - hidden) / size < 0.80, "low_printable", 0.55),
+        (letters / size < 0.12, "low_alphanumeric_density", 0.55),
+        (F.when(often, most_frequent(words) / count >= 0.50).otherwise(False), "high_word_repetition", 0.55),
+        (F.when(count >= 40, different / count < 0.06).otherwise(False), "low_lexical_diversity", 0.45),
+        (F.when(repeats, most_frequent(lines) >= 8).otherwise(False), "repeated_lines", 0.55),
+        (F.regexp_count(content, F.lit("<[a-zA-Z][^>]*>")) / F.greatest(count, F.lit(1)) > 0.30, "mostly_html", 0.40),
+        (
+            lower.rlike(r"(?:^|\n)\s*(?:cookie policy|privacy policy|terms of service|all rights reserved)\b")
+            | lower.rlike(r"\b(?:subscribe to our newsletter|accept all cookies|click here to unsubscribe)\b"),
+            "boilerplate",
+            0.35,
+        ),
+    ]
+    return F.array(*[F.struct(c.alias("bad"), F.lit(r).alias("reason"), F.lit(p).alias("cost")) for c, r, p in faults])
+
+
 def simhash_of(text: str) -> int:
     """64-bit SimHash over triples of words (single words below six), as a signed number; ties set a bit.
 
