@@ -131,3 +131,22 @@ def test_unigram_search_takes_the_best_sum():
                 if text[i:j] in model.id:
                     best[j] = max(best[j], best[i] + model.score[model.id[text[i:j]]])
         assert np.isclose(sum(model.score[i] for i in model.encode(text)), best[-1])
+
+
+LINES = {"words": "\n".join(f"word{i}" for i in range(5000)), "blank lines": "a" + "\n" * 5000 + "b", "after a blank": "x " + "y1,z.\n" * 5000}
+
+
+@pytest.mark.parametrize("name", LINES)
+def test_many_lines_without_blanks(name):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    text = LINES[name]
+    path = tokenizer_path("byte_bpe_50k.json")
+    blanks = tokens.BlankEncoder(path, "I")
+    assert list(array("I", blanks.batch(pa.array([text.encode()], pa.binary()))[0])) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    path = tokenizer_path("piece_bpe_32k.model")
+    own = pieces.PieceEncoder(path)
+    assert list(array("I", own.batch(pa.array([text.encode()], pa.binary()))[0])) == sentencepiece.SentencePieceProcessor(model_file=path).encode(text)
+    for cache in (blanks.first, blanks.rest, own.after, own.bare):
+        assert sum(map(len, cache)) <= len(text)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import _spread, encoded
+from tidemark.llm.tokens import KEPT_BYTES, _spread, encoded
 
 SPACE = "▁"
 CACHE_ENTRIES = 1_000_000
@@ -185,9 +185,12 @@ class _Cuts(dict):
         self.other: _Cuts = self
 
     def __missing__(self, cut: bytes) -> bytes:
-        head, line, tail = cut.partition(b"\n")
-        if line and "\n" not in self.pieces.id:  # a line break is no piece and never merges
-            ids = (self[head] if head or self.mark else b"") + array("I", self.pieces._fallback("\n")).tobytes() + (self.other[tail] if tail else b"")
+        if b"\n" in cut and "\n" not in self.pieces.id:  # a line break is no piece and never merges
+            head, *lines = cut.split(b"\n")
+            first = self[head] if head or self.mark else b""
+            ids = array("I", self.pieces._fallback("\n")).tobytes().join([first, *(self.other[x] if x else b"" for x in lines)])
+            if len(cut) > KEPT_BYTES:  # its lines are kept
+                return ids
         else:
             ids = array("I", self.pieces.encode(self.mark + cut.decode())).tobytes()
         self[cut] = ids

@@ -7,6 +7,7 @@ row are the ids of the text. Each worker encodes a distinct chunk once while it
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -18,9 +19,13 @@ from tokenizers import Tokenizer
 #: Chunks that a worker keeps; a full cache is emptied, which costs time but changes nothing.
 CACHE_ENTRIES = 1_200_000
 
+#: Longest chunk of several lines that is kept whole; of a longer one only the lines are.
+KEPT_BYTES = 200
+
 #: Bytes that are white space, or may begin or end some, in UTF-8.
 _SPACES = b" \t\n\r\x0b\x0c"
 _MAYBE_FIRST = frozenset(_SPACES + b"\xc2\xe1\xe2\xe3")
+_SURE_BREAK = re.compile(rb"(?<=[\x21-\x7e])\n(?=[^ \t\n\r\x0b\x0c\xc2\xe1\xe2\xe3])")
 
 
 #: How byte-level BPE shows bytes as characters: printable Latin-1 as itself, the others from U+0100 on.
@@ -120,11 +125,14 @@ class _Blanks(_Chunks):
 
     plain: _Chunks
 
-    def fresh(self, chunk: bytes) -> bytes:
-        head, mark, tail = chunk.partition(b"\n")
-        if mark and head and tail and 0x21 <= head[-1] <= 0x7E and tail[0] not in _MAYBE_FIRST:
-            return self[head] + self.raw(mark) + self.plain[tail]
-        return super().fresh(chunk)
+    def __missing__(self, chunk: bytes) -> bytes:
+        head, *lines = _SURE_BREAK.split(chunk) if b"\n" in chunk else (chunk,)
+        if not lines:
+            return super().__missing__(chunk)
+        ids = self.raw(b"\n").join([self[head], *map(self.plain.__getitem__, lines)])
+        if len(chunk) <= KEPT_BYTES:
+            self[chunk] = ids
+        return ids
 
 
 class BlankEncoder(_Encoder):
