@@ -424,6 +424,12 @@ def asof_closed_bar(spark, sf_dir):
     return J.as_of(decisions, _bars(spark, sf_dir), 15)
 
 
+@query("asof_closed_bar_all")
+def asof_closed_bar_all(spark, sf_dir):
+    """asof_closed_bar for every event; held against a loop in the tests."""
+    return J.as_of(_events(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts"), _bars(spark, sf_dir), 15)
+
+
 @query(
     "signal_within_ttl",
     """WITH q AS (SELECT event_type AS symbol, ts FROM events WHERE event_id % 7 = 0), s AS (SELECT event_type AS symbol, ts, value FROM events WHERE event_id % 11 = 0)
@@ -435,6 +441,18 @@ def signal_within_ttl(spark, sf_dir):
     return J.latest_within(e.where("event_id % 7 = 0").select("symbol", "ts"), e.where("event_id % 11 = 0").select("symbol", "ts", "value"), 3600)
 
 
+@query("signal_within_ttl_all")
+def signal_within_ttl_all(spark, sf_dir):
+    """Every even event asks for the newest odd event of its symbol; held against a loop in the tests."""
+    e = _events(spark, sf_dir).withColumnRenamed("event_type", "symbol")
+    return J.latest_within(e.where("event_id % 2 = 0").select("symbol", "ts"), e.where("event_id % 2 = 1").select("symbol", "ts", "value"), 3600)
+
+
+def _trades(e):
+    side = F.when(F.col("event_id") % 2 == 1, 1).otherwise(-1)
+    return e.select(F.col("event_type").alias("symbol"), "ts", side.alias("side"), F.col("value").alias("entry"), (F.col("value") - 8.0 * side).alias("stop"), (F.col("value") + 12.0 * side).alias("target")).distinct()
+
+
 @query(
     "first_touch",
     f"""WITH {BARS}, o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS ord FROM bars),
@@ -450,10 +468,13 @@ def signal_within_ttl(spark, sf_dir):
            round(coalesce(hit, side * (last - entry) / abs(entry - stop)), 6) AS outcome FROM g""",
 )
 def first_touch(spark, sf_dir):
-    e = _events(spark, sf_dir).where("event_id % 5 = 0")
-    side = F.when(F.col("event_id") % 2 == 1, 1).otherwise(-1)
-    trades = e.select(F.col("event_type").alias("symbol"), "ts", side.alias("side"), F.col("value").alias("entry"), (F.col("value") - 8.0 * side).alias("stop"), (F.col("value") + 12.0 * side).alias("target")).distinct()
-    return J.first_touch(trades, _bars(spark, sf_dir), 12)
+    return J.first_touch(_trades(_events(spark, sf_dir).where("event_id % 5 = 0")), _bars(spark, sf_dir), 12)
+
+
+@query("first_touch_all")
+def first_touch_all(spark, sf_dir):
+    """first_touch for every event; held against a loop in the tests."""
+    return J.first_touch(_trades(_events(spark, sf_dir)), _bars(spark, sf_dir), 12)
 
 
 @query(
