@@ -67,3 +67,9 @@ def test_stale_hashes_of_every_document(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.source: r.stale for r in core.QUERIES["stale_hashes_all"](spark, str(tmp_path)).collect()}
     assert {s: got[s] for s in "abd"} == {"a": True, "b": False, "d": True} and set(got) == set("abcd")
+    assert got["c"] is False  # without a text there is no digest, as in the SQL
+
+
+def test_stale_hashes_collects_no_source(spark, data):
+    plan = core.QUERIES["stale_hashes_all"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "partial_sum" in plan
