@@ -16,8 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Chunks that a worker keeps; a full cache is emptied, which costs time but changes nothing.
-CACHE_ENTRIES = 1_200_000
+#: Chunks that a task keeps, about 40 MB; a full cache is emptied, which costs time but changes nothing.
+CACHE_ENTRIES = 200_000
 
 #: Longest chunk of several lines that is kept whole; of a longer one only the lines are.
 KEPT_BYTES = 200
@@ -87,6 +87,15 @@ class _Encoder:
         self.dtype = f"<u{array(code).itemsize}"
         self.prepare(Tokenizer.from_file(path), code)
 
+    def caches(self) -> list[_Chunks]:
+        raise NotImplementedError
+
+    def release(self) -> None:
+        """Drops what the task has cached: a worker that waits for another task holds the tokenizer alone."""
+        for cache in self.caches():
+            cache.clear()
+        pa.default_memory_pool().release_unused()
+
     def batch(self, texts: pa.Array) -> list[bytes]:
         """texts: binary, without nulls."""
         odd = self.irregular(texts)
@@ -102,13 +111,16 @@ class WordEncoder(_Encoder):
     def prepare(self, tokenizer: Tokenizer, code: str) -> None:
         self.words = _Chunks(tokenizer, code)
 
+    def caches(self) -> list[_Chunks]:
+        return [self.words]
+
     def irregular(self, texts: pa.Array) -> list[int]:
         """Texts that may hold a special token, whose case counts."""
         return np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)).tolist()
 
     def regular(self, texts: pa.Array) -> list[bytes]:
         if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
+            self.release()
         # the white space of the cast is ASCII's, as in bytes.split()
         parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
         words = parts.flatten().dictionary_encode()
@@ -146,6 +158,9 @@ class BlankEncoder(_Encoder):
         self.first, self.rest = _Blanks(tokenizer, code), _Blanks(tokenizer, code, " ")
         self.first.plain = self.rest.plain = self.first
 
+    def caches(self) -> list[_Chunks]:
+        return [self.first, self.rest]
+
     def irregular(self, texts: pa.Array) -> list[int]:
         """Texts that have a blank before what is, or may be, white space."""
         bad = pc.match_substring_regex(texts, r" [ \t\n\r\x0b\x0c\xc2\xe1\xe2\xe3]| $")
@@ -153,8 +168,7 @@ class BlankEncoder(_Encoder):
 
     def regular(self, texts: pa.Array) -> list[bytes]:
         if len(self.first) + len(self.rest) > CACHE_ENTRIES:
-            self.first.clear()
-            self.rest.clear()
+            self.release()
         parts = pc.split_pattern(texts, b" ")
         flat, offsets = parts.flatten(), parts.offsets.to_numpy()
         pieces = flat.dictionary_encode()
@@ -188,7 +202,7 @@ _ENCODERS: dict[tuple, _Encoder] = {}
 
 
 def encoder(kind: type[_Encoder], path: str, code: str = "I") -> _Encoder:
-    """The worker's encoder for this file; workers live longer than tasks, and so does its cache."""
+    """The worker's encoder for this file; workers live longer than tasks, and so does the tokenizer."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if (kind, path, code) not in _ENCODERS:
         _ENCODERS.clear()
@@ -199,13 +213,16 @@ def encoder(kind: type[_Encoder], path: str, code: str = "I") -> _Encoder:
 def encoded(batches: Iterator[pa.RecordBatch], encode: _Encoder, most: int = 1 << 23) -> Iterator[tuple[list, list[bytes]]]:
     """doc_id and ids of each row, rows of about `most` bytes at a time; null texts count as empty.
 
-    Batches: doc_id, text.
+    Batches: doc_id, text. The encoder's cache goes when the task ends, in whatever way.
     """
-    for batch in batches:
-        texts = batch.column(1)
-        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = np.cumsum(sizes) // most
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            part = texts.slice(i, j - i).cast(pa.binary())
-            yield batch.column(0).slice(i, j - i).to_pylist(), encode.batch(pc.fill_null(part, b""))
+    try:
+        for batch in batches:
+            texts = batch.column(1)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = np.cumsum(sizes) // most
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                part = texts.slice(i, j - i).cast(pa.binary())
+                yield batch.column(0).slice(i, j - i).to_pylist(), encode.batch(pc.fill_null(part, b""))
+    finally:
+        encode.release()
