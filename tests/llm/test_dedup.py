@@ -175,6 +175,27 @@ def test_lines_match_brute_force(spark):
     assert lines.deduplicate(docs).columns == docs.columns
 
 
+def test_lines_of_dense_and_chained_groups(spark):
+    """Many near copies of one line, a chain in which only neighbours are similar, ties, and rows without an id."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(30)]
+    texts = []
+    for k in range(60):
+        copy = list(base)
+        copy[rng.randrange(30)] = f"new{k}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(f"c{i}" for i in range(k, k + 20)) for k in range(0, 40)]
+    texts += ["Equal line of words here\nequal LINE of words here\n\n  here of words equal line", "x\ny\nx", "z " * 5000]
+    rng.shuffle(texts)
+    want = slow_lines(texts)
+    docs = table(spark, texts)
+    got = {r.doc_id: r.kept_lines for r in lines.line_report(docs).collect()}
+    assert {i: k for i, k in got.items() if k} == want
+    nameless = spark.createDataFrame([(None, "a b\na b"), (None, None), (4, "a b\na b")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_removed, r.kept_lines) for r in lines.line_report(nameless).collect()) == [(0, 0, 0, []), (0, 2, 0, [0, 1]), (4, 2, 1, [0])]
+    assert sorted(str(r.text) for r in lines.deduplicate(nameless).collect()) == ["None", "a b", "a b\na b"]
+
+
 def test_empty_tables(spark):
     docs = table(spark, ["x"]).where("false")
     assert simhash.near_duplicates(docs).collect() == []
