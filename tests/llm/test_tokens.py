@@ -95,6 +95,36 @@ def test_store_sees_damage(spark):
         made.read_back().collect()
 
 
+TAMPERED = {
+    "chunks reversed": ("recipes", lambda rows: rows.withColumn("chunks", F.when(F.size("chunks") > 2, F.reverse("chunks")).otherwise(F.col("chunks"))), "root"),
+    "recipe dropped": ("recipes", lambda rows: rows.where("doc_id <> 0"), "manifest"),
+    "recipe renamed": ("recipes", lambda rows: rows.withColumn("doc_id", F.col("doc_id") + 1), "root"),
+    "length changed": ("recipes", lambda rows: rows.withColumn("n_tokens", F.col("n_tokens") + 1), "root"),
+    "manifest changed": ("manifest", lambda rows: rows.withColumn("n_tokens", F.col("n_tokens") + 1), "manifest"),
+    "part dropped": ("manifest", lambda rows: rows.where("part > 0"), "root"),
+}
+
+
+@pytest.mark.parametrize("name", TAMPERED)
+def test_store_sees_tampering(spark, name):
+    where, change, message = TAMPERED[name]
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(600)) for _ in range(4)] + ["some text", None]
+    made = store.TokenStore(spark).write(table(spark, texts), tokenizer_path("byte_bpe_50k.json"), per_part=2)
+    assert made.read_back().count() == 6
+    rows = change(made.table(where))
+    spark.createDataFrame(rows.collect(), rows.schema).write.mode("overwrite").parquet(f"{made.path}/{where}")
+    with pytest.raises(Exception, match=message):
+        made.read_back().collect()
+    assert name == "length changed" or not all(r.ok for r in made.verify().collect()) or name in ("manifest changed", "part dropped")
+
+
+def test_store_leaves_out_rows_without_id(spark):
+    docs = spark.createDataFrame([(None, "a"), (5, "b"), (-3, None)], "doc_id long, text string")
+    rows = store.TokenStore(spark).write(docs, tokenizer_path("byte_bpe_50k.json")).read_back().collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in rows) == [(-3, 0, 1), (5, 1, 2)]
+
+
 def test_empty_tables(spark):
     docs = table(spark, ["x"]).where("false")
     assert packing.packed(docs, tokenizer_path("word_bpe_49k.json")).collect() == []

@@ -3,6 +3,11 @@
 chunks: digest, ids (binary, little-endian, two or four bytes an id) - every different chunk once.
 recipes: part, doc_id, n_tokens, chunks (digest and n, in order), root - files in ascending doc_id order.
 manifest: part, first_doc_id, n_docs, n_tokens, root - one row for each part of the recipes.
+top: parts, root - one row, over the manifest.
+
+A recipe's root is a hash of its doc_id, length and chunks; a part's of its recipes' roots in order; the
+top's of the parts' roots. Reading works all of them out again from the recipes and raises an error
+where one differs, so no chunk, recipe or part can be changed, moved, dropped or added unseen.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh_path, remove, written
+from tidemark.llm.common import fresh_path, remove, shuffles_removed, written
 from tidemark.llm.tokens import BlankEncoder, encoded, encoder
 
 #: Bytes of a chunk's digest.
@@ -109,7 +114,8 @@ class TokenStore:
         """Encodes docs (doc_id long, unique; text) and writes the three tables.
 
         A null or empty text is the end id alone. Chunks do not span documents. Ids are made once and dealt by digest once; a chunk that
-        many documents share leaves each task once.
+        many documents share leaves each task once. A row without a doc_id is left out, as nothing could read it
+        back; further columns are not stored; an empty table gives an empty store.
         """
         code, dtype = ("I", "<u4") if self.wide else ("H", "<u2")
         end = np.array([end_id], dtype).tobytes()
@@ -137,35 +143,72 @@ class TokenStore:
                 columns = [pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(names_at, pa.int32()), listed), pa.ListArray.from_arrays(pa.array(new_at, pa.int32()), own)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "chunks", "new"])
 
-        texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+        texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
         shape = "doc_id long, chunks array<struct<digest:binary,n:long>>, new array<struct<digest:binary,ids:binary>>"
         raw = written(texts.mapInArrow(run, shape), "raw-chunks", "zstd")
         chunks = raw.select(F.explode("new").alias("x")).select("x.digest", "x.ids").repartition("digest")
         same = Window.partitionBy("digest").orderBy("digest")
-        chunks.withColumn("k", F.row_number().over(same)).where("k = 1").drop("k").write.option("compression", "zstd").parquet(f"{self.path}/chunks")
-        total = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-        root = F.unhex(F.sha2(F.array_join(F.transform("chunks", lambda x: F.hex(x["digest"])), "").cast("binary"), 256))
-        recipes = raw.select("doc_id", total.alias("n_tokens"), "chunks", root.alias("root"))
+        with shuffles_removed(self.spark):
+            chunks.withColumn("k", F.row_number().over(same)).where("k = 1").drop("k").write.option("compression", "zstd").parquet(f"{self.path}/chunks")
+        recipes = raw.select("doc_id", self._length().alias("n_tokens"), "chunks", self._leaf().alias("root"))
         parts = max(1, -(-raw.count() // per_part))
         recipes = recipes.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-        recipes.select(F.spark_partition_id().alias("part"), "*").write.parquet(f"{self.path}/recipes")
+        with shuffles_removed(self.spark):
+            recipes.select(F.spark_partition_id().alias("part"), "*").write.parquet(f"{self.path}/recipes")
         self._manifest().write.parquet(f"{self.path}/manifest")
+        self._top().write.parquet(f"{self.path}/top")
         remove(self.spark, raw)
         return self
 
+    @staticmethod
+    def _length() -> Column:
+        """Ids of a recipe, by its chunks."""
+        return F.aggregate("chunks", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+
+    @classmethod
+    def _leaf(cls) -> Column:
+        """A recipe's root, from what the recipe says."""
+        listed = F.array_join(F.transform("chunks", lambda x: F.concat_ws(":", F.hex(x["digest"]), x["n"].cast("string"))), ",")
+        return F.unhex(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), cls._length().cast("string"), listed).cast("binary"), 256))
+
     def _manifest(self) -> DataFrame:
+        """The manifest that the recipes give."""
+
         def root(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("doc_id")
             return pd.DataFrame({"part": rows["part"][:1], "first_doc_id": rows["doc_id"].min(), "n_docs": len(rows), "n_tokens": rows["n_tokens"].sum(), "root": [merkle_root(list(rows["root"]))]})
 
-        recipes = self.table("recipes").select("part", "doc_id", "n_tokens", "root")
+        recipes = self.table("recipes").select("part", "doc_id", self._length().alias("n_tokens"), self._leaf().alias("root"))
         return recipes.groupBy("part").applyInPandas(root, "part int, first_doc_id long, n_docs long, n_tokens long, root binary")
 
+    def _top(self) -> DataFrame:
+        """parts, root over the manifest: 4096 parts to a node, then the nodes; a part has thousands of documents."""
+
+        def root(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("part")
+            return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "parts": [int(rows["parts"].sum())], "root": [merkle_root(list(rows["root"]))]})
+
+        level = self.table("manifest").select("part", F.lit(1).cast("long").alias("parts"), "root")
+        for group in (F.floor(F.col("part") / 4096), F.lit(0)):
+            level = level.groupBy(group.cast("long").alias("g")).applyInPandas(root, "part int, parts long, root binary")
+        return level.select("parts", "root")
+
+    def checked_manifest(self) -> DataFrame:
+        """The manifest; a row raises an error if the recipes, or the top's root, say otherwise."""
+        tops = [self.table("top").first(), self._top().first()]
+        if tops[0] != tops[1]:
+            raise ValueError("the manifest does not match its root")
+        told = F.struct("first_doc_id", "n_docs", "n_tokens", "root")
+        now = self._manifest().select("part", told.alias("now"))
+        both = self.table("manifest").select("part", told.alias("told")).join(now, "part", "full")
+        sound = F.when(F.col("told") == F.col("now"), F.col("part")).otherwise(F.raise_error("the recipes of a part do not match the manifest").cast("int"))
+        return both.select(sound.alias("part"), "told.*")
+
     def starts(self) -> DataFrame:
         """doc_id, start: ids of all documents of smaller doc_id. Sums run inside parts; only their totals meet."""
         recipes = self.table("recipes").select("part", "doc_id", "n_tokens")
         before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        totals = self.table("manifest").select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
+        totals = self.checked_manifest().select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
         inside = Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
         return (
             recipes.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
@@ -188,7 +231,8 @@ class TokenStore:
 
         Every chunk's ids are read, held against their digest, and summed up by length and CRC-32; the
         sums of a document's chunks are then combined, so no ids are shuffled. A chunk that is missing,
-        or does not match its digest or its recipe, raises an error.
+        or does not match its digest or its recipe, raises an error, and so does a recipe, part or
+        manifest that does not match its root. An empty store gives no rows.
         """
         dtype = "<u4" if self.wide else "<u2"
 
@@ -207,7 +251,9 @@ class TokenStore:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(part.astype(np.int64))], names=["doc_id", "n", "crc"])
 
         sums = self.table("chunks").mapInArrow(check, "digest binary, size long, crc long")
-        rows = self.table("recipes").select("doc_id", "n_tokens", F.explode(self._ends()).alias("x"))
+        same = (F.col("root") == self._leaf()) & (F.col("n_tokens") == self._length())
+        whole = F.when(same, F.col("n_tokens")).otherwise(F.raise_error("a recipe does not match its root").cast("long"))
+        rows = self.table("recipes").select("doc_id", whole.alias("n_tokens"), F.explode(self._ends()).alias("x"))
         rows = rows.select("doc_id", "x.digest", "x.n", (F.col("n_tokens") - F.col("x.to")).alias("after")).join(sums, "digest", "left")
         sound = F.when(F.col("size") == F.col("n"), F.col("n")).otherwise(F.raise_error("a chunk is missing or has another length").cast("long"))
         rows = rows.select("doc_id", sound.alias("n"), "crc", "after")
@@ -221,6 +267,6 @@ class TokenStore:
         return F.transform(F.arrays_zip("chunks", F.slice(ends, 2, F.size("chunks")).alias("to")), lambda x: F.struct(x["chunks"]["digest"].alias("digest"), x["chunks"]["n"].alias("n"), x["to"].alias("to")))
 
     def verify(self) -> DataFrame:
-        """part, ok: whether each part's recipes still give the root that the manifest holds."""
+        """part, ok: whether each part's recipes give the root that the manifest holds; parts of either side."""
         now = self._manifest().select("part", F.col("root").alias("now"))
-        return self.table("manifest").join(now, "part", "left").select("part", F.coalesce(F.col("root") == F.col("now"), F.lit(False)).alias("ok"))
+        return self.table("manifest").join(now, "part", "full").select("part", F.coalesce(F.col("root") == F.col("now"), F.lit(False)).alias("ok"))
