@@ -100,44 +100,46 @@ def judged(
     Windows are compared by 64-bit hashes within one text.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "kept", "clean_text"]
-    held = [F.col(f"`{c}`") for c in docs.columns if c not in made]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
     joined = lambda parts: F.length(F.array_join(parts, ""))
-    found = docs.select(*held, words(text).alias("__words"), F.split(text, "\n").alias("__all"), F.length(F.regexp_replace(text, f"[^{SYMBOLS[1:]}+", "")).cast("long").alias("n_symbols"))
-    found = found.withColumn("__lines", F.filter("__all", has_word))
-    found = found.withColumn("__bad", F.transform("__all", line_fails))
-    count = F.size("__words")
+    found = boxed(docs).select("row", words(text).alias("words"), F.split(text, "\n").alias("all"), F.length(F.regexp_replace(text, f"[^{SYMBOLS[1:]}+", "")).cast("long").alias("n_symbols"))
+    found = found.withColumn("lines", F.filter("all", has_word))
+    found = found.withColumn("bad", F.transform("all", line_fails))
+    count = F.size("words")
     hashes = F.when(
         count >= width,
-        F.transform(F.sequence(F.lit(1), count - (width - 1)), lambda i: F.xxhash64(F.slice("__words", i, width))),
+        F.transform(F.sequence(F.lit(1), count - (width - 1)), lambda i: F.xxhash64(F.slice("words", i, width))),
     )
-    found = found.withColumn("__hashes", hashes).withColumn("n_words", count.cast("long"))
-    found = found.withColumn("__again", F.size(F.array_distinct("__hashes")) < F.size("__hashes"))
+    found = found.withColumn("hashes", hashes).withColumn("n_words", count.cast("long"))
+    found = found.withColumn("again", F.size(F.array_distinct("hashes")) < F.size("hashes"))
     lost = F.when(
-        F.array_contains("__bad", True),
-        joined(words(F.array_join(F.filter("__all", lambda x, i: F.get("__bad", i)), "\n"))),
+        F.array_contains("bad", True),
+        joined(words(F.array_join(F.filter("all", lambda x, i: F.get("bad", i)), "\n"))),
     ).otherwise(0)
     found = found.select(
-        *held,
+        "row",
         "n_words",
-        joined("__words").cast("long").alias("word_chars"),
+        joined("words").cast("long").alias("word_chars"),
         "n_symbols",
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("__again"), repeat_words(F.col("__hashes"), width)).otherwise(0).cast("long").alias("n_repeat_words"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.when(F.col("again"), repeat_words(F.col("hashes"), width)).otherwise(0).cast("long").alias("n_repeat_words"),
         lost.cast("long").alias("lost_chars"),
-        F.array_join(F.filter("__all", lambda x, i: ~F.get("__bad", i)), "\n").alias("clean_text"),
+        F.array_join(F.filter("all", lambda x, i: ~F.get("bad", i)), "\n").alias("clean_text"),
     )
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     found = found.withColumn("base_failed", failed)
-    return found.withColumn("kept", ~failed & (F.col("lost_chars") <= most_lost * F.col("word_chars")))
+    found = found.withColumn("kept", ~failed & (F.col("lost_chars") <= most_lost * F.col("word_chars")))
+    # a row of its own for each verdict: a filter on it then runs after it, on its values
+    found = found.select("row", F.explode(F.array(F.struct(*made))).alias("verdict"))
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in made], "verdict.*")
 
 
 def kept(docs: DataFrame, **rules: float) -> DataFrame:
-    """The rows of docs whose document passes, with their columns as they were.
+    """The rows of docs whose document passes, with clean_text in place of the text.
 
-    The verdict is worked out once for each row, ahead of the filter: a column that is not deterministic
-    stands between them, through which Spark pushes no filter that would repeat the work.
+    The other columns stay as they were, but for n_chars, where there is one, which is the new length.
     """
-    found = judged(boxed(docs).select("row", "text"), **rules).withColumn("at", F.spark_partition_id())
-    return unboxed(found.where(F.col("kept") & (F.col("at") >= 0)), docs)
+    found = judged(boxed(docs).select("row", "text"), **rules).where("kept")
+    out = unboxed(found, docs, F.col("clean_text"))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import boxed, remove, unboxed, written
 from tidemark.llm.components import connected_components
 
 BITS = 64
@@ -60,15 +61,16 @@ class BKForest:
     """
 
     def __init__(self, points: np.ndarray, shard: np.ndarray) -> None:
-        """points: uint64; shard: the number of each point's tree, from 0."""
-        self.points, n = points, len(points)
+        """points: uint64, a row of one word or more for each; shard: the number of each point's tree, from 0."""
+        self.points, n = points.reshape(len(points), -1), len(points)
+        self.bits = BITS * self.points.shape[1]
         first = np.full(int(shard.max()) + 1 if n else 0, n, np.int64)
         np.minimum.at(first, shard, np.arange(n))
         self.root = first[shard] if n else np.zeros(0, np.int64)
         wait = np.flatnonzero(self.root != np.arange(n))
         below, codes, kids = self.root[wait], [], []
         while len(wait):
-            code = below * (BITS + 1) + np.bitwise_count(points[wait] ^ points[below])
+            code = below * (self.bits + 1) + self.distance(wait, below)
             found, at, back = np.unique(code, return_index=True, return_inverse=True)
             child = wait[at]
             codes.append(found)
@@ -79,6 +81,9 @@ class BKForest:
         order = np.argsort(self.codes)
         self.codes, self.kids = self.codes[order], (np.concatenate(kids) if kids else self.codes)[order]
 
+    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.points[i] ^ self.points[j]).sum(axis=1, dtype=np.int64)
+
     def links(self, radius: int, block: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (i, j), j < i, of points of one tree within the radius, in blocks of queries.
 
@@ -88,13 +93,13 @@ class BKForest:
             query = np.arange(at, min(at + block, len(self.points)))
             node = self.root[query]
             while len(query):
-                far = np.bitwise_count(self.points[query] ^ self.points[node]).astype(np.int64)
+                far = self.distance(query, node)
                 near = (far <= radius) & (node < query)
                 if near.any():
                     yield query[near], node[near]
-                base = node * (BITS + 1)
+                base = node * (self.bits + 1)
                 low = np.searchsorted(self.codes, base + np.maximum(far - radius, 0))
-                high = np.searchsorted(self.codes, base + np.minimum(far + radius, BITS), side="right")
+                high = np.searchsorted(self.codes, base + np.minimum(far + radius, self.bits), side="right")
                 many = high - low
                 query = np.repeat(query, many)
                 step = np.arange(len(query)) - np.repeat(np.cumsum(many) - many, many)
@@ -126,6 +131,23 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
+def in_blocks(level: DataFrame, most: int) -> DataFrame:
+    """level (fp, mask, value and others) with pair: 0, or a pair of blocks of a shard of more than `most` rows.
+
+    Such a shard is dealt by a hash into blocks of about `most`, and every pair of blocks is a shard of
+    its own, so no two of its rows miss each other.
+    """
+    large = level.groupBy("mask", "value").count().where(F.col("count") > most)
+    large = large.select("mask", "value", F.ceil(F.col("count") / most).alias("blocks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+        lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other) + 1,
+    )
+    pairs = F.coalesce(pairs, F.array(F.lit(0).cast("long")))
+    return level.join(large, ["mask", "value"], "left").select(*level.columns, F.explode(pairs).alias("pair"))
+
+
 def shards(points: DataFrame, radius: int, most: int) -> DataFrame:
     """fp, mask, value, pair: every shard in which a fingerprint stands as a query and as a tree node.
 
@@ -144,15 +166,7 @@ def shards(points: DataFrame, radius: int, most: int) -> DataFrame:
     finer = spark.createDataFrame([(_signed(m), _signed(c)) for m in first for c in _split(m, radius + 1)], "mask long, child long")
     split = level.join(hot, ["mask", "value"], "left_semi").join(F.broadcast(finer), "mask")
     split = written(split.select("fp", F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("value")), "shards")
-    still = split.groupBy("mask", "value").count().where(F.col("count") > most)
-    still = still.select("mask", "value", F.ceil(F.col("count") / most).alias("blocks"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    pairs = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-        lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other) + 1,
-    )
-    pairs = F.coalesce(pairs, F.array(F.lit(0).cast("long")))
-    split = split.join(still, ["mask", "value"], "left").select("fp", "mask", "value", F.explode(pairs).alias("pair"))
+    split = in_blocks(split, most)
     cold = level.join(hot, ["mask", "value"], "left_anti").select("fp", "mask", "value", F.lit(0).cast("long").alias("pair"))
     return cold.unionByName(split)
 
@@ -187,7 +201,7 @@ def links(points: DataFrame, radius: int = 3, most: int = 2048, per_task: int =
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp, component_id of every document.
 
-    docs: doc_id (long, unique), text. component_id is the smallest doc_id that links of at most
+    docs: doc_id (long, unique; a null one is linked to nothing it can name), text. component_id is the smallest doc_id that links of at most
     `radius` differing bits lead to, the document's own included. Null and blank texts share the
     fingerprint zero and are linked like any other; an empty table gives no rows; further columns are
     left out. Copies meet in one distinct fingerprint before any search.
@@ -208,7 +222,117 @@ def deduplicate(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int =
 
     A row without a doc_id is left out.
     """
-    keep = near_duplicates(docs, radius, shingle, seed).where("doc_id = component_id").select(
-        F.col("doc_id").alias("__kept")
-    )
-    return docs.join(keep.hint("merge"), docs["doc_id"] == keep["__kept"], "left_semi")  # alike at every size
+    keep = near_duplicates(docs, radius, shingle, seed).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
+    return _those(docs, keep)
+
+
+def _those(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is a kept_id; the hint makes the join alike at every size."""
+    return unboxed(boxed(docs).join(keep.hint("merge"), F.col("doc_id") == F.col("kept_id"), "left_semi"), docs)
+
+
+#: Words of 64 bits in a wide fingerprint.
+WIDE = 4
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = 5, seed: int = 42, block: int = 65_536) -> bytes:
+    """SimHash of the set of a text's shingles, in 256 bits: words and shingles as in fingerprint(), repeats once."""
+    words = (text or b"").lower().split()
+    if not words:
+        return bytes(8 * WIDE)
+    if len(words) < shingle:
+        words, shingle = [b" ".join(words)], 1
+    items = list({b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)})
+    total = np.zeros(BITS * WIDE, np.int64)
+    for at in range(0, len(items), block):
+        some = items[at : at + block]
+        hashes = b"".join([xxhash.xxh3_128_digest(s, seed) + xxhash.xxh3_128_digest(s, seed + 1) for s in some])
+        total += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(len(some), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > len(items)).tobytes()
+
+
+def differing_share(similarity: float) -> float:
+    """The share of bits in which two sets of one size and this Jaccard similarity are expected to differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_radius(similarity: float, slack: float = 1.3) -> int:
+    """Bits that two texts may differ in: what the similarity is expected to give, and `slack` standard deviations."""
+    p, bits = differing_share(similarity), BITS * WIDE
+    return round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def bands(number: int, similarity: float, missed: float = 0.02, seed: int = 42) -> np.ndarray:
+    """Bits of each band: rows of as many bits as keep `number` points thin, and so many rows that a pair of
+    this similarity agrees on no band with a probability of about `missed`, whatever the number of points."""
+    width = max(12, math.ceil(math.log2(max(2, number) / 64)))
+    same = (1 - differing_share(similarity)) ** width
+    count = max(1, math.ceil(math.log(missed) / math.log(1 - same)))
+    rng = np.random.default_rng(seed)
+    return np.array([rng.choice(BITS * WIDE, width, replace=False) for _ in range(count)])
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42, most: int = 2048, per_task: int = 40_000) -> DataFrame:
+    """doc_id, component_id of every document that has a doc_id: groups of texts alike in their word shingles.
+
+    Two documents are linked if their wide fingerprints, an estimate of the Jaccard similarity of their
+    sets of shingles, lie within wide_radius(similarity) and agree on one band at least. Documents meet
+    in shards, one for each value of each band, in which BK-trees are searched; equal fingerprints meet
+    before. Null and blank texts are alike. An empty table gives no rows. Columns but doc_id and text are
+    not read.
+    """
+    spark, radius = docs.sparkSession, wide_radius(similarity)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_binary() if pa.types.is_large_string(batch.column("text").type) else pa.binary())
+            found = pa.array((wide_fingerprint(t.as_py(), shingle, seed) for t in texts), pa.binary(), size=len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], names=["doc_id", "fp"])
+
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
+    prints = written(rows.mapInArrow(sketch, "doc_id long, fp binary"), "wide-fingerprints")
+    points = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "wide-points")
+    chosen = bands(points.count(), similarity, seed=seed)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                fps = batch.column("fp")
+                bits = np.unpackbits(np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
+                values = (bits[:, chosen].astype(np.int64) << np.arange(chosen.shape[1])).sum(axis=2)
+                who = pa.array(np.repeat(np.arange(batch.num_rows), len(chosen)))
+                columns = [batch.column("first").take(who), fps.take(who), pa.array(np.tile(np.arange(len(chosen)), batch.num_rows)), pa.array(values.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, names=["first", "fp", "mask", "value"])
+
+    level = points.mapInArrow(spread, "first long, fp binary, mask long, value long")
+    level = written(level, "bands", "zstd")
+    alone = level.groupBy("mask", "value").count().where("count > 1").drop("count")
+    level = in_blocks(level.join(alone, ["mask", "value"], "left_semi"), most)
+    buckets = max(1, -(-points.count() * len(chosen) // per_task))
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["mask", "value", "pair", "first"])
+        keys = rows[["mask", "value", "pair"]].to_numpy()
+        shard = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
+        known, who = np.unique(rows["first"].to_numpy(), return_inverse=True)
+        forest = BKForest(np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(len(rows), -1), shard)
+        root = _roots(len(known), ((who[i], who[j]) for i, j in forest.links(radius)))
+        moved = np.flatnonzero(root != np.arange(len(known)))
+        return pd.DataFrame({"u": known[moved], "v": known[root[moved]]})
+
+    level = level.withColumn("bucket", F.pmod(F.xxhash64("mask", "value", "pair"), F.lit(buckets)))
+    roots = connected_components(level.groupBy("bucket").applyInPandas(search, "u long, v long"))
+    named = points.join(roots, points["first"] == roots["node"], "left").select("fp", F.coalesce("root", "first").alias("component_id"))
+    found = written(prints.join(named, "fp").select("doc_id", "component_id"), "similar-documents")
+    remove(spark, prints, points)
+    return found
+
+
+def deduplicate_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42) -> DataFrame:
+    """docs, with only the document of smallest doc_id of each group of similar_documents(); all columns stay.
+
+    A row without a doc_id is left out.
+    """
+    groups = similar_documents(docs, similarity, shingle, seed)
+    return _those(docs, groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")))
