@@ -139,18 +139,23 @@ def source_mix(docs: DataFrame) -> DataFrame:
     return sums.withColumn("percent", 100.0 * F.col("tokens") / whole)
 
 
-def fair_order(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
+def fair_order(docs: DataFrame, weights: dict[str, float], span: int = 100_000) -> DataFrame:
     """doc_id, source, finish: the place of each document in a mix whose sources advance by tokens over weight.
 
     A document's finish is its source's running tokens over the weight; sorted by it, sources take turns
-    in proportion. Sources not named weigh one.
+    in proportion. Sources not named weigh one. Running sums are taken inside runs of `span` ids, and
+    only the runs' totals meet, so a source with most of the documents is many tasks.
     """
     weight = F.lit(1.0)
     for name, w in weights.items():
         weight = F.when(F.col("source") == name, w).otherwise(weight)
-    by = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = docs.select("doc_id", "source", X.blank_words(F.col("text")).alias("n"))
-    return rows.select("doc_id", "source", (F.sum("n").over(by) / weight).alias("finish"))
+    rows = docs.select("doc_id", "source", X.blank_words(F.col("text")).alias("n"), F.floor(F.col("doc_id") / span).alias("run"))
+    sooner = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("source", "run").agg(F.sum("n").alias("n"))
+    totals = totals.select(F.col("source").alias("s"), F.col("run").alias("r"), F.coalesce(F.sum("n").over(sooner), F.lit(0)).alias("held"))
+    by = Window.partitionBy("source", "run").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("own", F.sum("n").over(by)).join(totals, F.col("source").eqNullSafe(F.col("s")) & F.col("run").eqNullSafe(F.col("r")))
+    return rows.select("doc_id", "source", ((F.col("held") + F.col("own")) / weight).alias("finish"))
 
 
 def content_windows(docs: DataFrame, size: int = 128) -> DataFrame:

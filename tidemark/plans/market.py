@@ -415,37 +415,37 @@ def fibonacci(spark, sf_dir):
 
 @query(
     "asof_closed_bar",
-    f"""WITH {BARS}, d AS (SELECT event_type AS symbol, ts FROM events WHERE event_id % 7 = 0)
+    f"""WITH {BARS}, d AS (SELECT event_type AS symbol, ts FROM events)
     SELECT d.symbol, d.ts, b.ts AS bar_ts, round(b.close, 6) AS bar_close FROM d
     ASOF LEFT JOIN (SELECT *, ts + INTERVAL '15 minutes' AS shut FROM bars) b ON d.symbol = b.symbol AND b.shut <= d.ts""",
 )
 def asof_closed_bar(spark, sf_dir):
-    decisions = _events(spark, sf_dir).where("event_id % 7 = 0").select(F.col("event_type").alias("symbol"), "ts")
-    return J.as_of(decisions, _bars(spark, sf_dir), 15)
+    """Every event asks for the latest closed bar of its symbol."""
+    return J.as_of(_events(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts"), _bars(spark, sf_dir), 15)
 
 
 @query("asof_closed_bar_all")
 def asof_closed_bar_all(spark, sf_dir):
-    """asof_closed_bar for every event; held against a loop in the tests."""
-    return J.as_of(_events(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts"), _bars(spark, sf_dir), 15)
+    """asof_closed_bar under its former name."""
+    return asof_closed_bar(spark, sf_dir)
 
 
 @query(
     "signal_within_ttl",
-    """WITH q AS (SELECT event_type AS symbol, ts FROM events WHERE event_id % 7 = 0), s AS (SELECT event_type AS symbol, ts, value FROM events WHERE event_id % 11 = 0)
+    """WITH q AS (SELECT event_type AS symbol, ts FROM events WHERE event_id % 2 = 0), s AS (SELECT event_type AS symbol, ts, value FROM events WHERE event_id % 2 = 1)
     SELECT q.symbol, q.ts, CASE WHEN q.ts - s.ts <= INTERVAL '1 hour' THEN s.ts END AS signal_ts, CASE WHEN q.ts - s.ts <= INTERVAL '1 hour' THEN round(s.value, 6) END AS value
     FROM q ASOF LEFT JOIN s ON q.symbol = s.symbol AND s.ts <= q.ts""",
 )
 def signal_within_ttl(spark, sf_dir):
+    """The events of even ids ask for the newest event of an odd id of their symbol; every event takes part."""
     e = _events(spark, sf_dir).withColumnRenamed("event_type", "symbol")
-    return J.latest_within(e.where("event_id % 7 = 0").select("symbol", "ts"), e.where("event_id % 11 = 0").select("symbol", "ts", "value"), 3600)
+    return J.latest_within(e.where("event_id % 2 = 0").select("symbol", "ts"), e.where("event_id % 2 = 1").select("symbol", "ts", "value"), 3600)
 
 
 @query("signal_within_ttl_all")
 def signal_within_ttl_all(spark, sf_dir):
-    """Every even event asks for the newest odd event of its symbol; held against a loop in the tests."""
-    e = _events(spark, sf_dir).withColumnRenamed("event_type", "symbol")
-    return J.latest_within(e.where("event_id % 2 = 0").select("symbol", "ts"), e.where("event_id % 2 = 1").select("symbol", "ts", "value"), 3600)
+    """signal_within_ttl under its former name."""
+    return signal_within_ttl(spark, sf_dir)
 
 
 def _trades(e):
@@ -457,24 +457,25 @@ def _trades(e):
     "first_touch",
     f"""WITH {BARS}, o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS ord FROM bars),
         t AS (SELECT DISTINCT event_type AS symbol, ts, CASE WHEN event_id % 2 = 1 THEN 1 ELSE -1 END AS side, value AS entry,
-              value - CASE WHEN event_id % 2 = 1 THEN 8.0 ELSE -8.0 END AS stop, value + CASE WHEN event_id % 2 = 1 THEN 12.0 ELSE -12.0 END AS target FROM events WHERE event_id % 5 = 0),
-        s AS (SELECT t.*, (SELECT min(ord) FROM o WHERE o.symbol = t.symbol AND o.ts >= t.ts) AS start FROM t),
+              value - CASE WHEN event_id % 2 = 1 THEN 8.0 ELSE -8.0 END AS stop, value + CASE WHEN event_id % 2 = 1 THEN 12.0 ELSE -12.0 END AS target FROM events),
+        s AS (SELECT t.*, unnest(range(o.ord, o.ord + 12)) AS step FROM t ASOF JOIN o ON t.symbol = o.symbol AND t.ts <= o.ts),
         b AS (SELECT s.*, o.ord, o.close, CASE WHEN (side = 1 AND o.low <= stop) OR (side = -1 AND o.high >= stop) THEN -1.0
               WHEN (side = 1 AND o.high >= target) OR (side = -1 AND o.low <= target) THEN abs(target - entry) / abs(entry - stop) END AS result
-              FROM s JOIN o ON s.symbol = o.symbol AND o.ord BETWEEN s.start AND s.start + 11),
+              FROM s JOIN o ON s.symbol = o.symbol AND o.ord = s.step),
     g AS (SELECT symbol, ts, side, entry, stop, target, count(*) AS n_bars, first(result ORDER BY ord) FILTER (WHERE result IS NOT NULL) AS hit,
               last(close ORDER BY ord) AS last FROM b GROUP BY symbol, ts, side, entry, stop, target)
     SELECT symbol, ts, side, round(entry, 6) AS entry, round(stop, 6) AS stop, round(target, 6) AS target, n_bars,
            round(coalesce(hit, side * (last - entry) / abs(entry - stop)), 6) AS outcome FROM g""",
 )
 def first_touch(spark, sf_dir):
-    return J.first_touch(_trades(_events(spark, sf_dir).where("event_id % 5 = 0")), _bars(spark, sf_dir), 12)
+    """A trade for every event: which of its levels the next twelve bars reach first."""
+    return J.first_touch(_trades(_events(spark, sf_dir)), _bars(spark, sf_dir), 12)
 
 
 @query("first_touch_all")
 def first_touch_all(spark, sf_dir):
-    """first_touch for every event; held against a loop in the tests."""
-    return J.first_touch(_trades(_events(spark, sf_dir)), _bars(spark, sf_dir), 12)
+    """first_touch under its former name."""
+    return first_touch(spark, sf_dir)
 
 
 @query(
@@ -666,11 +667,15 @@ def walk_forward(spark, sf_dir):
         round(abs(sum(move)) / nullif(sum(abs(move)), 0), 6) AS consistency FROM s GROUP BY symbol""",
 )
 def tick_flow(spark, sf_dir):
-    """Flow metrics over the last 500 ticks of a symbol; a flat tick counts half to each side."""
+    """Flow metrics over the last 500 ticks of a symbol; a flat tick counts half to each side.
+
+    The newest ticks are picked in each task first, so no symbol's ticks meet in one.
+    """
     t = ticks(_events(spark, sf_dir))
     by = Window.partitionBy("symbol").orderBy("ts", "ord")
     newest = Window.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("ord"))
-    s = t.withColumns({"move": F.col("bid") - F.lag("bid").over(by), "age": F.row_number().over(newest)}).where("age <= 500")
+    s = t.withColumn("age", F.row_number().over(newest)).where("age <= 501")  # one more, for the first move
+    s = s.withColumn("move", F.col("bid") - F.lag("bid").over(by)).where("age <= 500")
     up, down = F.count_if(F.col("move") > 0), F.count_if(F.col("move") < 0)
     buy = F.when(F.col("move") > 0, 1.0).when(F.col("move") < 0, 0.0).otherwise(0.5)
     none = lambda x: F.when(x != 0, x)
@@ -689,13 +694,28 @@ def tick_flow(spark, sf_dir):
     SELECT symbol, CAST(last(cvd ORDER BY k) AS BIGINT) AS cvd, round(regr_slope(cvd, k), 6) AS slope FROM l WHERE k > n - 50 GROUP BY symbol""",
 )
 def cvd_slope(spark, sf_dir):
-    """Cumulative volume delta of a symbol, and its slope over the last 50 ticks."""
+    """Cumulative volume delta of a symbol, and its slope over the last 50 ticks.
+
+    The whole delta is a sum over days; the slope needs the newest ticks alone, which are picked in each task.
+    """
     t = ticks(_events(spark, sf_dir))
+    sign = F.coalesce(F.signum(F.col("bid") - F.col("before")), F.lit(0.0)).cast("int")
+    whole = _with_last_bid(t).groupBy("symbol").agg(F.sum(sign).alias("cvd"))
     by = Window.partitionBy("symbol").orderBy("ts", "ord")
-    move = F.col("bid") - F.lag("bid").over(by)
-    c = t.withColumn("sign", F.coalesce(F.signum(move), F.lit(0.0)).cast("int"))
-    c = c.withColumns({"cvd": F.sum("sign").over(by.rowsBetween(Window.unboundedPreceding, 0)), "k": F.row_number().over(by), "n": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
-    return c.where(F.col("k") > F.col("n") - 50).groupBy("symbol").agg(F.max_by("cvd", "k").alias("cvd"), F.regr_slope(F.col("cvd").cast("double"), F.col("k").cast("double")).alias("slope"))
+    newest = Window.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("ord"))
+    s = t.withColumn("age", F.row_number().over(newest)).where("age <= 51").withColumn("before", F.lag("bid").over(by))
+    s = s.select("symbol", "age", F.sum(sign).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("sofar")).where("age <= 50")
+    slope = s.groupBy("symbol").agg(F.regr_slope(F.col("sofar").cast("double"), -F.col("age").cast("double")).alias("slope"))
+    return whole.join(slope, "symbol").select("symbol", "cvd", "slope")
+
+
+def _with_last_bid(t):
+    """Ticks with `before`, the bid of the tick before; a symbol's days are windows of their own, between which only last bids go."""
+    t = t.withColumn("day", F.date_trunc("day", "ts"))
+    ends = t.groupBy("symbol", "day").agg(F.max_by("bid", F.struct("ts", "ord")).alias("end"))
+    ends = ends.select("symbol", "day", F.lag("end").over(Window.partitionBy("symbol").orderBy("day")).alias("held"))
+    inside = Window.partitionBy("symbol", "day").orderBy("ts", "ord")
+    return t.withColumn("before", F.lag("bid").over(inside)).join(ends, ["symbol", "day"]).withColumn("before", F.coalesce("before", "held")).drop("held", "day")
 
 
 @query(
@@ -706,8 +726,7 @@ def cvd_slope(spark, sf_dir):
 def tick_changes(spark, sf_dir):
     """Ticks that differ from the one before."""
     t = ticks(_events(spark, sf_dir))
-    before = F.lag("bid").over(Window.partitionBy("symbol").orderBy("ts", "ord"))
-    return t.withColumn("before", before).where("before IS NULL OR bid <> before").select("symbol", "ts", "ord", "bid")
+    return _with_last_bid(t).where("before IS NULL OR bid <> before").select("symbol", "ts", "ord", "bid")
 
 
 @query("duplicate_decisions", "SELECT count(*) - count(DISTINCT (user_id, event_type, CAST(round(value) AS BIGINT), hour(ts))) AS duplicates FROM events")
