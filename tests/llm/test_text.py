@@ -141,21 +141,20 @@ def test_toxicity_of_held_out_rows(spark, data):
     assert found.count() == docs.count()
 
 
-def slow_tree(tokens, depth):
-    """Log10 probabilities by a context-tree built node by node."""
+def slow_tree(streams, depth):
+    """Log10 probabilities by a context-tree built node by node from byte streams."""
     seen = collections.defaultdict(lambda: [0, 0])
 
-    def steps(token):
-        data = token if token == b"\n" else token + b" "
+    def steps(data):
         for i, byte in enumerate(data):
-            context = (b" " * depth + data[:i])[-depth:]
+            context = (b"\n" * depth + data[:i])[-depth:]
             for k in range(8):
                 yield context, (1 << k) | (byte >> (8 - k)), byte >> (7 - k) & 1
 
-    for token, n in tokens.items():
-        for context, node, bit in steps(token):
+    for data in streams:
+        for context, node, bit in steps(data):
             for d in range(depth + 1):
-                seen[context[depth - d :], node][bit] += n
+                seen[context[depth - d :], node][bit] += 1
 
     def kt(a, b):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
@@ -174,9 +173,9 @@ def slow_tree(tokens, depth):
             total[key] = math.log(0.5) + max(own, rest) + math.log1p(math.exp(-abs(own - rest)))
             weight[key] = math.exp(math.log(0.5) + own - total[key])
 
-    def score(token):
+    def score(data):
         out = 0.0
-        for context, node, bit in steps(token):
+        for context, node, bit in steps(data):
             acc, rem, p = 0.0, 1.0, 0.5
             for d in range(depth + 1):
                 key = (context[depth - d :], node)
@@ -191,20 +190,43 @@ def slow_tree(tokens, depth):
     return score
 
 
-@pytest.mark.parametrize("most_common", [0, 5, 100_000])
-def test_context_tree_matches_brute_force(spark, most_common):
+@pytest.mark.parametrize(("most_common", "most_grams"), [(0, 0), (5, 300), (100_000, 1_000_000)])
+def test_context_tree_matches_brute_force(spark, most_common, most_grams):
     rng = random.Random(9)
     texts = [None, "", "  ", "Ünï CODE ünï"] + [" ".join(rng.choice(["the", "then", "THEM", "a", "é", f"x{i}"]) for _ in range(rng.randint(1, 9))) for i in range(40)]
     words = {i: [w.encode() for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group(0).lower(), t or "")) if w] + [b"\n"] for i, t in enumerate(texts)}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in words}
     count = collections.Counter(w for i, ws in words.items() if not held[i] for w in ws)
-    total, score = sum(count.values()), slow_tree(count, ctw.DEPTH)
-    got = {r.doc_id: r for r in ctw.scored(table(spark, texts), most_common=most_common).collect()}
+    streams = {i: b"".join(w + b" " * (w != b"\n") for w in ws) for i, ws in words.items()}
+    total, score = sum(count.values()), slow_tree([streams[i] for i in words if not held[i]], ctw.DEPTH)
+    got = {r.doc_id: r for r in ctw.scored(table(spark, texts), most_common=most_common, most_grams=most_grams).collect()}
     for i, ws in words.items():
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(count[w] > 0 for w in ws), total)
         assert math.isclose(r.base_score, sum(math.log10((count[w] + 1) / (total + len(count) + 1)) for w in ws), abs_tol=1e-9)
-        assert math.isclose(r.score, sum(map(score, ws)), rel_tol=1e-8)
-        assert r.code_length > 0
+        assert math.isclose(r.score, score(streams[i]), rel_tol=1e-7)
+        assert math.isclose(r.code_length, -r.score * math.log2(10) / len(streams[i]), rel_tol=1e-9)
     assert ctw.scored(table(spark, texts).where("false")).collect() == []
     assert {r.n_tokens for r in ctw.scored(table(spark, [None, "", " "])).collect()} == {1}
+
+
+def test_context_tree_minds_the_order_of_words(spark):
+    rng = random.Random(3)
+    vocabulary = [f"{rng.choice('bdfgklm')}{rng.choice('aeiou')}{rng.choice('nrst')}{k}" for k in range(40)]
+    fixed = {w: rng.choice(vocabulary) for w in vocabulary}  # each word calls for one other
+
+    def text():
+        out = [rng.choice(vocabulary)]
+        while len(out) < 60:
+            out.append(fixed[out[-1]] if rng.random() < 0.9 else rng.choice(vocabulary))
+        return out
+
+    words = [text() for _ in range(120)]
+    texts = [" ".join(w) for w in words]
+    texts += [" ".join(rng.sample(w, len(w))) for w in words]
+    docs = spark.createDataFrame([(i if i < 120 else 1000 + 7 * i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in ctw.scored(docs.where("doc_id < 120")).collect()}
+    both = {r.doc_id: r.score for r in ctw.scored(docs).collect()}
+    held = [i for i in range(120) if zlib.crc32(str(i).encode()) % 7 == 2]
+    assert held and all(both[i] > both[1000 + 7 * (120 + i)] for i in range(120))
+    assert len(score) == 120

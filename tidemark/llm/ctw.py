@@ -1,16 +1,17 @@
 """Language-model scores by context-tree weighting over binary-decomposed bytes.
 
-A text is its words, each ended by a blank, and then the end token, a line feed. A byte is eight
-binary decisions; each decision, named by the bits of the byte so far, has a context tree of its own
-over the bytes before it. A context ends at the start of the word, which counts as blanks, so the code
-length of a word does not depend on its neighbours and is worked out once for each different word.
-Every node holds a Krichevsky-Trofimov estimator; a node's weighted probability is half its own
-estimate and half the product of its children's. A context that training never met adds nothing: its
-deepest known ancestor predicts in its place.
-
-Nodes are rows: (bytes of the context, bits so far) in one long. Trees are built from the leaves up and
-read from the root down, one aggregation or join for each depth, so they may be as large as the corpus
-makes them.
+A text is its lower-case words, each ended by a blank, and then the end token, a line feed; line feeds
+also stand before its first word. A byte is eight binary decisions; each decision, named by the bits of
+the byte so far, has a context tree of its own over the DEPTH bytes before it, across words. Every node
+holds a Krichevsky-Trofimov estimator; a node's weighted probability is half its own estimate and half
+the product of its children's. A context that training never met adds nothing: its deepest known
+ancestor predicts in its place.
+
+What the corpus shows is counted by grams: a byte and its context in one long, the nearest byte of the
+context in the lowest place but one. A tree below two bytes of context is built where its grams have
+been sent, from the leaves up and then from the root down; of what lies above, 256 x 255 decisions at
+most, the driver makes one small table. So the number of grams may be as large as the corpus makes it; a
+task holds the grams of some two-byte contexts.
 """
 
 from __future__ import annotations
@@ -19,17 +20,24 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc32_mod, remove, written
 
 #: Bytes of context.
 DEPTH = 5
+
+#: Bytes of context by which grams are dealt to tasks.
+TOP = 2
 END = b"\n"
 
+#: Slots of the table of common grams that goes to the tasks that read texts: a fixed number.
+SLOTS = 1 << 21
+
 
 def _slices(batch: pa.RecordBatch, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text each."""
@@ -77,214 +85,323 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held").mapInArrow(run, "token binary, n_all long, n long").groupBy("token").agg(F.sum("n_all").alias("n_all"), F.sum("n").alias("n"))
 
 
-def grams(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the token, and context and byte in one int64, of every byte that the tokens stand for."""
-    tokens = tokens.cast(pa.binary())
-    ends = pc.equal(tokens, pa.scalar(END, pa.binary())).to_numpy(zero_copy_only=False)
-    size = pc.binary_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
-    total = size + np.where(ends, 0, 1)
-    start = np.cumsum(total) - total
-    data = np.full(int(total.sum()), 0x20, np.int64)
-    whose = np.repeat(np.arange(len(tokens)), total)
-    inside = np.arange(len(data)) - start[whose]
-    raw = np.frombuffer(b"".join(tokens.to_pylist()), np.uint8)
-    data[inside < size[whose]] = raw
-    packed = data.copy()
+#: A byte as the model sees it: A-Z in lower case, white space as a blank.
+_SEEN = np.arange(256, dtype=np.uint8)
+_SEEN[65:91] += 32
+_SEEN[9:14] = 32
+
+
+def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the texts, each after DEPTH line feeds, and where each text's own bytes begin (and the end of all)."""
+    texts = pc.fill_null(texts.cast(pa.binary()), b"")
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    raw = _SEEN[np.frombuffer(b"".join(texts.to_pylist()), np.uint8)]
+    ends = np.cumsum(size)
+    word = raw != 32
+    last = word.copy()  # the last byte of a word: what follows is a blank, or nothing
+    last[:-1] &= ~word[1:]
+    if len(raw):
+        closed = ends[size > 0] - 1
+        last[closed] = word[closed]
+    made = word.astype(np.int64) + last
+    before = np.concatenate([[0], np.cumsum(made)])
+    own = before[ends] - before[ends - size] + 1  # with the end token
+    begin = np.cumsum(own + DEPTH) - own
+    out = np.full(int((own + DEPTH).sum()), 32, np.uint8)
+    row = np.repeat(np.arange(len(size)), size)
+    at = before[:-1] - before[ends - size][row] + begin[row]
+    out[at[word]] = raw[word]
     for back in range(1, DEPTH + 1):
-        before = np.full(len(data), 0x20, np.int64)
-        before[back:] = np.where(inside[back:] >= back, data[:-back], 0x20)
-        packed |= before << (8 * back)
-    return whose, packed
+        out[begin - back] = 10
+    out[begin + own - 1] = 10
+    return out, np.append(begin, len(out) + DEPTH)
 
 
-def _lgamma(x: Column) -> Column:
-    """ln Gamma(x) for x > 0: Stirling's series at x + 7, less the logs of the factors between."""
-    y = x + 7
-    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
-    factors = x
-    for k in range(1, 7):
-        factors = factors * (x + k)
-    return series - F.log(factors)
+def grams(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context and byte in one int64 of every byte of the texts in a stream, and where each text's begin (and their end)."""
+    packed = data.astype(np.int64)
+    for back in range(1, DEPTH + 1):
+        packed[back:] |= data[:-back].astype(np.int64) << (8 * back)
+    own = np.ones(len(data), bool)
+    for back in range(1, DEPTH + 1):
+        own[begin[:-1] - back] = False
+    return packed[own], begin - DEPTH * np.arange(1, len(begin) + 1)
 
 
-def log_kt(zeros: Column, ones: Column) -> Column:
-    """ln of the Krichevsky-Trofimov probability of a sequence with so many zeros and ones."""
-    a, b = zeros.cast("double"), ones.cast("double")
-    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - math.log(math.pi)
+def _added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of grams as one, each gram once."""
+    gram = np.concatenate([p[0] for p in parts])
+    order = np.argsort(gram, kind="stable")
+    gram = gram[order]
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+    return gram[first], *(np.add.reduceat(np.concatenate([p[i] for p in parts])[order], first) if len(gram) else gram for i in (1, 2))
 
 
-def _add_logs(a: Column, b: Column) -> Column:
-    return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """gram, n_all, n: how often each gram occurs in docs (text, held), and in those not held out."""
 
+    def rows(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        yield from pa.table([pa.array(x) for x in found], names=["gram", "n_all", "n"]).to_batches(500_000)
 
-def _parent(key: Column, depth: int) -> Column:
-    """Key of the node above a node of this depth: the byte farthest back is dropped."""
-    kept = F.shiftright(key, 8).bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1))
-    return F.shiftleft(kept, 8).bitwiseOR(key.bitwiseAND(F.lit(0xFF)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for part in _slices(batch):
+                out = part.column("held").to_numpy(zero_copy_only=False)
+                for teaches in (True, False):
+                    texts = part.column("text").filter(pa.array(out != teaches))
+                    if len(texts):
+                        gram, n = np.unique(grams(*stream(texts))[0], return_counts=True)
+                        held.append((gram, n, n if teaches else np.zeros_like(n)))
+            if sum(len(h[0]) for h in held) > 4_000_000:
+                held = [_added(held)]
+                if len(held[0][0]) > 3_000_000:  # the sums go on; Spark adds them up
+                    yield from rows(held.pop())
+        if held:
+            yield from rows(_added(held))
 
+    counted = docs.select("text", "held").mapInArrow(run, "gram long, n_all long, n long")
+    return counted.groupBy("gram").agg(F.sum("n_all").alias("n_all"), F.sum("n").alias("n"))
 
-def _node(byte: Column, k: int) -> Column:
-    """The decision on bit k (0 is the highest) of a byte: a one, then the bits before it."""
-    return F.lit(1 << k).cast("long").bitwiseOR(F.shiftright(byte, 8 - k))
 
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """ln Gamma(x) for x > 0: Stirling's series at x + 7, less the logs of the factors between."""
+    y = x + 7
+    series = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    factors = x.copy()
+    for k in range(1, 7):
+        factors *= x + k
+    return series - np.log(factors)
 
-def trees(counts: DataFrame) -> list[DataFrame]:
-    """For each depth from 0: key, p - the weighted probability that the decision is 1 where no deeper node is known.
 
-    counts: gram (long: the context's bytes and the byte), n > 0.
-    """
-    spark = counts.sparkSession
-    byte, context = F.col("gram").bitwiseAND(F.lit(0xFF)), F.shiftright("gram", 8)
-    steps = [
-        F.struct(
-            F.shiftleft(context, 8).bitwiseOR(_node(byte, k)).alias("key"),
-            F.shiftright(byte, 7 - k).bitwiseAND(F.lit(1)).alias("bit"),
-        )
-        for k in range(8)
-    ]
-    bits = counts.select("n", F.explode(F.array(*steps)).alias("x"))
-    level = bits.groupBy(F.col("x.key").alias("key")).agg(
-        F.sum(F.when(F.col("x.bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("x.bit") == 1, F.col("n")).otherwise(0)).alias("n1")
-    )
-    levels = [written(level.withColumn("lw", log_kt(F.col("n0"), F.col("n1"))).withColumn("w", F.lit(1.0)), f"tree{DEPTH}")]
-    for depth in range(DEPTH, 0, -1):
-        up = levels[0].groupBy(_parent(F.col("key"), depth).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lw").alias("below"))
-        own = log_kt(F.col("n0"), F.col("n1"))
-        up = up.withColumn("own", own).withColumn("lw", _add_logs(F.col("own"), F.col("below")) - math.log(2))
-        levels.insert(0, written(up.select("key", "n0", "n1", "lw", F.exp(F.col("own") - math.log(2) - F.col("lw")).alias("w")), f"tree{depth - 1}"))
-    out = []
-    one = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
-    for depth, level in enumerate(levels):
-        own = level.select("key", "w", one.alias("one"))
-        if depth == 0:
-            own = own.withColumns({"acc": F.lit(0.0), "rem": F.lit(1.0)})
-        else:
-            above = out[-1].select(F.col("key").alias("up"), "acc", "rem")
-            own = own.withColumn("up", _parent(F.col("key"), depth)).join(above, "up").drop("up")
-        own = own.select("key", (F.col("acc") + F.col("rem") * F.col("one")).alias("p"), (F.col("acc") + F.col("rem") * F.col("w") * F.col("one")).alias("acc"), (F.col("rem") * (1 - F.col("w"))).alias("rem"))
-        out.append(written(own, f"predictions{depth}"))
-    remove(spark, *levels)
-    return out
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov probability of a sequence with so many zeros and ones."""
+    return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def gram_scores(all_grams: DataFrame) -> DataFrame:
-    """gram, logp (base 10): the model's probability of the byte in its context.
+class _Nodes:
+    """The decisions on bit k (0 is the highest) of a byte, one for each context and bits before it.
 
-    all_grams: gram, n - n is 0 for what training never met.
+    keys: contexts and bytes in one number each, sorted; n: how often each occurs.
     """
-    levels = trees(all_grams.where("n > 0"))
-    maps = [
-        p.groupBy(F.shiftright("key", 8).alias("context")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(0xFF)), "p"))).alias("known"))
-        for p in levels  # at most 255 decisions for each context
-    ]
-    byte = F.col("gram").bitwiseAND(F.lit(0xFF))
-    rows = all_grams.withColumns({f"p{k}": F.lit(None).cast("double") for k in range(8)})
-
-    def looked_up(rows: DataFrame, depth: int) -> DataFrame:
-        context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * depth) - 1))
-        found = rows.withColumn("context", context).join(maps[depth], "context", "left")
-        return found.select("gram", "n", *[F.coalesce(f"p{k}", F.element_at("known", _node(byte, k))).alias(f"p{k}") for k in range(8)])
-
-    met = looked_up(rows.where("n > 0"), DEPTH)
-    new = rows.where("n = 0")
-    for depth in range(DEPTH, -1, -1):
-        new = looked_up(new, depth)
-    logs = [F.log10(F.when(F.shiftright(byte, 7 - k).bitwiseAND(F.lit(1)) == 1, p).otherwise(1 - p)) for k in range(8) for p in [F.coalesce(f"p{k}", F.lit(0.5))]]
-    return met.unionByName(new).select("gram", sum(logs[1:], logs[0]).alias("logp"))
-
-
-def token_scores(counts: DataFrame) -> DataFrame:
-    """token, n, n_all, logp: the model's log10 probability of each token of counts (token, n_all, n).
-
-    The model learns from n; a token with n = 0 is scored alike.
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, k: int) -> None:
+        name = keys >> (8 - k)
+        self.first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        self.of_row = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(keys))))
+        self.ones = np.add.reduceat(n * ((keys >> (7 - k)) & 1), self.first).astype(float)
+        self.zeros = np.add.reduceat(n, self.first) - self.ones
+        self.seen = self.zeros + self.ones > 0
+        self.one = (self.ones + 0.5) / (self.zeros + self.ones + 1)
+
+    def weigh(self, below: np.ndarray | None) -> None:
+        """lw: ln of the weighted probability; w: the share of the node's own estimate in it. below: the children's."""
+        own = log_kt(self.zeros, self.ones)
+        if below is None:
+            self.lw, self.w = own, np.ones_like(own)
+        else:
+            self.lw = np.logaddexp(own, below) - math.log(2)
+            self.w = np.exp(own - math.log(2) - self.lw)
+
+    def descend(self, acc: np.ndarray, rem: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What is settled, what is open, and P(1) where nothing deeper is known, from the same of the parents."""
+        p = np.where(self.seen, acc + rem * self.one, p)
+        return np.where(self.seen, acc + rem * self.w * self.one, acc), np.where(self.seen, rem * (1 - self.w), rem), p
+
+
+class _Forest:
+    """The trees below TOP bytes of context, for sorted grams and their counts."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray) -> None:
+        self.keys, self.n, self.up = {DEPTH: gram}, {DEPTH: n}, {}
+        for depth in range(DEPTH - 1, TOP - 1, -1):
+            # a gram's context without the byte farthest back, which is in its highest place
+            self.keys[depth], self.up[depth] = np.unique(self.keys[depth + 1] & ((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+            self.n[depth] = np.bincount(self.up[depth], weights=self.n[depth + 1], minlength=len(self.keys[depth])).astype(np.int64)
+
+    def nodes(self, k: int) -> dict[int, _Nodes]:
+        """The decisions on bit k at each depth, weighed."""
+        found = {depth: _Nodes(self.keys[depth], self.n[depth], k) for depth in range(TOP, DEPTH + 1)}
+        for depth in range(DEPTH, TOP - 1, -1):
+            below = None
+            if depth < DEPTH:
+                child = found[depth + 1]
+                below = np.bincount(self.parents(found, depth + 1), weights=child.lw, minlength=len(found[depth].first))
+            found[depth].weigh(below)
+        return found
+
+    def parents(self, found: dict[int, _Nodes], depth: int) -> np.ndarray:
+        return found[depth - 1].of_row[self.up[depth - 1][found[depth].first]]
+
+    def tops(self) -> pd.DataFrame:
+        """c (nearest byte), node, zeros, ones, lw: what each decision at depth TOP adds to depth 1, summed up."""
+        out = []
+        for k in range(8):
+            top = self.nodes(k)[TOP]
+            key = self.keys[TOP][top.first]
+            node = (1 << k) | ((key & 255) >> (8 - k))
+            out.append(pd.DataFrame({"c": (key >> 8) & 255, "node": node, "zeros": top.zeros, "ones": top.ones, "lw": top.lw}))
+        return pd.concat(out).groupby(["c", "node"], as_index=False).sum()
+
+    def scores(self, above: np.ndarray) -> np.ndarray:
+        """log10 of each gram's probability; above: acc, rem and p at depth 1 by nearest byte and node."""
+        gram, total = self.keys[DEPTH], np.zeros(len(self.keys[DEPTH]))
+        for k in range(8):
+            found = self.nodes(k)
+            key = self.keys[TOP][found[TOP].first]
+            state = tuple(above[:, (key >> 8) & 255, (1 << k) | ((key & 255) >> (8 - k))])
+            for depth in range(TOP, DEPTH + 1):
+                if depth > TOP:
+                    up = self.parents(found, depth)
+                    state = tuple(x[up] for x in state)
+                state = found[depth].descend(*state)
+            p = state[2][found[DEPTH].of_row]
+            total += np.log10(np.where((gram >> (7 - k)) & 1, p, 1 - p))
+        return total
+
+
+def _above(rows: pd.DataFrame) -> np.ndarray:
+    """acc, rem and p of the decisions at depth 1, from the sums of what lies below them."""
+    zeros, ones, below = np.zeros((3, 256, 256))
+    at = rows["c"].to_numpy(), rows["node"].to_numpy()
+    zeros[at], ones[at], below[at] = rows["zeros"], rows["ones"], rows["lw"]
+
+    def weighed(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = log_kt(zeros, ones)
+        lw = np.logaddexp(own, below) - math.log(2)
+        return lw, np.exp(own - math.log(2) - lw)
+
+    lw, w = weighed(zeros, ones, below)
+    z, o = zeros.sum(axis=0), ones.sum(axis=0)
+    _, root = weighed(z, o, np.where(zeros + ones > 0, lw, 0.0).sum(axis=0))
+    one = (o + 0.5) / (z + o + 1)
+    seen = zeros + ones > 0
+    acc, rem, p = root * one * (z + o > 0), np.where(z + o > 0, 1 - root, 1.0), np.where(z + o > 0, one, 0.5)
+    own = (ones + 0.5) / (zeros + ones + 1)
+    return np.stack([np.where(seen, acc + rem * w * own, acc), np.where(seen, rem * (1 - w), rem), np.where(seen, acc + rem * own, p)])
+
+
+def gram_scores(counts: DataFrame, per_task: int = 400_000) -> DataFrame:
+    """gram, n_all, logp (base 10): the model's probability of the byte in its context.
+
+    counts: gram (each once), n_all, n - the model learns from n, which is 0 for what training never met. Two
+    passes over the grams, dealt by the two nearest bytes of the context: the first sums up what
+    lies below depth 1, the second scores.
     """
     spark = counts.sparkSession
-    numbered = written(counts.withColumn("id", F.monotonically_increasing_id()), "tokens")
+    buckets = max(1, -(-counts.count() // per_task))
+    near = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1))
+    dealt = counts.withColumn("bucket", F.pmod(F.xxhash64(near), F.lit(buckets)))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whose, found = grams(batch.column("token"))
-            names, at = np.unique(found, return_inverse=True)
-            n = np.bincount(at, weights=batch.column("n").to_numpy()[whose], minlength=len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n.astype(np.int64))], names=["gram", "n"])
+    def forest(rows: pd.DataFrame) -> tuple[_Forest, np.ndarray]:
+        order = np.argsort(rows["gram"].to_numpy())
+        return _Forest(rows["gram"].to_numpy()[order], rows["n"].to_numpy()[order]), order
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whose, found = grams(batch.column("token"))
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("id").to_numpy()[whose]), pa.array(found)], names=["id", "gram"])
+    tops = dealt.groupBy("bucket").applyInPandas(lambda rows: forest(rows)[0].tops(), "c long, node long, zeros double, ones double, lw double")
+    tops = tops.groupBy("c", "node").agg(*[F.sum(x).alias(x) for x in ("zeros", "ones", "lw")])
+    above = spark.sparkContext.broadcast(_above(tops.toPandas()))  # 256 x 255 rows at most
 
-    every = numbered.select("token", "n").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    every = written(every, "grams")
-    known = written(gram_scores(every), "gram-scores")
-    parts = numbered.select("token", "id").mapInArrow(place, "id long, gram long").join(known, "gram")
-    sums = parts.groupBy("id").agg(F.sum("logp").alias("logp"))
-    out = written(numbered.join(sums, "id").select("token", "n", "n_all", "logp"), "token-scores")
-    remove(spark, numbered, every, known)
-    return out
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        trees, order = forest(rows)
+        return pd.DataFrame({"gram": trees.keys[DEPTH], "n_all": rows["n_all"].to_numpy()[order], "logp": trees.scores(above.value)})
 
+    return written(dealt.groupBy("bucket").applyInPandas(score, "gram long, n_all long, logp double"), "gram-scores", "zstd")
 
-def scored(docs: DataFrame, folds: int = 7, held: int = 2, most_common: int = 100_000) -> DataFrame:
+
+def _slot(gram: np.ndarray) -> np.ndarray:
+    return (gram * np.int64(-7046029254386353131) >> np.int64(20)) & (SLOTS - 1)
+
+
+def _common(known: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A table of the commonest grams, and their scores: at most one to each of SLOTS slots, and about `most` in all."""
+    size = F.floor(4 * F.log2("n_all"))
+    sizes = {r["size"]: r["count"] for r in known.groupBy(size.alias("size")).count().collect()}
+    least, room = None, most
+    for name in sorted(sizes, reverse=True):
+        if sizes[name] > room:
+            break
+        least, room = name, room - sizes[name]
+    keys, values = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS)
+    if least is not None:
+        top = known.where(size >= least).toArrow()
+        order = np.argsort(-top["n_all"].to_numpy(), kind="stable")
+        gram, logp = top["gram"].to_numpy()[order], top["logp"].to_numpy()[order]
+        slots, first = np.unique(_slot(gram), return_index=True)
+        keys[slots], values[slots] = gram[first], logp[first]
+    return keys, values
+
+
+def scored(docs: DataFrame, folds: int = 7, held: int = 2, most_common: int = 100_000, most_grams: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, code_length of every document.
 
     docs: doc_id (long, unique), text; a null text counts as empty, and is the end token alone. Documents
     whose crc32(doc_id) modulo folds is `held` teach nothing. base_score is the unigram model with one
     added to each count, score the context-tree model, both log10; code_length is the latter in bits per
-    byte of the words, with an end mark for each word and for the text. An empty table gives no rows.
+    byte of the words, with an end mark for each word and for the text. An empty table gives no rows; of
+    rows without a doc_id one comes out, with their sums.
 
-    Scores of the most_common tokens - a fixed number - go to the tasks that read the texts; what else a
-    document has is joined by token, so no table that grows with the corpus is sent around.
+    Scores of the most_common tokens and of about most_grams grams - fixed numbers - go to the tasks that
+    read the texts; what else a document has is joined, so no table that grows with the corpus is sent around.
     """
     spark = docs.sparkSession
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), (crc32_mod(F.col("doc_id"), folds) == held).alias("held"))
-    table = token_scores(token_counts(own))
+    own = own.withColumn("held", F.coalesce("held", F.lit(False)))
+    table = written(token_counts(own), "tokens")
     known = table.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("different")).first()
     total, different = known["total"], known["different"]
     base = F.log10((F.col("n") + 1) / (total + different + 1))
-    table = table.withColumn("base", base)
+    counted = written(gram_counts(own), "grams")
+    spelled = gram_scores(counted)
+    remove(spark, counted)
     is_end = F.col("token") == F.lit(END)  # every document has it, so it is always at hand
     most = table.where(~is_end).orderBy(F.desc("n_all"), "token").limit(most_common)
-    top = most.unionByName(table.where(is_end)).select("token", "n", "base", "logp").toArrow()
+    top = most.unionByName(table.where(is_end)).select("token", "n", base.alias("base")).toArrow()
     common = spark.sparkContext.broadcast({bytes(t): i for i, t in enumerate(top["token"].to_pylist())})
-    values = spark.sparkContext.broadcast(np.stack([(top["n"].to_numpy() > 0).astype(float), top["base"].to_numpy(), top["logp"].to_numpy()]) if len(top) else np.zeros((3, 0)))
+    values = spark.sparkContext.broadcast(np.stack([(top["n"].to_numpy() > 0).astype(float), top["base"].to_numpy()]) if len(top) else np.zeros((2, 0)))
+    slots = spark.sparkContext.broadcast(_common(spelled, most_grams))
+    names = ["doc_id", "token", "gram", "times", "bytes", "known", "base", "logp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, sums = common.value, values.value
+        place, sums, (keys, logs) = common.value, values.value, slots.value
         for batch in batches:
             for part in _slices(batch):
-                row, names, code = _tokens(part)
-                rows, size = part.num_rows, pc.binary_length(names).to_numpy(zero_copy_only=False).astype(float)
-                at = np.array([place.get(t, -1) for t in names.to_pylist()], np.int64)
+                ids, rows = part.column("doc_id"), part.num_rows
+                row, words, code = _tokens(part)
+                at = np.array([place.get(t, -1) for t in words.to_pylist()], np.int64)
                 where = at[code]
                 easy = where >= 0
                 found = [np.bincount(row[easy], weights=v[where[easy]], minlength=rows).astype(float) for v in sums]
-                words = np.bincount(row, minlength=rows)
                 if END in place:  # it is in every table that is not empty
                     found = [f + v[place[END]] for f, v in zip(found, sums, strict=True)]
-                length = np.bincount(row, weights=size[code] + 1, minlength=rows) + 1.0
-                ids = part.column("doc_id")
-                none = pa.nulls(rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, none, pa.array(words + 1, pa.int64()), pa.array(length), *map(pa.array, found)], names=["doc_id", "token", "times", "bytes", "known", "base", "logp"])
-                hard, times = np.unique(row[~easy] * len(names) + code[~easy], return_counts=True)
-                whose, which = hard // max(1, len(names)), hard % max(1, len(names))
-                zero = pa.array(np.zeros(len(hard)))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(whose)), names.take(pa.array(which)), pa.array(times.astype(np.int64)), zero, zero, zero, zero], names=["doc_id", "token", "times", "bytes", "known", "base", "logp"])
-
-    shape = "doc_id long, token binary, times long, bytes double, known double, base double, logp double"
+                gram, begin = grams(*stream(part.column("text")))
+                slot = _slot(gram)
+                rare = np.flatnonzero(keys[slot] != gram)
+                logp = logs[slot]
+                logp[rare] = 0
+                found.append(np.add.reduceat(logp, begin[:-1]) if rows else np.zeros(0))
+                none, zero = (lambda n, t: pa.nulls(n, t)), (lambda n: pa.array(np.zeros(n)))
+                tokens = np.bincount(row, minlength=rows) + 1
+                yield pa.RecordBatch.from_arrays([ids, none(rows, pa.binary()), none(rows, pa.int64()), pa.array(tokens, pa.int64()), pa.array(np.diff(begin).astype(float)), *map(pa.array, found)], names=names)
+                hard, times = np.unique(row[~easy] * len(words) + code[~easy], return_counts=True)
+                whose, which = hard // max(1, len(words)), hard % max(1, len(words))
+                n = len(hard)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(whose)), words.take(pa.array(which)), none(n, pa.int64()), pa.array(times.astype(np.int64)), zero(n), zero(n), zero(n), zero(n)], names=names)
+                whose = np.searchsorted(begin, rare, side="right") - 1
+                n, ones = len(rare), pa.array(np.ones(len(rare), np.int64))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(whose)), none(n, pa.binary()), pa.array(gram[rare]), ones, zero(n), zero(n), zero(n), zero(n)], names=names)
+
+    shape = "doc_id long, token binary, gram long, times long, bytes double, known double, base double, logp double"
     parts = written(own.select("doc_id", "text").mapInArrow(run, shape), "parts", "zstd")
-    rare = parts.where("token IS NOT NULL").select("doc_id", "token", "times")
-    rare = rare.join(table.select("token", "n", "base", "logp"), "token").select(
-        "doc_id",
-        F.lit(0).cast("long").alias("times"),
-        F.lit(0.0).alias("bytes"),
-        (F.col("times") * (F.col("n") > 0).cast("int")).cast("double").alias("known"),
-        (F.col("times") * F.col("base")).alias("base"),
-        (F.col("times") * F.col("logp")).alias("logp"),
-    )
-    both = parts.where("token IS NULL").drop("token").unionByName(rare)
+    no, none = F.lit(0.0), F.lit(0).cast("long").alias("times")
+    rare = parts.where("token IS NOT NULL").select("doc_id", "token", "times").join(table.select("token", "n", base.alias("base")), "token")
+    rare = rare.select("doc_id", none, no.alias("bytes"), (F.col("times") * (F.col("n") > 0).cast("int")).cast("double").alias("known"), (F.col("times") * F.col("base")).alias("base"), no.alias("logp"))
+    odd = parts.where("gram IS NOT NULL").groupBy("doc_id", "gram").agg(F.sum("times").alias("times")).join(spelled.select("gram", "logp"), "gram")
+    odd = odd.select("doc_id", none, no.alias("bytes"), no.alias("known"), no.alias("base"), (F.col("times") * F.col("logp")).alias("logp"))
+    both = parts.where("token IS NULL AND gram IS NULL").drop("token", "gram").unionByName(rare).unionByName(odd)
     sums = both.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("times", "bytes", "known", "base", "logp")])
     return sums.select(
         "doc_id",
-        (crc32_mod(F.col("doc_id"), folds) == held).alias("held_out"),
+        F.coalesce(crc32_mod(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"),
         F.col("times").alias("n_tokens"),
         F.round("known").cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
