@@ -39,7 +39,7 @@ END = b"\n"
 SLOTS = 1 << 21
 
 
-def _slices(batch: pa.RecordBatch, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text each."""
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = np.cumsum(sizes) // most
@@ -103,14 +103,13 @@ def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if len(raw):
         closed = ends[size > 0] - 1
         last[closed] = word[closed]
-    made = word.astype(np.int64) + last
-    before = np.concatenate([[0], np.cumsum(made)])
+    before = np.concatenate([[0], np.cumsum(word.astype(np.int8) + last, dtype=np.int64)])
     own = before[ends] - before[ends - size] + 1  # with the end token
     begin = np.cumsum(own + DEPTH) - own
     out = np.full(int((own + DEPTH).sum()), 32, np.uint8)
-    row = np.repeat(np.arange(len(size)), size)
-    at = before[:-1] - before[ends - size][row] + begin[row]
-    out[at[word]] = raw[word]
+    shift = np.repeat(begin - before[ends - size], size)  # from a byte's place among all to its place in out
+    out[(before[:-1] + shift)[word]] = raw[word]
+    del shift, before
     for back in range(1, DEPTH + 1):
         out[begin - back] = 10
     out[begin + own - 1] = 10
@@ -141,7 +140,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """gram, n_all, n: how often each gram occurs in docs (text, held), and in those not held out."""
 
     def rows(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        yield from pa.table([pa.array(x) for x in found], names=["gram", "n_all", "n"]).to_batches(500_000)
+        yield from pa.table([pa.array(x) for x in found], names=["gram", "n_all", "n"]).to_batches(200_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -153,9 +152,9 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     if len(texts):
                         gram, n = np.unique(grams(*stream(texts))[0], return_counts=True)
                         held.append((gram, n, n if teaches else np.zeros_like(n)))
-            if sum(len(h[0]) for h in held) > 4_000_000:
+            if sum(len(h[0]) for h in held) > 2_000_000:
                 held = [_added(held)]
-                if len(held[0][0]) > 3_000_000:  # the sums go on; Spark adds them up
+                if len(held[0][0]) > 1_500_000:  # the sums go on; Spark adds them up
                     yield from rows(held.pop())
         if held:
             yield from rows(_added(held))
@@ -281,7 +280,7 @@ def _above(rows: pd.DataFrame) -> np.ndarray:
     return np.stack([np.where(seen, acc + rem * w * own, acc), np.where(seen, rem * (1 - w), rem), np.where(seen, acc + rem * own, p)])
 
 
-def gram_scores(counts: DataFrame, per_task: int = 400_000) -> DataFrame:
+def gram_scores(counts: DataFrame, per_task: int = 150_000) -> DataFrame:
     """gram, n_all, logp (base 10): the model's probability of the byte in its context.
 
     counts: gram (each once), n_all, n - the model learns from n, which is 0 for what training never met. Two
