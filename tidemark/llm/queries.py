@@ -110,4 +110,20 @@ ORACLE = {
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
                CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
                NOT base_failed AND lost <= 0.5 * word_chars AS kept FROM b""",
+    "op10_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+        l AS (SELECT doc_id, i, a[i + 1] AS line FROM (SELECT doc_id, a, unnest(range(len(a))) AS i FROM d)),
+        w AS (SELECT doc_id, i, line, list_distinct(list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS ws FROM l),
+        k AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS k FROM w WHERE len(ws) > 0),
+        f AS (SELECT min(k) AS k, arg_min(ws, k) AS ws FROM k GROUP BY line),
+        t AS (SELECT k, len(ws) AS n, unnest(ws) AS x FROM f),
+        c AS (SELECT x, count(*) AS df FROM t GROUP BY x),
+        p AS (SELECT k, n, x, row_number() OVER (PARTITION BY k ORDER BY df, x) AS place FROM t JOIN c USING (x)),
+        q AS (SELECT * FROM p WHERE place <= n - ceil(0.8 * n - 1e-9) + 1),
+        m AS (SELECT DISTINCT a.k AS a, b.k AS b FROM q a JOIN q b ON a.x = b.x AND a.k < b.k AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9),
+        s AS (SELECT b, len(list_intersect(fa.ws, fb.ws)) AS same, len(fa.ws) + len(fb.ws) AS whole FROM m JOIN f fa ON fa.k = a JOIN f fb ON fb.k = b),
+        g AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS kept FROM k WHERE k IN (SELECT k FROM f) AND k NOT IN (SELECT b FROM s WHERE same >= 0.8 * (whole - same) - 1e-9) GROUP BY doc_id),
+        n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_lines, coalesce(n.n, 0) - coalesce(g.n, 0) AS n_removed, coalesce(g.kept, '') AS kept_lines
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)""",
 }
