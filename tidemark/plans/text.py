@@ -333,14 +333,14 @@ def latest_per_key(spark, sf_dir):
     return newest.select("user_id", "event_id", "event_type", "value")
 
 
-_STALE_SUMS = ", ".join(f"sum(CAST('0x' || substr(both, {8 * i + 1}, 8) AS BIGINT)) AS s{i}" for i in range(8))
+_STALE_SUMS = ", ".join(f"sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS s{i}" for i in range(8))
 
 
 @query(
     "stale_hashes",
-    f"""WITH h AS (SELECT source, n_chars, sha256(doc_id || ':' || sha256(text)) AS both FROM documents),
-        a AS (SELECT source, count(both) AS n, {_STALE_SUMS} FROM h GROUP BY source),
-        b AS (SELECT source, count(both) AS n, {_STALE_SUMS} FROM h WHERE n_chars < 20000 GROUP BY source)
+    f"""WITH t AS (SELECT source, n_chars, sha256(doc_id || ':' || sha256(text)) AS h FROM documents),
+        a AS (SELECT source, count(h) AS n, {_STALE_SUMS} FROM t GROUP BY source),
+        b AS (SELECT source, count(h) AS n, {_STALE_SUMS} FROM t WHERE n_chars < 20000 GROUP BY source)
     SELECT a.source, (CASE WHEN a.n > 0 THEN a END) IS DISTINCT FROM (CASE WHEN b.n > 0 THEN b END) AS stale FROM a LEFT JOIN b USING (source)""",
 )
 def stale_hashes(spark, sf_dir):
