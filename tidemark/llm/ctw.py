@@ -308,7 +308,8 @@ def gram_scores(counts: DataFrame, per_task: int = 150_000) -> DataFrame:
 
 
 def _slot(gram: np.ndarray) -> np.ndarray:
-    return (gram * np.int64(-7046029254386353131) >> np.int64(20)) & (SLOTS - 1)
+    """A slot by the highest bits of a product, on which all bytes of a gram bear."""
+    return (gram * np.int64(-7046029254386353131) >> np.int64(64 - SLOTS.bit_length() + 1)) & (SLOTS - 1)
 
 
 def _common(known: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
