@@ -65,6 +65,16 @@ def remove(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(batches: Iterator) -> Iterator:
+    """batches; when they end, the worker gives memory that Arrow holds in reserve back, as workers outlive tasks."""
+    import pyarrow as pa
+
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 def words(text: Column) -> Column:
     """The words of a text: maximal runs without white space; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

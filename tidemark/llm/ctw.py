@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc32_mod, remove, written
+from tidemark.llm.common import crc32_mod, released, remove, written
 
 #: Bytes of context.
 DEPTH = 5
@@ -39,7 +39,7 @@ END = b"\n"
 SLOTS = 1 << 21
 
 
-def _slices(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text each."""
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = np.cumsum(sizes) // most
@@ -75,14 +75,14 @@ def token_counts(docs: DataFrame) -> DataFrame:
                 both = [np.bincount(code, minlength=len(names)), np.bincount(code[taught[row]], minlength=len(names))]
                 ends = pa.table([pa.array([END], pa.binary()), [part.num_rows], [int(taught.sum())]], names=["token", "n_all", "n"])
                 held += [pa.table([names, *(pa.array(x, pa.int64()) for x in both)], names=["token", "n_all", "n"]), ends]
-            if sum(t.num_rows for t in held) > 1_500_000:
+            if sum(t.num_rows for t in held) > 600_000:
                 held = [summed(held)]
-                if held[0].num_rows > 1_000_000:  # the sums go on; Spark adds them up
+                if held[0].num_rows > 400_000:  # the sums go on; Spark adds them up
                     yield from held.pop().to_batches(100_000)
         if held:
             yield from summed(held).to_batches(100_000)
 
-    return docs.select("text", "held").mapInArrow(run, "token binary, n_all long, n long").groupBy("token").agg(F.sum("n_all").alias("n_all"), F.sum("n").alias("n"))
+    return docs.select("text", "held").mapInArrow(lambda batches: released(run(batches)), "token binary, n_all long, n long").groupBy("token").agg(F.sum("n_all").alias("n_all"), F.sum("n").alias("n"))
 
 
 #: A byte as the model sees it: A-Z in lower case, white space as a blank.
@@ -140,7 +140,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """gram, n_all, n: how often each gram occurs in docs (text, held), and in those not held out."""
 
     def rows(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        yield from pa.table([pa.array(x) for x in found], names=["gram", "n_all", "n"]).to_batches(200_000)
+        yield from pa.table([pa.array(x) for x in found], names=["gram", "n_all", "n"]).to_batches(100_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -152,14 +152,14 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     if len(texts):
                         gram, n = np.unique(grams(*stream(texts))[0], return_counts=True)
                         held.append((gram, n, n if teaches else np.zeros_like(n)))
-            if sum(len(h[0]) for h in held) > 2_000_000:
+            if sum(len(h[0]) for h in held) > 1_000_000:
                 held = [_added(held)]
-                if len(held[0][0]) > 1_500_000:  # the sums go on; Spark adds them up
+                if len(held[0][0]) > 750_000:  # the sums go on; Spark adds them up
                     yield from rows(held.pop())
         if held:
             yield from rows(_added(held))
 
-    counted = docs.select("text", "held").mapInArrow(run, "gram long, n_all long, n long")
+    counted = docs.select("text", "held").mapInArrow(lambda batches: released(run(batches)), "gram long, n_all long, n long")
     return counted.groupBy("gram").agg(F.sum("n_all").alias("n_all"), F.sum("n").alias("n"))
 
 
@@ -391,7 +391,7 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2, most_common: int = 10
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(whose)), none(n, pa.binary()), pa.array(gram[rare]), ones, zero(n), zero(n), zero(n), zero(n)], names=names)
 
     shape = "doc_id long, token binary, gram long, times long, bytes double, known double, base double, logp double"
-    parts = written(own.select("doc_id", "text").mapInArrow(run, shape), "parts", "zstd")
+    parts = written(own.select("doc_id", "text").mapInArrow(lambda batches: released(run(batches)), shape), "parts", "zstd")
     no, none = F.lit(0.0), F.lit(0).cast("long").alias("times")
     rare = parts.where("token IS NOT NULL").select("doc_id", "token", "times").join(table.select("token", "n", base.alias("base")), "token")
     rare = rare.select("doc_id", none, no.alias("bytes"), (F.col("times") * (F.col("n") > 0).cast("int")).cast("double").alias("known"), (F.col("times") * F.col("base")).alias("base"), no.alias("logp"))
