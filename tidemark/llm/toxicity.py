@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,11 +68,12 @@ def features(text: str, entries: _Entries) -> set[str]:
 
 @dataclass
 class Model:
-    """weights of features (entries of the lexicon and patterns) and bias; accuracies of the voters, for a look."""
+    """weights of features (entries of the lexicon and patterns) and bias; rates and weights of the voters, for a look."""
 
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -3.0
     voters: dict[str, tuple[float, float]] = field(default_factory=dict)
+    names: list[str] = field(default_factory=list)
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
@@ -103,99 +105,213 @@ def _lexicon(sample: DataFrame, most: int, least_toxic: int, least_gain: float)
     return [(r["entry"], r["bad"], r["good"]) for r in good.orderBy(F.desc("gain"), "entry").limit(most).collect()]
 
 
-def label_model(votes: np.ndarray, label: np.ndarray, count: np.ndarray, trust: float = 0.97, rounds: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior P(toxic) of each row, each voter's rates (toxic, other), and each voter's weight.
+@dataclass
+class LabelModel:
+    """Rates at which each voter votes on toxic and on other documents, its weight, and the share of toxic documents."""
+
+    rates: np.ndarray
+    weight: np.ndarray
+    prior: float
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """P(toxic) of rows of votes, 0 or 1; a vote's odds count by its voter's weight, and a voter that is silent says nothing."""
+        odds = math.log(self.prior / (1 - self.prior)) + votes @ (self.weight * np.log(self.rates[0] / self.rates[1]))
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
+def _bits(mask: np.ndarray, voters: int) -> np.ndarray:
+    """Votes of `voters` voters, of which the last speaks where all others are silent."""
+    return np.concatenate([mask[:, None] >> np.arange(voters - 1) & 1, mask[:, None] == 0], axis=1).astype(float)
 
-    votes: rows x voters, 0 or 1; label: 1, 0, or -1 where there is none; count: rows like it. Voters are
-    independent given the class but for a discount: a voter that goes along with others beyond what the
-    class explains counts for 1 / (1 + the sum of its positive correlations within the classes). A
-    given label is one more voter, of accuracy `trust`.
+
+def starting_model(votes: np.ndarray, label: np.ndarray, count: np.ndarray, guess: np.ndarray) -> tuple[LabelModel, np.ndarray]:
+    """The model that labelled rows suggest, and how many of each class they are; guess: rates where there are none."""
+    n = np.array([count[label == 1].sum(), count[label == 0].sum()])
+    shown = np.stack([count[label == side] @ votes[label == side] for side in (1, 0)]) if len(count) else np.zeros_like(guess)
+    rates = np.clip((shown + 2 * guess) / (n[:, None] + 2), 1e-5, 1 - 1e-5)
+    return LabelModel(rates, np.ones(votes.shape[1]), float(np.clip((n[0] + 1) / (n.sum() + 20), 1e-3, 0.5))), n
+
+
+def label_model(patterns: DataFrame, start: LabelModel, known: np.ndarray, rounds: int = 8) -> LabelModel:
+    """Expectation-maximisation over the vote patterns (mask, count) of all documents.
+
+    Labels are no votes: they only set where the rates start, and count in them like `known` documents of
+    each class. Voters are independent given the class, but for a discount that is estimated twice on the
+    way: one that goes along with others beyond what the class explains counts for 1 / (1 + the sum of its
+    positive correlations within the classes). Each round is an aggregation of at most voters^2 sums.
     """
-    n, k = votes.shape
-    prior, weight = 0.1, np.ones(k)
-    if (label >= 0).any():
-        prior = min(max(np.average(label[label >= 0], weights=count[label >= 0]), 0.01), 0.99)
-    given = np.where(label < 0, 0.0, np.where(label == 1, 1, -1) * math.log(trust / (1 - trust)))
-    start = votes.sum(axis=1) > 0
-    post = np.where(label < 0, np.where(start, 0.5, 0.05), np.where(label == 1, trust, 1 - trust))
-    rates = np.zeros((2, k))
+    voters = len(start.weight)
+
+    def sums(model: LabelModel, pairs: bool) -> np.ndarray:
+        """Of each class: documents with each voter's vote (with each pair of votes), and then all documents."""
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, voters * voters + 1 if pairs else voters + 1))
+            for batch in batches:
+                votes, count = _bits(batch.column("mask").to_numpy(), voters), batch.column("count").to_numpy().astype(float)
+                post = model.posterior(votes)
+                for side, p in enumerate((post * count, (1 - post) * count)):
+                    total[side, :-1] += ((votes * p[:, None]).T @ votes).ravel() if pairs else p @ votes
+                    total[side, -1] += p.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.shape[1])), *map(pa.array, total)], names=["i", "yes", "no"])
+
+        rows = patterns.select("mask", "count").mapInArrow(add, "i long, yes double, no double").groupBy("i").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+        found = rows.toPandas().sort_values("i")[["yes", "no"]].to_numpy().T
+        return found if found.size else np.zeros((2, voters * voters + 1 if pairs else voters + 1))
+
+    model = start
     for turn in range(rounds):
-        for side, p in ((0, post * count), (1, (1 - post) * count)):
-            rates[side] = (p @ votes + 0.1) / (p.sum() + 1.0)
-        rates = np.clip(rates, 1e-5, 1 - 1e-5)
-        prior = min(max((post @ count) / max(count.sum(), 1), 1e-3), 0.999)
-        if turn == 4:
-            total = np.zeros((k, k))
-            for side, p in ((0, post * count), (1, (1 - post) * count)):
-                off = votes - rates[side]
-                cov = (off * p[:, None]).T @ off / max(p.sum(), 1)
-                dev = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                total += 0.5 * cov / dev[:, None] / dev[None, :]
+        found = sums(model, False)
+        n = found[:, -1:] + known[:, None]
+        rates = np.clip((found[:, :-1] + known[:, None] * start.rates + 1e-3) / (n + 0.1), 1e-5, 1 - 1e-5)
+        prior = float(np.clip((found[0, -1] + 1) / (found[:, -1].sum() + 20), 1e-3, 0.5))
+        model = LabelModel(rates, model.weight, prior)
+        if turn in (1, 4):
+            found = sums(model, True)
+            total = np.zeros((voters, voters))
+            for side in (0, 1):
+                joint = found[side, :-1].reshape(voters, voters) / max(found[side, -1], 1e-9)
+                mean = np.diag(joint)
+                dev = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
+                total += 0.5 * (joint - np.outer(mean, mean)) / np.outer(dev, dev)
             np.fill_diagonal(total, 0)
-            weight = 1 / (1 + np.maximum(total, 0).sum(axis=1))
-        seen, unseen = np.log(rates[0] / rates[1]), np.log((1 - rates[0]) / (1 - rates[1]))
-        odds = math.log(prior / (1 - prior)) + votes @ (weight * seen) + (1 - votes) @ (weight * unseen) + given
-        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return post, rates, weight
+            model = LabelModel(model.rates, 1 / (1 + np.maximum(total, 0).sum(axis=1)), model.prior)
+    return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 30_000, most_entries: int = 2000, most_voters: int = 56) -> Model:
-    """Learns from docs (doc_id, text) and labels (doc_id, toxic 0/1): pass labels of training rows only.
+def _shown(docs: DataFrame, names: list[str]) -> DataFrame:
+    """docs without text, with found: numbers of what each text shows among names (entries and patterns)."""
+    number = {x: i for i, x in enumerate(names)}
+    held = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Entries(set(names))
+        for batch in batches:
+            found = [features(t, known) for t in _texts(batch)]
+            numbers = pa.array([sorted(number[x] for x in f) for f in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), numbers], names=[*held, "found"])
+
+    shape = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in held)
+    return written(docs.mapInArrow(run, f"{shape}, found array<int>"), "shown", "zstd")
+
+
+def _rows_of(found: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of every element of an array of lists."""
+    return np.repeat(np.arange(len(found)), pc.list_value_length(found).to_numpy(zero_copy_only=False)), found.flatten().to_numpy()
+
+
+def _masked(shown: DataFrame, voters: list[int], width: int) -> DataFrame:
+    """shown with mask: a bit for each voter among what was found."""
+    bit = np.zeros(width, np.int64)
+    bit[voters] = 1 << np.arange(len(voters))
 
-    At most about most_labelled labelled rows are used, chosen by a hash of doc_id, so the join that
-    fetches their texts broadcasts a bounded table. Without labelled rows the seed lexicon alone decides.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, value = _rows_of(batch.column("found"))
+            mask = np.zeros(batch.num_rows, np.int64)
+            np.add.at(mask, row, bit[value])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mask)], names=[*batch.schema.names, "mask"])
+
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shown.schema)
+    return shown.mapInArrow(run, f"{shape}, mask long")
+
+
+def _covering(names: list[str], sure: set[int], toxic: list[list[int]], most: int, times: int = 2) -> list[int]:
+    """Numbers of the entries that vote: those that reach most toxic rows which fewer than `times` voters reach yet.
+
+    sure: entries that may be chosen; none is a prefix of another, so no word votes twice.
     """
+    have = np.zeros(len(toxic), int)
+    rows: dict[int, list[int]] = {}
+    for i, found in enumerate(toxic):
+        for x in found:
+            if x in sure:
+                rows.setdefault(x, []).append(i)
+    chosen: list[int] = []
+    while len(chosen) < most and rows:
+        gain = {x: int((have[r] < times).sum()) for x, r in rows.items()}
+        best = max(gain, key=lambda x: (gain[x], -x))
+        if gain[best] < 2:
+            break
+        stem = names[best].rstrip("~")
+        chosen.append(best)
+        have[rows[best]] += 1
+        rows = {x: r for x, r in rows.items() if gain[x] and x != best and not (names[x].startswith(stem) or stem.startswith(names[x].rstrip("~")))}
+    return chosen
+
+
+def _learned(docs: DataFrame, labels: DataFrame, most_labelled: int, most_entries: int, most_voters: int) -> tuple[Model, DataFrame]:
+    """The model, and what every document shows. docs: doc_id, text, taught (whether it may teach); labels: of such rows."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizerModel
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
     spark = docs.sparkSession
     marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     steps, number = 1_000_000, marks.count()
     if number > most_labelled:
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < steps * most_labelled // number)
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id")
-    sample = written(sample.select("text", "toxic"), "labelled", "zstd")
+    marks = written(marks, "marks")
+    sample = written(docs.join(F.broadcast(marks), "doc_id").select("text", "toxic"), "labelled", "zstd")
     ranked = _lexicon(sample, most_entries, 3, 12.0)
-    entries = list(dict.fromkeys([e for e, _, _ in ranked] + [w for s in SEED for w in word_features(s)[:1]]))
-    # voters: the best entries of which none is a prefix of another, and all patterns
-    chosen: list[str] = []
-    for entry in entries:
-        stem = entry.rstrip("~")
-        if len(chosen) < most_voters and not any(stem.startswith(c.rstrip("~")) or c.startswith(stem) for c in chosen):
-            chosen.append(entry)
-    names = [f":{p}" for p in PATTERNS]
-    voters = chosen + names
-    place = {v: i for i, v in enumerate(voters)}
-
-    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Entries(set(entries))
+    remove(spark, sample)
+    seeds = [w for s in SEED for w in word_features(s)[:1]]
+    entries = list(dict.fromkeys([e for e, _, _ in ranked] + seeds))
+    names = entries + [f":{p}" for p in PATTERNS]
+    shown = _shown(docs.join(F.broadcast(marks), "doc_id", "left"), names)
+    # of labelled rows, which are bounded: what the toxic ones show decides who votes
+    toxic = [r["found"] for r in shown.where("taught AND toxic = 1").select("found").collect()]
+    sure = {i for i, (_, bad, good) in enumerate(ranked) if bad >= good}
+    chosen = _covering(names, sure, toxic, most_voters)
+    chosen += [i for i, x in enumerate(entries) if x in seeds and not any(x.startswith(names[c].rstrip("~")) for c in chosen)][: most_voters - len(chosen)]
+    voters = chosen + list(range(len(entries), len(names)))
+    taught = _masked(shown.where("taught"), voters, len(names))
+    rows = taught.where("toxic IS NOT NULL").groupBy("mask", "toxic").count().collect()  # no more rows than the sample has
+    votes = _bits(np.array([r["mask"] for r in rows], np.int64), len(voters) + 1)
+    guess = np.repeat([[0.2], [0.002]], len(voters) + 1, axis=1)
+    guess[:, -1] = 0.2, 0.95
+    start, known = starting_model(votes, np.array([r["toxic"] for r in rows], int), np.array([r["count"] for r in rows], float), guess)
+    patterns = written(taught.groupBy("mask").count(), "vote-patterns")
+    fitted = label_model(patterns, start, known)
+    remove(spark, patterns)
+    model = Model(voters={v: (float(fitted.rates[0, i]), float(fitted.weight[i])) for i, v in enumerate(names[x] for x in voters)})
+
+    def soften(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t, known) for t in _texts(batch)]
-            mask = [sum(1 << place[x] for x in f if x in place) for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(f) for f in found], pa.list_(pa.string())), pa.array(mask, pa.int64()), batch.column("toxic").cast(pa.int32())], names=["found", "mask", "toxic"])
-
-    shown = written(sample.mapInArrow(show, "found array<string>, mask long, toxic int"), "shown")
-    rows = shown.groupBy("mask", "toxic").count().collect()  # no more rows than the sample has
-    model = Model()
-    if rows:
-        masks = np.array([r["mask"] for r in rows], np.int64)
-        votes = (masks[:, None] >> np.arange(len(voters)) & 1).astype(float)
-        post, rates, weight = label_model(votes, np.array([r["toxic"] for r in rows]), np.array([r["count"] for r in rows], float))
-        model.voters = {v: (float(rates[0, i]), float(weight[i])) for i, v in enumerate(voters)}
-        table = spark.createDataFrame([(int(r["mask"]), int(r["toxic"]), float(p)) for r, p in zip(rows, post, strict=True)], "mask long, toxic int, p double")
-        soft = shown.join(F.broadcast(table), ["mask", "toxic"]).select(
-            "found",
-            F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))).alias("x"),
-        )
-        soft = soft.select("found", "x.label", "x.w").where("w > 1e-6")
-        vocabulary = entries + names
-        vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="found", outputCol="features")
-        fitted = LogisticRegression(weightCol="w", regParam=0.00002, maxIter=100, standardization=False).fit(vectors.setBinary(True).transform(soft).select("features", "label", "w"))
-        model.weights = {v: float(c) for v, c in zip(vocabulary, fitted.coefficients, strict=True) if abs(c) > 1e-6}
-        model.bias = float(fitted.intercept)
+            post = fitted.posterior(_bits(batch.column("mask").to_numpy(), len(voters) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("found"), pa.array(post)], names=["found", "p"])
+
+    # the classifier's rows: the labelled ones, and as many others at most; their labels are the posteriors
+    total = taught.where("toxic IS NULL").count()
+    others = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(steps)) < steps * min(most_labelled, total) // max(1, total)
+    picked = taught.where(F.col("toxic").isNotNull() | others).select("found", "mask")
+    soft = picked.mapInArrow(soften, "found array<int>, p double")
+    soft = soft.select("found", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))).alias("x"))
+    width = len(names)
+    sparse = F.udf(lambda found: Vectors.sparse(width, found, [1.0] * len(found)), VectorUDT())  # of the bounded rows
+    soft = written(soft.select(sparse("found").alias("features"), "x.label", "x.w").where("w > 1e-6"), "soft-labels")
+    if not soft.isEmpty():
+        line = LogisticRegression(weightCol="w", regParam=0.00002, maxIter=100, standardization=False).fit(soft)
+        model.weights = {v: float(c) for v, c in zip(names, line.coefficients, strict=True) if abs(c) > 1e-6}
+        model.bias = float(line.intercept)
     if not model.weights:
         model.weights = dict.fromkeys(SEED, 3.0)
-    remove(spark, sample, shown)
+    model.names = names
+    remove(spark, soft, marks)
+    return model, shown
+
+
+def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 30_000, most_entries: int = 2000, most_voters: int = 56) -> Model:
+    """Learns from docs (doc_id, text) and labels (doc_id, toxic 0/1): pass rows that may teach only.
+
+    Labelled rows pick the lexicon and set where the label model starts; all documents vote, and its
+    posteriors are the labels on which the linear classifier is trained. At most about most_labelled
+    labelled rows are used, chosen by a hash of doc_id, so the table that is joined to the texts is
+    bounded, and as many others at most train the classifier. Without labelled rows the seed lexicon
+    votes alone.
+    """
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.lit(True).alias("taught"))
+    model, shown = _learned(own, labels, most_labelled, most_entries, most_voters)
+    remove(docs.sparkSession, shown)
     return model
 
 
@@ -215,8 +331,22 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
-def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; rows of the held-out fold teach nothing."""
-    taught = labels.where(crc32_mod(F.col("doc_id"), folds) != held)
-    found = scores(docs, learn(docs, taught))
-    return found.select("doc_id", (crc32_mod(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held: int = 2, most_labelled: int = 30_000, most_entries: int = 2000, most_voters: int = 56) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; rows of the held-out fold teach nothing, labelled or not.
+
+    Texts are read once for what they show; scores are sums over that. A row without a doc_id teaches nothing.
+    """
+    out = F.coalesce(crc32_mod(F.col("doc_id"), folds) == held, F.lit(True))
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), (~out).alias("taught"))
+    model, shown = _learned(own, labels.where(crc32_mod(F.col("doc_id"), folds) != held), most_labelled, most_entries, most_voters)
+    weights, bias = np.array([model.weights.get(x, 0.0) for x in model.names]), model.bias
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, value = _rows_of(batch.column("found"))
+            odds = bias + np.bincount(row, weights=weights[value], minlength=batch.num_rows)
+            score = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+
+    found = shown.select("doc_id", "found").mapInArrow(run, "doc_id long, score double")
+    return found.select("doc_id", F.coalesce(crc32_mod(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
