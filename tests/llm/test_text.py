@@ -113,6 +113,36 @@ def test_learned_spans_and_redaction(spark):
     assert pii.redacted(empty).collect() == []
 
 
+def test_added_kinds_on_a_labelled_sample(spark):
+    """Recall and precision of the kinds that the classifier adds, among look-alikes that are none."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    some = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    mixed = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"
+    texts, want = [], set()
+    for i in range(600):
+        kind = ("secret", "ssn", "iban", None)[i % 4]
+        if kind == "secret":
+            span = f'{rng.choice(["api_key", "token", "password"])} = "{some(30, mixed)}7a"'
+            near = "config of the server"
+        elif kind == "ssn":
+            span, near = f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", "social security number"
+        elif kind == "iban":
+            span, near = f"DE{rng.randint(10, 99)} {' '.join(str(rng.randint(1000, 9999)) for _ in range(4))} {rng.randint(10, 99)}", "the bank account iban"
+        else:
+            span, near = rng.choice([("order 000-00-0000", "version"), ("token: aaaaaaaaaaaa", "a word"), (f"part {some(3, '0123456789')}-{some(4, '0123456789')}", "number")])
+        left = f"{' '.join(word() for _ in range(rng.randint(3, 30)))} {near} "
+        start = len(left)
+        texts.append(f"{left}{span} and {word()} {word()}")
+        if kind:
+            want.add((i, kind, start, start + len(span)))
+    found = pii.found_spans(table(spark, texts))
+    got = {(r.doc_id, pii.KINDS[x["rank"]], x["from"], x["to"]) for r in found.collect() for x in r.spans if x["rank"] >= 4}
+    for kind in ("secret", "ssn", "iban"):
+        mine, real = {g for g in got if g[1] == kind}, {w for w in want if w[1] == kind}
+        assert len(mine & real) >= 0.9 * len(real) and len(mine & real) >= 0.9 * len(mine), (kind, len(mine), len(real), len(mine & real))
+
+
 def test_toxicity_learns_stems_and_words(spark):
     rng = random.Random(7)
     plain = [f"plain{i}" for i in range(200)]

@@ -95,6 +95,7 @@ def _votes(kind: str, x: Column) -> list[Column]:
     lower, before = F.lower(match), F.lower(left)
     never = F.lit(False)
     shape, value, known = never, never, never
+    told = match  # the part that says something, without a name before it
     not_shape, not_value, not_known = never, never, never
     if kind == "email":
         shape, not_shape = match.rlike(r"^[A-Za-z0-9]"), match.rlike(r"\.\.|\.@|-\.|\.-")
@@ -115,7 +116,7 @@ def _votes(kind: str, x: Column) -> list[Column]:
         known = digits.rlike(rf"^(?:{CALLING})")
     elif kind == "secret":
         body = F.regexp_extract(match, r"([A-Za-z0-9+/_-]{12,})[\x22\x27]?$", 1)
-        shape, not_shape = F.length(body) >= 20, F.length(body) < 16
+        told, shape, not_shape = body, F.length(body) >= 20, F.length(body) < 16
         value, not_value = body.rlike("[0-9]") & body.rlike("[A-Za-z]"), ~body.rlike("[0-9]")
         known = match.rlike(r"[\x22\x27]$")
     elif kind == "ssn":
@@ -125,7 +126,7 @@ def _votes(kind: str, x: Column) -> list[Column]:
         shape, not_shape = F.length(F.regexp_replace(match, " ", "")).between(15, 34), F.length(match) < 15
         known, not_known = match.rlike(f"^(?:{BANKS})"), ~match.rlike(f"^(?:{BANKS})")
     glued = left.rlike("[A-Za-z0-9]$") | right.rlike("^[A-Za-z0-9]")
-    bare = F.regexp_replace(lower, "[^a-z0-9]", "")
+    bare = F.regexp_replace(F.lower(told), "[^a-z0-9]", "")
     kinds_of = F.size(F.array_distinct(F.split(bare, "")))
     return [
         _vote(shape & ~not_shape, not_shape),
@@ -137,6 +138,23 @@ def _votes(kind: str, x: Column) -> list[Column]:
     ]
 
 
+#: How many values each trait of a candidate has; the classifier sees them beside the votes.
+TRAITS = (4, 4, 3, 2, 3)
+
+
+def _traits(x: Column) -> list[Column]:
+    """What a candidate looks like, in a few steps each: length, share of digits, separators, mixed case, what stands before it."""
+    match, number, size = x["match"], F.length(x["digits"]), F.length(x["match"])
+    marks = size - F.length(F.regexp_replace(match, r"[\x20().:=_/-]", ""))
+    return [
+        F.when(size < 12, 0).when(size < 20, 1).when(size < 36, 2).otherwise(3),
+        F.when(number == 0, 0).when(2 * number < size, 1).when(number < size, 2).otherwise(3),
+        F.when(marks == 0, 0).when(marks < 4, 1).otherwise(2),
+        F.when(match.rlike("[A-Z]") & match.rlike("[a-z]"), 1).otherwise(0),
+        F.when(x["left"].rlike(r"[:=]\s*$"), 2).when(x["left"].rlike(r"\s$") | (x["left"] == ""), 1).otherwise(0),
+    ]
+
+
 def _located(kind: str, text: Column) -> Column:
     """Matches of a kind: array of (match, from, to, left, right), in code points, to exclusive."""
     pattern = PATTERNS[kind]
@@ -180,13 +198,14 @@ def _judged(kind: str, located: Column) -> Column:
             x["to"].alias("to"),
             _base(kind, x["match"], x["digits"]).alias("base"),
             F.array(*votes).alias("votes"),
+            F.array(*[t.cast("int") for t in _traits(x)]).alias("traits"),
         )
 
     return F.transform(located, judge)
 
 
 def candidates(text: Column) -> Column:
-    """Candidate spans of a text: array of (from, rank, to, base, votes), by start and then kind."""
+    """Candidate spans of a text: array of (from, rank, to, base, votes, traits), by start and then kind."""
     located = {kind: _located(kind, text) for kind in KINDS}
     located["card"] = F.filter(located["card"], lambda x: F.length(x["match"]) >= 13)  # a base card has 14 digits
     return F.array_sort(F.concat(*[_judged(kind, found) for kind, found in located.items()]))
@@ -200,11 +219,17 @@ class Model:
     accuracy: dict[tuple[int, int], float] = field(default_factory=dict)
     bias: dict[int, float] = field(default_factory=dict)
     weights: list[float] = field(default_factory=list)
+    traits: list[float] = field(default_factory=lambda: [0.0] * sum(TRAITS))
 
-    def score(self, rank: Column, votes: Column) -> Column:
+    def score(self, c: Column) -> Column:
         """The classifier's log-odds that a candidate is personal data."""
-        bias = F.get(_numbers([self.bias.get(k, -1.0) for k in range(len(KINDS))]), rank)
-        return F.aggregate(F.zip_with(votes, _numbers(self.weights), lambda v, w: v * w), bias, lambda a, x: a + x)
+        out = F.get(_numbers([self.bias.get(k, -1.0) for k in range(len(KINDS))]), c["rank"])
+        for i, w in enumerate(self.weights):
+            out = out + F.get(c["votes"], F.lit(i)) * w
+        for i, steps in enumerate(TRAITS):
+            at = sum(TRAITS[:i])
+            out = out + F.get(_numbers(self.traits[at : at + steps]), F.get(c["traits"], F.lit(i)))
+        return out
 
 
 def _numbers(values: list[float]) -> Column:
@@ -220,19 +245,32 @@ def _posterior(model: Model) -> Column:
     return 1 / (1 + F.exp(-F.aggregate(own, F.get(prior, F.col("rank")), lambda a, x: a + x)))
 
 
+def _of_text(text: Column) -> Column:
+    return candidates(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def learn(docs: DataFrame, rounds: int = 8, trust: float = 20.0) -> Model:
     """Reliabilities by expectation-maximisation, then a logistic classifier on the posteriors.
 
-    The corpus is read once and reduced to how often each kind has each pattern of votes: at most
-    7 x 3^6 rows, whatever the corpus. Every round is one aggregation of that table. A labeler starts
-    from an accuracy of 0.75 that counts like `trust` votes, so kinds with few candidates, or none,
-    keep a defined model.
+    docs: text; other columns are not read. Null and empty texts, and an empty table, add no candidates:
+    then the votes count alike.
+    """
+    return _fitted(docs.select(F.explode(_of_text(F.col("text"))).alias("c")), rounds, trust)
+
+
+def _fitted(spans: DataFrame, rounds: int = 8, trust: float = 20.0) -> Model:
+    """The model of candidates c.
+
+    They are reduced to how often each kind has each pattern of votes and traits: at most 7 x 3^6 x 288
+    rows, whatever the corpus. Every round is one aggregation of that table. A labeler starts from an
+    accuracy of 0.75 that counts like `trust` votes, so kinds with few candidates, or none, keep a defined
+    model; one that is wrong more often than right ends below 0.5, and its votes count the other way.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    spans = docs.select(F.explode(candidates(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("c"))
-    patterns = written(spans.groupBy(F.col("c.rank").alias("rank"), F.col("c.votes").alias("votes")).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote-patterns")
+    counted = spans.groupBy(*[F.col(f"c.{x}").alias(x) for x in ("rank", "votes", "traits")]).agg(F.count(F.lit(1)).alias("n"))
+    patterns = written(counted.coalesce(1), "vote-patterns")
     model = Model()
     for _ in range(rounds):
         p = F.col("p")
@@ -247,9 +285,10 @@ def learn(docs: DataFrame, rounds: int = 8, trust: float = 20.0) -> Model:
             model.prior[row["rank"]] = (row["yes"] + 0.5 * trust) / (row["n"] + trust)
             for i in range(len(VOTERS)):
                 share = (row[f"right{i}"] + 0.75 * trust) / (row[f"cast{i}"] + trust)
-                model.accuracy[row["rank"], i] = min(max(share, 0.5), 0.99)
+                model.accuracy[row["rank"], i] = min(max(share, 0.05), 0.99)
     kinds = [F.when(F.col("rank") == k, 1.0).otherwise(0.0) for k in range(len(KINDS))]
-    features = array_to_vector(F.concat(F.col("votes").cast("array<double>"), F.array(*kinds)))
+    steps = [F.when(F.get("traits", F.lit(i)) == k, 1.0).otherwise(0.0) for i, n in enumerate(TRAITS) for k in range(n)]
+    features = array_to_vector(F.concat(F.col("votes").cast("array<double>"), F.array(*kinds, *steps)))
     rows = patterns.select("n", features.alias("features"), _posterior(model).alias("p"))
     soft = rows.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("n") * F.col("p")).alias("weight")), F.struct(F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("p"))).alias("weight")))).alias("x"))
     soft = soft.select("features", "x.label", "x.weight").where("weight > 0")
@@ -257,25 +296,33 @@ def learn(docs: DataFrame, rounds: int = 8, trust: float = 20.0) -> Model:
         model.weights, model.bias = [1.0] * len(VOTERS), {}
     else:
         fitted = LogisticRegression(weightCol="weight", regParam=0.001, maxIter=50, standardization=False).fit(soft)
-        found = [float(x) for x in fitted.coefficients]
-        model.weights = found[: len(VOTERS)]
-        model.bias = {k: float(fitted.intercept) + found[len(VOTERS) + k] for k in range(len(KINDS))}
+        found, votes = [float(x) for x in fitted.coefficients], len(VOTERS)
+        model.weights = found[:votes]
+        model.bias = {k: float(fitted.intercept) + found[votes + k] for k in range(len(KINDS))}
+        model.traits = found[votes + len(KINDS) :]
     remove(patterns.sparkSession, patterns)
     return model
 
 
-def found_spans(docs: DataFrame, model: Model) -> DataFrame:
+def _taken(found: Column, model: Model) -> Column:
+    """Of candidates the base spans and those that the classifier takes: array of (from, rank, to, base)."""
+    taken = F.filter(found, lambda c: c["base"] | (model.score(c) > 0))
+    return F.transform(taken, lambda c: F.struct(c["from"].alias("from"), c["rank"].alias("rank"), c["to"].alias("to"), c["base"].alias("base")))
+
+
+def found_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs with spans: array of (from, rank, to, base): base spans, and candidates that the classifier takes.
 
     All columns stay (one named spans is replaced). A null text counts as empty and has none; an empty
-    table gives no rows. Spans of different kinds may overlap. Nothing is shuffled.
+    table gives no rows. Spans of different kinds may overlap. Nothing is shuffled. Without a model one is
+    learned from docs: then candidates are looked for once and written beside the rows.
     """
-    taken = F.filter(
-        candidates(F.coalesce(F.col("text").cast("string"), F.lit(""))),
-        lambda c: c["base"] | (model.score(c["rank"], c["votes"]) > 0),
-    )
-    slim = F.transform(taken, lambda c: F.struct(c["from"].alias("from"), c["rank"].alias("rank"), c["to"].alias("to"), c["base"].alias("base")))
-    return docs.withColumn("spans", slim)
+    if model is not None:
+        return docs.withColumn("spans", _taken(_of_text(F.col("text")), model))
+    rows = written(boxed(docs).select("row", _of_text(F.col("text")).alias("candidates")), "candidates", "zstd")
+    model = _fitted(rows.select(F.explode("candidates").alias("c")))
+    held = [F.col("row")[c].alias(c) for c in docs.columns if c != "spans"]
+    return rows.select(*held, _taken(F.col("candidates"), model).alias("spans"))
 
 
 def span_list(spans: Column) -> Column:
@@ -288,9 +335,9 @@ def span_list(spans: Column) -> Column:
 def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs with each span of the text replaced by its kind in brackets; overlapping spans become one.
 
-    All columns stay; a null text stays null. n_chars, where there is one, is the new length.
+    All columns stay; a null text stays null; an empty table gives no rows. n_chars, where there is one, is the new length.
     """
-    marked = found_spans(boxed(docs).select("row", "text"), model or learn(docs))
+    marked = found_spans(boxed(docs).select("row", "text"), model)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 

@@ -33,8 +33,7 @@ def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    found = pii.found_spans(docs, pii.learn(docs))
+    found = pii.found_spans(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])
     ranks = F.transform(base, lambda s: s["rank"])
     counts = [F.size(F.filter(ranks, F.lit(k).__eq__)).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(4)]
