@@ -38,28 +38,33 @@ def simulate(high: np.ndarray, low: np.ndarray, close: np.ndarray, fast: int, sl
     return np.array(out)
 
 
-def grid_backtest(bars: DataFrame, grid: DataFrame) -> DataFrame:
+def grid_backtest(bars: DataFrame, grid: DataFrame, per_block: int = 256) -> DataFrame:
     """symbol, param, trades, wins, net, profit_factor (999 with no loss), max_drawdown, sharpe of every pair.
 
-    grid: param, fast, slow, stop, target - a fixed table of the caller's. Every symbol and parameter set
-    is one group, a pass over that symbol's bars in time order.
+    grid: param, fast, slow, stop, target - a fixed table of the caller's, of thousands of rows at most. A
+    symbol's bars move once for each block of per_block parameter sets, and each group runs its sets over
+    them in time order.
     """
+    sets = grid.orderBy("param").toPandas().to_dict("records")
+    blocks = max(1, -(-len(sets) // per_block))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts")
-        p = rows.iloc[0]
-        r = simulate(*(rows[c].to_numpy(float) for c in ("high", "low", "close")), int(p["fast"]), int(p["slow"]), p["stop"], p["target"])
-        curve = np.concatenate([[0.0], np.cumsum(r)])
-        won, lost = r[r > 0].sum(), -r[r < 0].sum()
-        factor = won / lost if lost > 0 else 999.0 if won > 0 else 0.0
-        spread = r.std() if len(r) else 0.0
-        return pd.DataFrame(
-            {"symbol": [p["symbol"]], "param": [p["param"]], "trades": [len(r)], "wins": [int((r > 0).sum())], "net": [r.sum()], "profit_factor": [factor],
-             "max_drawdown": [(np.maximum.accumulate(curve) - curve).max()], "sharpe": [r.mean() / spread if spread > 0 else 0.0]}
-        )
+        series = [rows[c].to_numpy(float) for c in ("high", "low", "close")]
+        out = []
+        for p in sets[key[1] * per_block : (key[1] + 1) * per_block]:
+            r = simulate(*series, int(p["fast"]), int(p["slow"]), p["stop"], p["target"])
+            curve = np.concatenate([[0.0], np.cumsum(r)])
+            won, lost = r[r > 0].sum(), -r[r < 0].sum()
+            factor = won / lost if lost > 0 else 999.0 if won > 0 else 0.0
+            spread = r.std() if len(r) else 0.0
+            drawdown, sharpe = (np.maximum.accumulate(curve) - curve).max(), r.mean() / spread if spread > 0 else 0.0
+            out.append((key[0], p["param"], len(r), int((r > 0).sum()), r.sum(), factor, drawdown, sharpe))
+        return pd.DataFrame(out, columns=["symbol", "param", "trades", "wins", "net", "profit_factor", "max_drawdown", "sharpe"])
 
     shape = "symbol string, param string, trades long, wins long, net double, profit_factor double, max_drawdown double, sharpe double"
-    return bars.join(F.broadcast(grid), F.lit(True)).groupBy("symbol", "param").applyInPandas(run, shape)
+    held = bars.select("symbol", "ts", "high", "low", "close", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return held.groupBy("symbol", "block").applyInPandas(run, shape)
 
 
 def best(results: DataFrame, least: int = 10, top: int = 3) -> DataFrame:
