@@ -142,7 +142,18 @@ def most_frequent(items: Column) -> Column:
     return F.aggregate(F.array_sort(items), start, step, lambda a: a["best"])
 
 
-def quality(text: Column, least: int = 25, most: int = 100_000, pass_score: float = 0.55) -> Column:
+#: Least share printable and of letters or digits, most of one word, least of different words, most of tags to a word.
+LIMITS = (0.80, 0.12, 0.50, 0.06, 0.30)
+
+# Fixed values of the gate of the first training stage: the same limits, and what counts as a link, as code, and as notation.
+FOUNDATION_LIMITS = (0.95, 0.30, 0.32, 0.10, 0.08)
+LINK = r"(?i)(?:https?://|www\.|\b[a-z0-9.-]+\.(?:com|org|net|io|co|ai)\b)"
+MAIL = r"\b[^\s@]+@[^\s@]+\.[^\s@]+\b"
+CODE = r"(?i)(?:\b(?:def|class|function|import|return|SELECT|INSERT|const|let|var)\b|```|=>|::|</?[a-z][^>]*>)"
+NOTATION = r"(?:\\(?:frac|begin|end|mathrm|mathbf|sqrt|det|sum|int)\b|\$[^$]{2,}\$|\b[a-zA-Z]\s*[=<>]\s*[-+]?[0-9]|[{}]{2,})"
+
+
+def quality(text: Column, least: int = 25, most: int = 100_000, pass_score: float = 0.55, limits: tuple[float, ...] = LIMITS) -> Column:
     """struct(accepted, score, reasons) of a text.
 
     Length, broken markup and broken encoding reject outright; then each fault takes its penalty from one.
@@ -175,7 +186,7 @@ def quality(text: Column, least: int = 25, most: int = 100_000, pass_score: floa
         words = F.transform(F.regexp_extract_all(content, F.lit("([A-Za-z0-9]+)")), F.lower)
         lines = F.filter(F.transform(F.split(content, LINE_ENDS), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
         parts = F.struct(words.alias("words"), lines.alias("lines"), F.lower(content).alias("lower"))
-        return let(let(parts, lambda p: _faults(content, p["words"], p["lines"], p["lower"])), summed)
+        return let(let(parts, lambda p: _faults(content, p["words"], p["lines"], p["lower"], limits)), summed)
 
     return (
         F.when(F.length(text) < least, reject("too_short"))
@@ -192,21 +203,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _faults(content: Column, words: Column, lines: Column, lower: Column) -> Column:
+def _faults(content: Column, words: Column, lines: Column, lower: Column, limits: tuple[float, ...]) -> Column:
     """Faults of a text as array of (bad, reason, cost). Counts of the most frequent item wait for enough repeats."""
     size = F.greatest(F.length(content), F.lit(1))
     hidden = F.length(content) - F.length(F.regexp_replace(content, r"[\p{Cc}\p{Cf}\p{Co}\p{Zl}\p{Zp}\p{Zs}&&[^ \n\t]]+", ""))
     letters = F.length(F.regexp_replace(content, r"[^\p{L}\p{N}]+", ""))
     count, different = F.size(words), F.size(F.array_distinct(words))
-    often = (count >= 40) & (2 * (different - 1) <= count)
+    printable, alnum, repeated, diverse, tags = limits
+    often = (count >= 40) & (different - 1 <= (1 - repeated) * count)
     repeats = (F.size(lines) >= 12) & (F.size(lines) - F.size(F.array_distinct(lines)) >= 7)
     faults = [
-        ((size - hidden) / size < 0.80, "low_printable", 0.55),
-        (letters / size < 0.12, "low_alphanumeric_density", 0.55),
-        (F.when(often, most_frequent(words) / count >= 0.50).otherwise(False), "high_word_repetition", 0.55),
-        (F.when(count >= 40, different / count < 0.06).otherwise(False), "low_lexical_diversity", 0.45),
+        ((size - hidden) / size < printable, "low_printable", 0.55),
+        (letters / size < alnum, "low_alphanumeric_density", 0.55),
+        (F.when(often, most_frequent(words) / count >= repeated).otherwise(False), "high_word_repetition", 0.55),
+        (F.when(count >= 40, different / count < diverse).otherwise(False), "low_lexical_diversity", 0.45),
         (F.when(repeats, most_frequent(lines) >= 8).otherwise(False), "repeated_lines", 0.55),
-        (F.regexp_count(content, F.lit("<[a-zA-Z][^>]*>")) / F.greatest(count, F.lit(1)) > 0.30, "mostly_html", 0.40),
+        (F.regexp_count(content, F.lit("<[a-zA-Z][^>]*>")) / F.greatest(count, F.lit(1)) > tags, "mostly_html", 0.40),
         (
             lower.rlike(r"(?:^|\n)\s*(?:cookie policy|privacy policy|terms of service|all rights reserved)\b")
             | lower.rlike(r"\b(?:subscribe to our newsletter|accept all cookies|click here to unsubscribe)\b"),
@@ -217,6 +229,39 @@ def _faults(content: Column, words: Column, lines: Column, lower: Column) -> Col
     return F.array(*[F.struct(c.alias("bad"), F.lit(r).alias("reason"), F.lit(p).alias("cost")) for c, r, p in faults])
 
 
+def foundation_quality(text: Column, pass_score: float = 0.70) -> Column:
+    """struct(accepted, score, reasons) under the stricter gate of the first stage: quality() with tighter limits, then
+    script, links, code, notation, sentences and numbers, each with its penalty."""
+    text = F.coalesce(text, F.lit(""))
+    base = quality(text, 40, 20_000, pass_score, FOUNDATION_LIMITS)
+
+    def judged(p: Column) -> Column:
+        content, words, base = p["content"], p["words"], p["base"]
+        count = F.greatest(F.size(words), F.lit(1))
+        length = lambda pattern: F.length(F.regexp_replace(content, pattern, ""))
+        hits = lambda pattern: F.regexp_count(content, F.lit(pattern))
+        many = lambda n, share: (n >= 3) | (n / count > share)
+        letters, links = length(r"[^\p{L}]+"), hits(LINK) + hits(MAIL)
+        faults = [
+            ((letters > 0) & (length("[^A-Za-z]+") / F.greatest(letters, F.lit(1)) < 0.90), "non_english_script_density", 0.45),
+            (many(links, 0.025), "link_or_identifier_heavy", 0.45),
+            (many(hits(CODE), 0.03), "code_or_markup_heavy", 0.50),
+            (many(hits(NOTATION), 0.025), "math_notation_heavy", 0.50),
+            ((F.size(words) >= 30) & (hits("[.!?]") == 0), "no_sentence_boundaries", 0.35),
+            (F.size(F.filter(words, lambda w: w.rlike("^[0-9]+$"))) / count > 0.16, "numeric_heavy", 0.40),
+        ]
+        found = F.filter(F.array(*[F.struct(c.alias("bad"), F.lit(r).alias("reason"), F.lit(x).alias("cost")) for c, r, x in faults]), lambda x: x["bad"])
+        short = F.size(words) < 8
+        score = F.when(short, 0.0).otherwise(F.greatest(F.lit(0.0), F.aggregate(found, base["score"], lambda a, x: a - x["cost"])))
+        reasons = F.when(short, F.array(F.lit("too_few_words_for_foundation"))).otherwise(F.transform(found, lambda x: x["reason"]))
+        verdict = F.struct((score >= pass_score - 1e-9).alias("accepted"), F.bround(score, 4).alias("score"), F.concat(base["reasons"], reasons).alias("reasons"))
+        return F.when(base["accepted"], verdict).otherwise(base)
+
+    content = F.regexp_replace(text, ANY_MARK, " ")
+    parts = F.struct(content.alias("content"), F.regexp_extract_all(content, F.lit("([A-Za-z0-9]+)")).alias("words"), base.alias("base"))
+    return let(parts, judged)
+
+
 def simhash_of(text: str) -> int:
     """64-bit SimHash over triples of words (single words below six), as a signed number; ties set a bit.
 

@@ -10,7 +10,7 @@ from tidemark.functions import text as X
 from tidemark.operators import corpus as C
 from tidemark.operators import sequences as S
 from tidemark.plans.registry import Registry
-from tidemark.plans.text import WORDS
+from tidemark.plans.text import QUALITY, WORDS
 from tidemark.sources.tables import table
 
 query = Registry()
@@ -160,6 +160,32 @@ def stage_gate(spark, sf_dir):
     return s.select("*", (F.col("reasoning") | F.col("math")).alias("in_reasoning"), (F.col("evidence") >= 2).alias("in_trading"))
 
 
+_STRICT = QUALITY
+for _old, _new in (("< 0.80", "< 0.95"), ("< 0.12", "< 0.30"), (">= 0.5 THEN", ">= 0.32 THEN"), ("< 0.06", "< 0.10"), ("> 0.30 THEN", "> 0.08 THEN"), ("< 25", "< 40"), ("> 100000", "> 20000"), ("raw >= 0.55", "raw >= 0.70 - 1e-9")):
+    _STRICT = _STRICT.replace(_old, _new)
+_HITS = ", ".join(f"len(regexp_extract_all(c, '{p}')) AS {n}" for n, p in (("link", X.LINK), ("mail", X.MAIL), ("code", X.CODE), ("notation", X.NOTATION), ("stops", "[.!?]")))
+
+
+@query(
+    "foundation_gate",
+    f"""WITH q AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents), {_STRICT},
+        f0 AS (SELECT id, accepted, score, reasons, regexp_replace(t, '{X.ANY_MARK}', ' ', 'g') AS c FROM quality),
+        f1 AS (SELECT *, regexp_extract_all(c, '[A-Za-z0-9]+') AS w, length(regexp_replace(c, '[^\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(c, '[^A-Za-z]+', '', 'g')) AS latin, {_HITS} FROM f0),
+        f2 AS (SELECT *, greatest(len(w), 1) AS n, len(list_filter(w, lambda x: regexp_full_match(x, '[0-9]+'))) AS digits FROM f1),
+        f3 AS (SELECT *, [letters > 0 AND latin / greatest(letters, 1) < 0.90, link + mail >= 3 OR (link + mail) / n > 0.025, code >= 3 OR code / n > 0.03, notation >= 3 OR notation / n > 0.025, len(w) >= 30 AND stops = 0, digits / n > 0.16] AS bad FROM f2),
+        f4 AS (SELECT *, score - CASE WHEN bad[1] THEN 0.45 ELSE 0 END - CASE WHEN bad[2] THEN 0.45 ELSE 0 END - CASE WHEN bad[3] THEN 0.50 ELSE 0 END - CASE WHEN bad[4] THEN 0.50 ELSE 0 END - CASE WHEN bad[5] THEN 0.35 ELSE 0 END - CASE WHEN bad[6] THEN 0.40 ELSE 0 END AS rest,
+            list_filter([CASE WHEN bad[1] THEN 'non_english_script_density' END, CASE WHEN bad[2] THEN 'link_or_identifier_heavy' END, CASE WHEN bad[3] THEN 'code_or_markup_heavy' END, CASE WHEN bad[4] THEN 'math_notation_heavy' END,
+                CASE WHEN bad[5] THEN 'no_sentence_boundaries' END, CASE WHEN bad[6] THEN 'numeric_heavy' END], lambda x: x IS NOT NULL) AS why FROM f3)
+    SELECT id AS doc_id, CASE WHEN NOT accepted THEN false WHEN len(w) < 8 THEN false ELSE rest >= 0.70 - 1e-9 END AS accepted,
+        round(CASE WHEN NOT accepted THEN score WHEN len(w) < 8 THEN 0.0 ELSE greatest(0.0, rest) END, 4) AS score,
+        CASE WHEN NOT accepted THEN reasons ELSE array_to_string(list_concat(list_filter([reasons], lambda x: x <> ''), CASE WHEN len(w) < 8 THEN ['too_few_words_for_foundation'] ELSE why END), ',') END AS reasons FROM f4""",
+)
+def foundation_gate(spark, sf_dir):
+    """The stricter gate of the first stage: verdict, score and reasons of every document."""
+    d = _docs(spark, sf_dir).select("doc_id", X.foundation_quality(F.col("text")).alias("x"))
+    return d.select("doc_id", "x.accepted", "x.score", F.array_join("x.reasons", ",").alias("reasons"))
+
+
 SIZES = "s AS (SELECT conv_id, turn, role, CAST(" + WORDS + " AS INT) AS n FROM (SELECT *, text AS t FROM conversations))"
 
 
