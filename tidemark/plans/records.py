@@ -170,7 +170,7 @@ _HITS = ", ".join(f"len(regexp_extract_all(c, '{p}')) AS {n}" for n, p in (("lin
     "foundation_gate",
     f"""WITH q AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents), {_STRICT},
         f0 AS (SELECT id, accepted, score, reasons, regexp_replace(t, '{X.ANY_MARK}', ' ', 'g') AS c FROM quality),
-        f1 AS (SELECT *, regexp_extract_all(c, '[A-Za-z0-9]+') AS w, length(regexp_replace(c, '[^\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(c, '[^A-Za-z]+', '', 'g')) AS latin, {_HITS} FROM f0),
+        f1 AS (SELECT *, regexp_extract_all(c, '[A-Za-z0-9]+') AS w, length(regexp_replace(c, '[^\\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(c, '[^A-Za-z]+', '', 'g')) AS latin, {_HITS} FROM f0),
         f2 AS (SELECT *, greatest(len(w), 1) AS n, len(list_filter(w, lambda x: regexp_full_match(x, '[0-9]+'))) AS digits FROM f1),
         f3 AS (SELECT *, [letters > 0 AND latin / greatest(letters, 1) < 0.90, link + mail >= 3 OR (link + mail) / n > 0.025, code >= 3 OR code / n > 0.03, notation >= 3 OR notation / n > 0.025, len(w) >= 30 AND stops = 0, digits / n > 0.16] AS bad FROM f2),
         f4 AS (SELECT *, score - CASE WHEN bad[1] THEN 0.45 ELSE 0 END - CASE WHEN bad[2] THEN 0.45 ELSE 0 END - CASE WHEN bad[3] THEN 0.50 ELSE 0 END - CASE WHEN bad[4] THEN 0.50 ELSE 0 END - CASE WHEN bad[5] THEN 0.35 ELSE 0 END - CASE WHEN bad[6] THEN 0.40 ELSE 0 END AS rest,
