@@ -306,9 +306,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
                 yield pa.RecordBatch.from_arrays(columns, names=["first", "fp", "mask", "value"])
 
     level = points.mapInArrow(spread, "first long, fp binary, mask long, value long")
-    level = written(level, "bands", "zstd")
-    alone = level.groupBy("mask", "value").count().where("count > 1").drop("count")
-    level = in_blocks(level.join(alone, ["mask", "value"], "left_semi"), most)
+    banded = written(level, "bands", "zstd")
+    shared = banded.groupBy("mask", "value").count().where("count > 1").drop("count")
+    level = in_blocks(banded.join(shared, ["mask", "value"], "left_semi"), most)
     buckets = max(1, -(-points.count() * len(chosen) // per_task))
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
@@ -325,7 +325,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     roots = connected_components(level.groupBy("bucket").applyInPandas(search, "u long, v long"))
     named = points.join(roots, points["first"] == roots["node"], "left").select("fp", F.coalesce("root", "first").alias("component_id"))
     found = written(prints.join(named, "fp").select("doc_id", "component_id"), "similar-documents")
-    remove(spark, prints, points)
+    remove(spark, prints, points, banded, roots)
     return found
 
 
