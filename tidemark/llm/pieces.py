@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import KEPT_BYTES, _spread, encoded
+from tidemark.llm.tokens import KEPT_BYTES, _Encoder, _spread, encoded
 
 SPACE = "▁"
 CACHE_ENTRIES = 1_000_000
@@ -197,19 +198,21 @@ class _Cuts(dict):
         return ids
 
 
-class PieceEncoder:
-    """Ids of texts, as bytes of four to an id."""
+class PieceEncoder(_Encoder):
+    """Ids of texts, as bytes of four to an id. What is known of pairs of pieces outlives a task, cuts of texts don't."""
 
     def __init__(self, path: str) -> None:
-        self.pieces = Pieces(path)
+        self.dtype, self.pieces = "<u4", Pieces(path)
         self.after, self.bare = _Cuts(self.pieces, SPACE), _Cuts(self.pieces, "")
         self.after.other = self.bare.other = self.bare
 
+    def caches(self) -> list[_Cuts]:
+        return [self.after, self.bare]
+
     def batch(self, texts: pa.Array) -> list[bytes]:
         """texts: binary, without nulls. Texts with runs of blanks, or marks of their own, are cut one by one."""
         if len(self.after) + len(self.bare) > CACHE_ENTRIES:
-            self.after.clear()
-            self.bare.clear()
+            self.release()
         odd = pc.match_substring_regex(texts, r"  |^ | $|\xe2\x96\x81|^$").to_numpy(zero_copy_only=False)
         parts = pc.split_pattern(texts, b" ")
         found = parts.flatten().dictionary_encode()
@@ -249,19 +252,21 @@ def encode_documents(docs: DataFrame, model: str, with_ids: bool = False) -> Dat
         encoder = _ENCODERS.setdefault(model, None) or PieceEncoder(model)
         _ENCODERS[model] = encoder
 
-        def watched() -> Iterator[pa.RecordBatch]:
+        texts: deque[bytes | None] = deque()
+
+        def parts() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
-                    yield batch.slice(at, 1000)
-
-        for batch in watched():
-            texts = iter(batch.column(1).cast(pa.binary()).to_pylist())
-            for keys, found in encoded(iter([batch]), encoder):
-                numbers = [np.frombuffer(x, "<u4") for x in found]
-                same = [encoder.pieces.decode(n.tolist()) == (next(texts) or b"") for n in numbers]
-                columns = [pa.array(keys, pa.int64()), pa.array([len(n) for n in numbers], pa.int64()), pa.array([zlib.crc32(x) for x in found], pa.int64()), pa.array(same)]
-                columns += [pa.array([n.astype(np.int32) for n in numbers], pa.list_(pa.int32()))] * with_ids
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    part = batch.slice(at, 1000)
+                    texts.extend(part.column(1).cast(pa.binary()).to_pylist())
+                    yield part
+
+        for keys, found in encoded(parts(), encoder):
+            numbers = [np.frombuffer(x, "<u4") for x in found]
+            same = [encoder.pieces.decode(n.tolist()) == (texts.popleft() or b"") for n in numbers]
+            columns = [pa.array(keys, pa.int64()), pa.array([len(n) for n in numbers], pa.int64()), pa.array([zlib.crc32(x) for x in found], pa.int64()), pa.array(same)]
+            columns += [pa.array([n.astype(np.int32) for n in numbers], pa.list_(pa.int32()))] * with_ids
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     shape = "doc_id long, n_ids long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, shape)
