@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ctw, exact, lines, packing, pieces, pii, quality, simhash, store, toxicity
-from tidemark.llm.common import documents, tokenizer_path
+from tidemark.llm import chat, codes, ctw, exact, lines, packing, pieces, pii, quality, simhash, store, toxicity
+from tidemark.llm.common import documents, tokenizer_path, written
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,36 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept_lines", F.array_join(F.transform("kept_lines", lambda x: x.cast("string")), ","))
 
 
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one more whose texts hold the template's own control strings."""
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(r"\### Assistant: </turn> ok").alias("text"))
+    found = chat.read_back(chat.formatted(given.unionByName(odd)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "first_bad",
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    books = codes.fitted(vectors, parts=4, entries=256, rounds=4, scale=1024)
+    found = codes.coded(vectors, books)
+    hexed = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c.cast("long")), 2, "0"))), "")
+    rows = written(found.select("vec_id", F.when(F.col("code").isNotNull(), hexed).alias("code"), "error", "label"), "codes")
+    of_label = rows.groupBy(F.col("label").alias("own")).agg(F.sum("error").alias("label_error"))
+    joined = rows.join(of_label, F.col("label").eqNullSafe(F.col("own")))
+    return joined.select("vec_id", "code", "error", "label_error", F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
@@ -70,7 +100,33 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_token_store": op9_token_store,
     "op10_line_dedup": op10_line_dedup,
+    "op12_chat": op12_chat,
+    "op13_vector_codes": op13_vector_codes,
 }
+
+def _codes_sql(rounds: int = 4, entries: int = 256) -> str:
+    """Rounds of assignment and mean, each a few named subqueries."""
+    parts = [
+        """e AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """c AS MATERIALIZED (
+            SELECT vec_id, i // w AS p, i % w AS j, v[i + 1] AS x
+            FROM (SELECT vec_id, v, len(v) // 4 AS w, unnest(range(len(v))) AS i FROM e))""",
+        f"b0 AS MATERIALIZED (SELECT p, k, j, x AS y FROM c JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM e QUALIFY k < {entries}) USING (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"d{r} AS (SELECT vec_id, p, k, CAST(sum((x - y) * (x - y)) AS BIGINT) AS d FROM c JOIN b{r} USING (p, j) GROUP BY ALL)")
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, p, arg_min(k, d * {entries} + k) AS k, min(d) AS d FROM d{r} GROUP BY ALL)")
+        if r < rounds:
+            parts.append(f"m{r} AS (SELECT p, k, j, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM a{r} JOIN c USING (vec_id, p) GROUP BY ALL)")
+            parts.append(f"b{r + 1} AS MATERIALIZED (SELECT p, k, j, coalesce(m, y) AS y FROM b{r} LEFT JOIN m{r} USING (p, k, j))")
+    return "WITH " + ",\n        ".join(parts) + f"""
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, k, j)) FROM b{rounds}) AS codebooks_sha256
+        FROM (SELECT vec_id, string_agg(lower(printf('%02x', k)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id) JOIN e USING (vec_id)"""
+
+
 _PHRASES = "|".join(p.replace("(", "[(]").replace(")", "[)]") for p in quality.BOILERPLATE)
 
 ORACLE = {
@@ -125,4 +181,29 @@ ORACLE = {
         n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_lines, coalesce(n.n, 0) - coalesce(g.n, 0) AS n_removed, coalesce(g.kept, '') AS kept_lines
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)""",
+    "op12_chat": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        t AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i,
+                   regexp_replace(text, '(### (System|User|Assistant):|### Other|</turn>)', '\\\1', 'g') AS body
+            FROM c),
+        p AS (
+            SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+                   CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role) + 6 ELSE 12 + length(hex(role)) END + length(body) + 9 AS n
+            FROM t),
+        b AS (
+            SELECT *, NOT coalesce(CASE role WHEN 'system' THEN i = 0 WHEN 'user' THEN i = 0 OR before = 'assistant' OR (before = 'system' AND i = 1)
+                                             WHEN 'assistant' THEN before = 'user' END, false) AS bad
+            FROM p),
+        g AS (
+            SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS turns,
+                   coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '') AS learned,
+                   CAST(sum(n) AS BIGINT) AS formatted_chars, arg_max(role, i) AS last, min(i) FILTER (WHERE bad) AS first_bad
+            FROM b GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars,
+               first_bad IS NULL AND last = 'assistant' AS valid, first_bad
+        FROM g""",
+    "op13_vector_codes": _codes_sql(),
 }
