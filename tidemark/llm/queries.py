@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, codes, ctw, exact, lines, packing, pieces, pii, quality, simhash, store, toxicity
+from tidemark.llm import chat, codes, ctw, exact, lines, packing, pieces, pii, quality, runs, simhash, store, toxicity
 from tidemark.llm.common import documents, tokenizer_path, written
 
 
@@ -59,6 +59,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept_lines", F.array_join(F.transform("kept_lines", lambda x: x.cast("string")), ","))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(documents(spark, sf_dir), least=24, power=3, order=runs.repeated_tail)
+
+
 def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one more whose texts hold the template's own control strings."""
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -100,6 +104,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_token_store": op9_token_store,
     "op10_line_dedup": op10_line_dedup,
+    "op11_runs": op11_runs,
     "op12_chat": op12_chat,
     "op13_vector_codes": op13_vector_codes,
 }
