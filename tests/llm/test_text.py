@@ -143,6 +143,80 @@ def test_added_kinds_on_a_labelled_sample(spark):
         assert len(mine & real) >= 0.9 * len(real) and len(mine & real) >= 0.9 * len(mine), (kind, len(mine), len(real), len(mine & real))
 
 
+def test_look_alikes_are_left_alone(spark):
+    """All seven kinds among numbers, names and addresses that look like them: precision and recall of each by span."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def checked(n, good):
+        """n digits of which the last is, or is not, the check digit."""
+        while True:
+            d = rng.choice("45") + digits(n - 1)
+            if (sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0) == good:
+                return d
+
+    def grouped(d):
+        return " ".join(d[i : i + 4] for i in range(0, len(d), 4))
+
+    mixed = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"
+    real = {
+        "email": lambda: f"{word()}.{word()}@{word()}.com",
+        "ip": lambda: ".".join(str(rng.randint(1, 254)) for _ in range(4)),
+        "card": lambda: rng.choice([str, grouped])(checked(16, True)),
+        "phone": lambda: f"+1 ({rng.randint(201, 989)}) 555-{digits(4)}",
+        "secret": lambda: 'api_key = "' + "".join(rng.choice(mixed) for _ in range(32)) + '7a"',
+        "ssn": lambda: f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+        "iban": lambda: f"DE{rng.randint(10, 99)} {' '.join(str(rng.randint(1000, 9999)) for _ in range(4))} {rng.randint(10, 99)}",
+    }
+    alike = [
+        lambda: checked(16, False),
+        lambda: grouped(checked(16, False)),
+        lambda: checked(15, False),
+        lambda: f"{rng.randint(1, 9)}.{rng.randint(256, 999)}.{rng.randint(0, 99)}.{rng.randint(256, 999)}",
+        lambda: f"+{digits(4)}-{digits(3)}",
+        lambda: f"000-{digits(2)}-{digits(4)}",
+        lambda: f"{word()}@{word()}",
+        lambda: f"token: {word()}",
+        lambda: digits(rng.randint(5, 12)),
+    ]
+    texts, want, none = [], {}, set()
+    for i in range(1400):
+        kind = (*real, None, None)[i % 9]
+        left = " ".join(word() for _ in range(rng.randint(3, 30))) + " "
+        span = real[kind]() if kind else rng.choice(alike)()
+        texts.append(f"{left}{span} and {word()} {word()}")
+        if kind:
+            want[i] = (kind, len(left), len(left) + len(span))
+        else:
+            none.add(i)
+    found = {r.doc_id: {(pii.KINDS[x["rank"]], x["from"], x["to"]) for x in r.spans} for r in pii.found_spans(table(spark, texts)).collect()}
+    assert not [texts[i] for i in none if any(k == "card" for k, _, _ in found[i])]
+    for kind in real:
+        mine = {(i, f) for i, fs in found.items() for f in fs if f[0] == kind}
+        own = {(i, w) for i, w in want.items() if w[0] == kind}
+        assert len(mine & own) >= 0.9 * len(own) and len(mine & own) >= 0.9 * len(mine), (kind, len(mine), len(own), len(mine & own))
+
+
+def test_no_card_without_its_check_digit(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    spans = pii.found_spans(docs).select("doc_id", "text", F.explode("spans").alias("s")).where(F.col("s.rank") == pii.KINDS.index("card"))
+    for r in spans.collect():
+        number = [int(c) for c in r.text[r.s["from"] : r.s["to"]] if c.isdigit()]
+        assert sum(sum(divmod(d * (1 + i % 2), 10)) for i, d in enumerate(reversed(number))) % 10 == 0
+
+
+def test_many_spans_in_one_text(spark):
+    """Places and pieces of thousands of spans, across the blocks that they are summed up in."""
+    text = " ".join(f"u{i}@h{i}.org, 10.0.{i % 256}.{i % 99}" for i in range(1500))
+    docs = table(spark, [text])
+    (r,) = pii.found_spans(docs, pii.Model(weights=[0.0] * 6)).collect()
+    got = {(pii.KINDS[x["rank"]], x["from"], x["to"]) for x in r.spans if x["base"]}
+    assert got >= {(k, m.start(), m.end()) for k, p in (("email", r"u\d+@h\d+\.org"), ("ip", r"10\.0\.\d+\.\d+")) for m in re.finditer(p, text)}
+    (r,) = pii.redacted(docs, pii.Model(weights=[0.0] * 6)).collect()
+    assert r.text == " ".join(["[EMAIL], [IP]"] * 1500)
+
+
 def test_toxicity_learns_stems_and_words(spark):
     rng = random.Random(7)
     plain = [f"plain{i}" for i in range(200)]

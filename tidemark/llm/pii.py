@@ -7,6 +7,7 @@ Spans of the four base kinds are always kept; the classifier adds further spans
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,12 @@ BANKS = "DE|FR|ES|IT|GB|NL|BE|AT|CH|PT|PL|SE|IE|LU"
 
 VOTERS = ("shape", "number", "gazetteer", "context", "edges", "variety")
 
+#: Kinds whose number can be checked by itself; one that fails the check is none, whatever the other labelers say.
+CHECKED = ("ip", "card", "phone", "ssn")
+
+#: Numbers of an array that are summed up in one go.
+BLOCK = 128
+
 
 def _digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
@@ -108,11 +115,12 @@ def _votes(kind: str, x: Column) -> list[Column]:
         not_known = match.rlike(r"^(?:0|127|255)\.")
     elif kind == "card":
         shape, not_shape = number.isin(15, 16) & match.rlike(r"^[0-9]{4}([\x20-]?)[0-9]{4,6}\1[0-9]{4,5}"), (number < 14) | (number > 19)
-        value, not_value = luhn(digits), ~luhn(digits)
+        value = luhn(digits) & number.between(14, 19)
+        not_value = ~value
         known, not_known = digits.rlike(rf"^(?:{ISSUERS})"), digits.rlike("^0")
     elif kind == "phone":
         shape, not_shape = number.between(10, 13), (number < 8) | (number > 15)
-        value, not_value = match.rlike(r"^\+[1-9]"), match.rlike(r"^\+0")
+        value, not_value = match.rlike(r"^\+[1-9]"), match.rlike(r"^\+0") | ~number.between(8, 15)
         known = digits.rlike(rf"^(?:{CALLING})")
     elif kind == "secret":
         body = F.regexp_extract(match, r"([A-Za-z0-9+/_-]{12,})[\x22\x27]?$", 1)
@@ -155,6 +163,24 @@ def _traits(x: Column) -> list[Column]:
     ]
 
 
+def _running(values: Column, join: Callable[[Column, Column], Column], zero: int = 0) -> Column:
+    """All values up to each place joined, of a non-empty array of numbers; join is a sum or a maximum.
+
+    Appending to an array copies it, so that is done in blocks: an array of n costs about n * BLOCK steps.
+    """
+
+    def grown(part: Column, start: Column) -> Column:
+        """start joined with the first value, and so on; start comes first."""
+        return F.aggregate(part, F.array(start), lambda a, x: F.concat(a, F.array(join(F.element_at(a, -1), x))))
+
+    def placed(held: Column) -> Column:
+        starts = grown(F.transform(held["blocks"], lambda b: F.aggregate(b, F.lit(zero), join)), F.lit(zero))
+        return F.flatten(F.zip_with(held["blocks"], F.slice(starts, 1, F.size(held["blocks"])), lambda b, s: F.slice(grown(b, s), 2, F.size(b))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
+    return F.get(F.transform(F.array(F.struct(blocks.alias("blocks"))), placed), F.lit(0))
+
+
 def _located(kind: str, text: Column) -> Column:
     """Matches of a kind: array of (match, from, to, left, right), in code points, to exclusive."""
     pattern = PATTERNS[kind]
@@ -162,13 +188,9 @@ def _located(kind: str, text: Column) -> Column:
 
     def place(both: Column) -> Column:
         found, gaps = both["found"], both["gaps"]
-        ends = F.aggregate(
-            F.sequence(F.lit(1), F.size(found)),
-            F.array(F.lit(0)),
-            lambda a, i: F.concat(a, F.array(F.get(a, i - 1) + F.length(F.get(gaps, i - 1)) + F.length(F.get(found, i - 1)))),
-        )
+        sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, f: F.length(g) + F.length(f))
         return F.transform(
-            F.arrays_zip(found.alias("found"), F.slice(ends, 2, F.size(found)).alias("to")),
+            F.arrays_zip(found.alias("found"), _running(sizes, lambda a, x: a + x).alias("to")),
             lambda x, i: F.struct(
                 x["found"].alias("match"),
                 _digits(x["found"]).alias("digits"),
@@ -305,8 +327,10 @@ def _fitted(spans: DataFrame, rounds: int = 8, trust: float = 20.0) -> Model:
 
 
 def _taken(found: Column, model: Model) -> Column:
-    """Of candidates the base spans and those that the classifier takes: array of (from, rank, to, base)."""
-    taken = F.filter(found, lambda c: c["base"] | (model.score(c) > 0))
+    """Of candidates the base spans and those that the classifier takes and no check rules out: array of (from, rank, to, base)."""
+    checked = [KINDS.index(k) for k in CHECKED]
+    fails = lambda c: c["rank"].isin(*checked) & (F.get(c["votes"], F.lit(VOTERS.index("number"))) == -1)
+    taken = F.filter(found, lambda c: c["base"] | ((model.score(c) > 0) & ~fails(c)))
     return F.transform(taken, lambda c: F.struct(c["from"].alias("from"), c["rank"].alias("rank"), c["to"].alias("to"), c["base"].alias("base")))
 
 
@@ -339,19 +363,20 @@ def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     marked = found_spans(boxed(docs).select("row", "text"), model)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        piece = F.substring(F.col("text"), a["at"] + 1, s["from"] - a["at"])
-        inside = s["from"] < a["at"]
-        return F.struct(
-            F.greatest(a["at"], s["to"]).alias("at"),
-            F.when(inside, a["out"]).otherwise(F.concat(a["out"], F.array(piece, F.get(names, s["rank"])))).alias("out"),
+    def shown(held: Column) -> Column:
+        """What stands before each span and after those before it, and its kind; a span that begins inside others adds nothing."""
+        spans, done = held["spans"], held["done"]
+        pieces = F.transform(
+            spans,
+            lambda s, i: F.when(s["from"] < F.coalesce(F.get(done, i - 1), F.lit(0)), F.lit("")).otherwise(
+                F.concat(F.substring(F.col("text"), F.coalesce(F.get(done, i - 1), F.lit(0)) + 1, s["from"] - F.coalesce(F.get(done, i - 1), F.lit(0))), F.get(names, s["rank"]))
+            ),
         )
+        return F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), F.element_at(done, -1) + 1, F.length("text")))
 
-    def finish(a: Column) -> Column:
-        return F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text")))
-
-    text = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, finish)).otherwise(F.col("text"))
+    ends = _running(F.transform("spans", lambda s: s["to"]), lambda a, x: F.greatest(a, x))
+    bound = F.array(F.struct(F.col("spans").alias("spans"), ends.alias("done")))
+    text = F.when(F.size("spans") > 0, F.get(F.transform(bound, shown), F.lit(0))).otherwise(F.col("text"))
     out = unboxed(marked.select("row", text.alias("text")), docs, F.col("text"))
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
