@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: str | None = None) -> DataFrame:
+    """The files of a table as a stream; a pattern, as a stream takes no path of one file."""
+    shape = schema or table(spark, sf_dir, name).schema
+    return spark.readStream.schema(shape).parquet(f"{sf_dir}/{name}.parquet*")
+
+
 def clock_bars(events: DataFrame, width: str = "15 minutes") -> DataFrame:
     """symbol, ts, open, high, low, close, volume: bars of a fixed clock width, stamped with their start.
 
