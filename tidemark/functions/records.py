@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,37 +100,45 @@ def column_pair(columns: list[str]) -> tuple[str, str] | None:
     return next((p for p in COLUMN_PAIRS if p[0] in columns and p[1] in columns), None)
 
 
-def first_present(columns: list[str], names: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.nullif(F.col(f"`{n}`").cast("string"), F.lit("")) for n in names if n in columns], F.lit(None).cast("string"))
+def _column(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def first_present(columns: list[str], names: tuple[str, ...], of: Callable[[str], Column] = _column) -> Column:
+    return F.coalesce(*[F.nullif(of(n).cast("string"), F.lit("")) for n in names if n in columns], F.lit(None).cast("string"))
 
 
-def record_messages(types: dict[str, str], fields: dict[str, list[str]]) -> Column:
+def record_messages(types: dict[str, str], fields: dict[str, list[str]], of: Callable[[str], Column] = _column, plain_text: bool = True) -> Column:
     """Messages of a record with any of the known columns, in this order: chosen or rejected transcript, content, messages,
-    conversations, instruction (and input) with its answer, else question with its answer, teacher_response; else text as a document.
+    conversations, instruction (and input) with its answer, else question with its answer, teacher_response; else (with
+    plain_text) text as a document.
 
-    types: the table's columns and their types; fields: names in the structs of its array columns.
+    types: the record's columns and their types; fields: names in the structs of its array columns; of: the column of a name.
     """
     columns = list(types)
+    first = lambda *names: first_present(columns, names, of)
     none = F.array().cast("array<struct<role:string,text:string>>")
     parts = []
     if "chosen" in columns or "rejected" in columns:
-        parts.append(from_transcript(first_present(columns, ("chosen", "rejected"))))
+        parts.append(from_transcript(first("chosen", "rejected")))
     for name in ("content", "messages", "conversations"):
         if types.get(name, "").startswith("array"):
-            parts.append(F.coalesce(from_turns(F.col(name), fields[name]), none))
-    answer = first_present(columns, ANSWERS)
-    instruction, extra = first_present(columns, ("instruction",)), X.normalized(first_present(columns, ("input",)), True)
+            parts.append(F.coalesce(from_turns(of(name), fields[name]), none))
+    answer = first(*ANSWERS)
+    instruction, extra = first("instruction"), X.normalized(first("input"), True)
     told = clean_instruction(instruction)
     asked = F.when(extra != "", F.concat(told, F.lit("\n\n"), extra)).otherwise(told)
-    legacy = split_legacy(first_present(columns, (*QUESTIONS, "input")))
+    legacy = split_legacy(first(*QUESTIONS, "input"))
     reply = X.normalized(answer, True)
     framed = F.array(message(F.lit("user"), asked), message(F.lit("assistant"), answer))
     plain = F.array(message(F.lit("user"), legacy["user"]), message(F.lit("assistant"), F.when(reply != "", reply).otherwise(legacy["assistant"])))
-    has_question = first_present(columns, (*QUESTIONS, "input")).isNotNull()
+    has_question = first(*QUESTIONS, "input").isNotNull()
     parts.append(F.when(instruction.isNotNull(), framed).when(answer.isNotNull() & has_question, plain).otherwise(none))
-    parts.append(F.array(message(F.lit("assistant"), first_present(columns, ("teacher_response",)))))
+    parts.append(F.array(message(F.lit("assistant"), first("teacher_response"))))
     found = tidied(F.concat(*parts))
-    text = X.normalized(first_present(columns, ("text",)), True)
+    if not plain_text:
+        return found
+    text = X.normalized(first("text"), True)
     document = F.when(text != "", F.array(message(F.lit("document"), text))).otherwise(none)
     return F.get(F.transform(F.array(found), lambda m: F.when(F.size(m) > 0, m).otherwise(document)), F.lit(0))
 

@@ -21,6 +21,9 @@ from tidemark.functions.text import MARKS
 
 PAD = "<pad>"
 
+#: Characters of text that are encoded together.
+MOST = 1 << 19
+
 _LOADED: dict[str, object] = {}
 
 
@@ -60,7 +63,15 @@ class Codec:
             return hashlib.sha256(file.read() + "\0".join(self.marks).encode()).hexdigest()[:16]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts; each different stretch between marks is encoded once."""
+        """Ids of texts; each different stretch between marks is encoded once among MOST characters of text.
+
+        The library's results take a few hundred bytes an id until only the ids are kept.
+        """
+        sizes = np.cumsum([len(t) for t in texts])
+        cuts = np.flatnonzero(np.diff(sizes // MOST)) + 1 if len(texts) else []
+        return [x for i, j in zip([0, *cuts], [*cuts, len(texts)], strict=True) for x in self._encoded(texts[i:j])]
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         cut = re.compile("(" + "|".join(re.escape(m) for m in sorted(self.marks, key=len, reverse=True)) + ")")
         known = {m: np.array([self.base + i], np.int32) for i, m in enumerate(self.marks)}
         parts = [[x for x in cut.split(t) if x] for t in texts]

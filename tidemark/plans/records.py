@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import objects as O
 from tidemark.functions import records as R
 from tidemark.functions import text as X
 from tidemark.operators import corpus as C
 from tidemark.operators import sequences as S
 from tidemark.plans.registry import Registry
 from tidemark.plans.text import QUALITY, WORDS
+from tidemark.sources import files
+from tidemark.sources.scratch import fresh_path
 from tidemark.sources.tables import table
 
 query = Registry()
@@ -135,6 +138,64 @@ def record_messages(spark, sf_dir):
     return _summed(rows, "doc_id", R.record_messages(dict(rows.dtypes), {"messages": ["role", "content"]}))
 
 
+def _renamed(spark, path: str, suffix: str) -> None:
+    """Gives the text files below a folder that Spark has written another suffix."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    store = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.listFiles(of(path), True)
+    while found.hasNext():
+        name = found.next().getPath().toString()
+        if name.endswith(".txt"):
+            store.rename(of(name), of(f"{name[:-3]}{suffix}"))
+
+
+EMBEDDED = (
+    f"d AS (SELECT doc_id, {_asked('text')} AS u, {_clean('source')} AS a, {_clean('lang')} AS e FROM documents)",
+    "x AS (SELECT doc_id, [CASE WHEN u <> '' THEN 'user:' || u END, CASE WHEN a <> '' THEN 'assistant:' || a END, CASE WHEN doc_id % 4 = 3 AND e <> '' THEN 'assistant:' || e END] AS m FROM d)",
+)
+
+
+@query("embedded_records", f"WITH {', '.join(EMBEDDED)} SELECT doc_id, len(list_filter(m, lambda y: y IS NOT NULL)) AS n_messages, sha256(array_to_string(list_filter(m, lambda y: y IS NOT NULL), chr(10))) AS sha FROM x")
+def embedded_records(spark, sf_dir):
+    """Documents as objects in a prompt: JSON, a Python literal, turns on lines, and a Python list of turns with an answer outside."""
+    return _summed(_embedded(spark, sf_dir), "doc_id", O.record_messages({"prompt": "string", "response": "string"}, {}))
+
+
+def _embedded(spark, sf_dir) -> DataFrame:
+    d = _docs(spark, sf_dir)
+    shape = F.col("doc_id") % 4
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(F.replace(F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("'"))
+    turn = lambda role, c: F.to_json(F.struct(F.lit(role).alias("role"), F.col(c).alias("content")))
+    prompt = (
+        F.when(shape == 0, F.to_json(F.struct(F.col("text").alias("instruction"), F.col("source").alias("output"))))
+        .when(shape == 1, F.concat(F.lit("{'instruction': "), quoted("text"), F.lit(", 'input': None, 'output': "), quoted("source"), F.lit(",}")))
+        .when(shape == 2, F.concat_ws("\n", turn("user", "text"), turn("assistant", "source")))
+        .otherwise(F.concat(F.lit("{'conversations': [{'from': 'human', 'value': "), quoted("text"), F.lit("}, {'from': 'gpt', 'value': "), quoted("source"), F.lit("}]}")))
+    )
+    return d.select("doc_id", prompt.alias("prompt"), F.when(shape == 3, F.col("lang")).alias("response"))
+
+
+@query(
+    "load_all_texts",
+    f"""WITH d AS (SELECT doc_id, {_asked('text')} AS u, {_clean('source')} AS a FROM documents), b AS (SELECT {{b}} AS b FROM (SELECT unnest(regexp_split_to_array(text, '\n{{{{2,}}}}')) AS text FROM documents)),
+        t AS (SELECT '<bos>' || chr(10) || CASE WHEN u <> '' THEN '<user>' || chr(10) || u || chr(10) || '</user>' || chr(10) ELSE '' END || '<assistant>' || chr(10) || a || chr(10) || '</assistant>' || chr(10) || '<eos>' AS t FROM d
+              UNION ALL SELECT '<bos>' || chr(10) || b || chr(10) || '<eos>' FROM b WHERE b <> '' AND length(b) + 12 > 30)
+    SELECT DISTINCT sha256(t) AS sha, length(t) AS chars FROM t""".format(b="regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^\\s+|\\s+$', '', 'g')"),
+)
+def load_all_texts(spark, sf_dir):
+    """All documents three times as files: JSON lists and JSONL of questions and answers, and text files of paragraphs; loaded as unique canonical texts."""
+    path = fresh_path(spark, "files")
+    d = _docs(spark, sf_dir)
+    asked = F.struct(F.col("text").alias("question"), F.col("source").alias("answer"))
+    d.select(F.to_json(asked).alias("value")).write.text(f"{path}/lines")
+    _renamed(spark, f"{path}/lines", "jsonl")
+    lists = d.groupBy(F.floor(F.col("doc_id") / 2000).alias("part")).agg(F.to_json(F.struct(F.collect_list(asked).alias("examples"))).alias("value"))
+    lists.repartition("part").write.partitionBy("part").text(f"{path}/lists")
+    _renamed(spark, f"{path}/lists", "json")
+    d.select(F.concat("text", F.lit("\n\n"))).write.text(f"{path}/texts")
+    return files.load_all(spark, path).select(F.sha2("text", 256).alias("sha"), F.length("text").cast("long").alias("chars"))
+
+
 @query(
     "document_texts",
     """SELECT doc_id, sha256(CASE WHEN b = '' THEN '' ELSE '<bos>' || chr(10) || b || chr(10) || '<eos>' END) AS sha

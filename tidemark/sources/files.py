@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
-RECORD = "prompt string, response string, question string, answer string, instruction string, input string, output string, text string, messages array<struct<role:string,content:string>>, conversations array<struct<from:string,value:string>>"
+from tidemark.functions.objects import record_messages
+
+RECORD = "chosen string, rejected string, prompt string, response string, question string, problem string, query string, answer string, solution string, instruction string, input string, output string, teacher_response string, text string, content string, messages array<struct<role:string,content:string>>, conversations array<struct<from:string,value:string>>"
 
 #: Formats of times in candle files, tried in turn.
 TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy.MM.dd HH:mm:ss", "yyyy.MM.dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm")
@@ -41,6 +43,64 @@ def paragraphs(spark: SparkSession, path: str, longer_than: int = 30) -> DataFra
     return parts.select(F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).where(F.length("text") > longer_than)
 
 
+def _below(spark: SparkSession, root: str, suffix: str) -> DataFrameReader:
+    """A reader of the files below root with that suffix, hidden ones and caches left out by Spark and the pattern."""
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}")
+
+
+def _placed(rows: DataFrame, kind: int, *columns: Column | str) -> DataFrame:
+    """rows with `at`, their place among all rows of all files: kind of file, path, block of the file, place in that.
+
+    A task reads its blocks in order, so the running number of its rows is their order in a block.
+    """
+    meta = F.col("_metadata")
+    at = F.struct(F.lit(kind).alias("kind"), meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select(at.alias("at"), *columns)
+
+
+def record_texts(rows: DataFrame, longer_than: int = 20) -> DataFrame:
+    """at, text: canonical texts of records (at, and the columns of RECORD), if longer than that."""
+    from tidemark.operators.corpus import serialized
+
+    types = {n: t for n, t in rows.dtypes if n != "at"}
+    fields = {n: [f.name for f in rows.schema[n].dataType.elementType] for n, t in types.items() if t.startswith("array<struct")}
+    return rows.select("at", serialized(record_messages(types, fields)).alias("text")).where(F.length("text") > longer_than)
+
+
+def load_all(spark: SparkSession, root: str, schema: str = RECORD, seed: int | None = None, most: int | None = None) -> DataFrame:
+    """at, text of all JSON, JSONL and TXT files below a folder: records and paragraphs as canonical texts, each once.
+
+    Files go by kind and then path, their parts in order; of equal texts the first stays. A JSON file is a
+    list of records or has one under examples or data, files named master_index are left out; what is no
+    record, or too short, is passed over. With a seed, texts are ordered by a hash of it and themselves,
+    else by place; `most` keeps that many, which is for samples: an ordered limit.
+    """
+    from tidemark.functions.records import document_text
+
+    if not _any(spark, root):
+        return spark.createDataFrame([], "at struct<kind:int,file:string,block:bigint,row:bigint>, text string")
+    record = f"struct<{', '.join(p.replace(' ', ':', 1) for p in schema.split(', '))}>"
+    lists = _below(spark, root, "json").option("multiLine", "true").schema(f"{schema}, examples array<{record}>, data array<{record}>").json(root)
+    named = ~F.lower(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).contains("master_index")
+    own = F.struct(*[F.col(f.name) for f in lists.schema if f.name not in ("examples", "data")])
+    json = _placed(lists.where(named), 0, F.explode(F.coalesce("examples", "data", F.array(own))).alias("x")).select("at", "x.*")
+    lines = _placed(_below(spark, root, "jsonl").text(root), 1, F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("x"))
+    lines = lines.where("x._bad IS NULL").select("at", "x.*").drop("_bad")
+    whole = _placed(_below(spark, root, "txt").option("wholetext", "true").text(root), 2, "value")
+    parts = whole.select("at", F.posexplode(F.split("value", r"\n{2,}")).alias("part", "p"))
+    texts = parts.select(F.col("at").withField("row", F.col("part").cast("long")).alias("at"), document_text(F.col("p")).alias("text")).where(F.length("text") > 30)
+    found = record_texts(json).unionByName(record_texts(lines)).unionByName(texts)
+    once = found.groupBy("text").agg(F.min("at").alias("at")).select("at", "text")
+    if most is not None or seed is not None:
+        once = once.orderBy(*([F.xxhash64("text", F.lit(seed))] if seed is not None else []), "at")
+    return once if most is None else once.limit(max(0, most))
+
+
+def _any(spark: SparkSession, root: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def parsed_time(text: Column) -> Column:
     """A time in any of the known formats, or seconds since 1970; without a zone it is UTC."""
     text = F.trim(text)
