@@ -48,8 +48,14 @@ def python_to_json(text: Column) -> Column:
 def embedded(text: Column) -> Column:
     """The JSON or Python value that a text is, as VARIANT; null if it is neither."""
     text = R.trimmed(text)
-    literal = F.when(text.rlike(r"^[\[{(]"), F.try_parse_json(python_to_json(text)))
-    return F.coalesce(F.when(text != "", F.try_parse_json(text)), literal)
+    literal = F.when(text.rlike(r"^[\[{(]"), _parsed(python_to_json(text)))
+    return F.coalesce(F.when(text != "", _parsed(text)), literal)
+
+
+def _parsed(json: Column) -> Column:
+    """The value of a text that is one JSON value and nothing more; the parser alone would pass over what follows it."""
+    only = lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant"))
+    return let(F.try_parse_json(F.concat(F.lit("["), json, F.lit("]"))), only)
 
 
 def record(value: Column) -> Column:

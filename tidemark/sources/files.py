@@ -86,7 +86,7 @@ def load_all(spark: SparkSession, root: str, schema: str = RECORD, seed: int | N
     json = _placed(lists.where(named), 0, F.explode(F.coalesce("examples", "data", F.array(own))).alias("x")).select("at", "x.*")
     lines = _placed(_below(spark, root, "jsonl").text(root), 1, F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("x"))
     lines = lines.where("x._bad IS NULL").select("at", "x.*").drop("_bad")
-    whole = _placed(_below(spark, root, "txt").option("wholetext", "true").text(root), 2, "value")
+    whole = _placed(_below(spark, root, "txt").text(root, wholetext=True), 2, "value")
     parts = whole.select("at", F.posexplode(F.split("value", r"\n{2,}")).alias("part", "p"))
     texts = parts.select(F.col("at").withField("row", F.col("part").cast("long")).alias("at"), document_text(F.col("p")).alias("text")).where(F.length("text") > 30)
     found = record_texts(json).unionByName(record_texts(lines)).unionByName(texts)
