@@ -13,7 +13,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,21 +104,22 @@ class Codec:
         """Ids of a text, as array of int; a null text has none. bos, eos: with that mark before or after."""
         before, after = [[self.id(m)] if wanted else [] for m, wanted in (("<bos>", bos), ("<eos>", eos))]
 
-        @F.pandas_udf("array<int>")
-        def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for texts in batches:
-                found = self.encode_all([t or "" for t in texts])
-                yield pd.Series([np.concatenate([before, x, after]).astype(np.int32) for x in found] if bos or eos else found)
+        @F.arrow_udf("array<int>")
+        def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in _sliced(batches):
+                found = self.encode_all([t or "" for t in texts.to_pylist()])
+                yield _lists([np.concatenate([before, x, after]) for x in found] if bos or eos else found)
 
         return ids(text.cast("string"))
 
     def decode(self, ids: Column, marks: bool = True) -> Column:
         """The text of an array of ids; null ids give an empty text."""
 
-        @F.pandas_udf("string")
-        def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for rows in batches:
-                yield pd.Series(self.decode_all([x if x is not None else [] for x in rows], marks), dtype=object)
+        @F.arrow_udf("string")
+        def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for rows in _sliced(batches):
+                flat, offsets = _flat(rows)
+                yield pa.array(self.decode_all([flat[i:j] for i, j in zip(offsets, offsets[1:])], marks), pa.string())
 
         return texts(ids)
 
@@ -126,9 +128,13 @@ class Codec:
         names = ("<bos>", "<eos>", "<user>", "<assistant>", "</assistant>", "<think>", "</think>")
         marks = tuple(self.id(m) for m in names)
 
-        @F.pandas_udf("array<array<int>>")
-        def chunks(rows: pd.Series) -> pd.Series:
-            return pd.Series([chunked_chat(np.asarray(x, np.int32), marks, most) for x in rows])
+        @F.arrow_udf("array<array<int>>")
+        def chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for rows in _sliced(batches):
+                flat, offsets = _flat(rows)
+                found = [chunked_chat(flat[i:j], marks, most) for i, j in zip(offsets, offsets[1:])]
+                outer = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                yield pa.ListArray.from_arrays(outer, _lists([c for cs in found for c in cs]))
 
         return chunks(ids)
 
@@ -143,25 +149,45 @@ class Codec:
         marks = tuple(self.id(m) for m in ("<bos>", "<eos>", "<assistant>", "</assistant>"))
         pad = self.id(self.marks[0])
 
-        @F.pandas_udf("x array<int>, y array<int>, n_targets int, n_prompt int")
-        def made(rows: pd.Series) -> pd.DataFrame:
-            kept = [np.asarray(r, np.int32)[: length + 1] for r in rows]
-            flat = np.concatenate(kept) if kept else np.empty(0, np.int32)
-            sizes = np.array([len(k) for k in kept], np.int64)
-            wanted, prompt = target_mask(flat, sizes, marks)
-            out = []
-            for k, end in zip(kept, np.cumsum(sizes).tolist(), strict=True):
-                at = slice(end - len(k) + 1, end)
-                x, y = np.full(length, pad, np.int32), np.full(length, pad, np.int32)
-                if len(k) > 1:
-                    x[: len(k) - 1] = k[:-1]
-                    y[: len(k) - 1] = np.where(wanted[at], k[1:], pad)
-                out.append((x, y, int(wanted[at].sum()), int(prompt[at].sum())))
-            return pd.DataFrame(out, columns=["x", "y", "n_targets", "n_prompt"])
+        @F.arrow_udf("x array<int>, y array<int>, n_targets int, n_prompt int")
+        def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for rows in _sliced(batches):
+                whole, offsets = _flat(rows)
+                sizes = np.minimum(np.diff(offsets), length + 1)
+                flat = np.concatenate([whole[i : i + n] for i, n in zip(offsets, sizes)]) if len(sizes) else whole
+                wanted, prompt = target_mask(flat, sizes, marks)
+                x, y = (np.full((len(sizes), length), pad, np.int32) for _ in range(2))
+                counts = np.zeros((2, len(sizes)), np.int32)
+                for k, (end, n) in enumerate(zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)):
+                    if n > 1:
+                        at = slice(end - n + 1, end)
+                        x[k, : n - 1], y[k, : n - 1] = flat[end - n : end - 1], np.where(wanted[at], flat[at], pad)
+                        counts[:, k] = wanted[at].sum(), prompt[at].sum()
+                starts = pa.array(np.arange(len(sizes) + 1) * length, pa.int32())
+                parts = [pa.ListArray.from_arrays(starts, pa.array(part.ravel())) for part in (x, y)]
+                yield pa.StructArray.from_arrays([*parts, pa.array(counts[0]), pa.array(counts[1])], ["x", "y", "n_targets", "n_prompt"])
 
         return made(ids)
 
 
+def _sliced(batches: Iterator[pa.Array], rows: int = 256) -> Iterator[pa.Array]:
+    """A few rows at a time, so that what a task makes of a batch is never there all at once."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
+def _flat(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of rows of lists, and where each row begins and the last one ends; a null row is empty."""
+    sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat))
+
+
 def target_mask(ids: np.ndarray, sizes: np.ndarray, marks: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Which ids are to be predicted and which are prompt, of sequences of these sizes one after another.
 

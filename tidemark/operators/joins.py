@@ -13,16 +13,23 @@ def carried(rows: DataFrame, value: str, after: bool = False) -> DataFrame:
     within a symbol's day, so a symbol with most of the rows is as many tasks as it has days; between
     days only each day's last value is carried.
     """
+    return carried_all(rows, [value], after)
+
+
+def carried_all(rows: DataFrame, values: list[str], after: bool = False) -> DataFrame:
+    """carried() for several values at once, each from the last row that has it, in one sort."""
     turn = (lambda c: F.desc(c)) if after else (lambda c: F.asc(c))
     pick = F.min_by if after else F.max_by
     rows = rows.withColumn("day", F.date_trunc("day", "at"))
-    ends = rows.groupBy("symbol", "day").agg(pick(value, F.when(F.col(value).isNotNull(), F.struct("at", "kind"))).alias("end"))
+    held = [f"held_{i}" for i in range(len(values))]
+    ends = rows.groupBy("symbol", "day").agg(*[pick(v, F.when(F.col(v).isNotNull(), F.struct("at", "kind"))).alias(h) for v, h in zip(values, held, strict=True)])
     sooner = Window.partitionBy("symbol").orderBy(turn("day")).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(F.col("symbol").alias("s"), F.col("day").alias("d"), F.last("end", ignorenulls=True).over(sooner).alias("held"))
+    ends = ends.select(F.col("symbol").alias("s"), F.col("day").alias("d"), *[F.last(h, ignorenulls=True).over(sooner).alias(h) for h in held])
     inside = Window.partitionBy("symbol", "day").orderBy(turn("at"), turn("kind")).rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.withColumn("own", F.last(value, ignorenulls=True).over(inside))
+    found = rows.withColumns({f"own_{i}": F.last(v, ignorenulls=True).over(inside) for i, v in enumerate(values)})
     found = found.join(ends, F.col("symbol").eqNullSafe(F.col("s")) & F.col("day").eqNullSafe(F.col("d")))
-    return found.withColumn(value, F.coalesce("own", "held")).drop("own", "held", "s", "d", "day")
+    found = found.withColumns({v: F.coalesce(f"own_{i}", held[i]) for i, v in enumerate(values)})
+    return found.drop("s", "d", "day", *held, *[f"own_{i}" for i in range(len(values))])
 
 
 def as_of(decisions: DataFrame, bars: DataFrame, minutes: int) -> DataFrame:
