@@ -76,12 +76,13 @@ def windows(ids: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda w: F.slice(ids, w * size + 1, size + 1))
 
 
-def stream_chunks(docs: DataFrame, size: int, stride: int, pad: int) -> DataFrame:
+def stream_chunks(docs: DataFrame, size: int, stride: int, pad: int, block: int = 20_000) -> DataFrame:
     """chunk, ids: chunks of size + 1 ids of the stream of all documents in order of id, one each `stride`.
 
     docs: doc_id (once each), ids. The last chunk is filled up with `pad`; a single id that is left makes
     none. Ids are written once, so they are not made again for the sums of their lengths; a document goes
-    to the chunks that it overlaps, cut to them, and a chunk is put together from its parts.
+    to the chunks that it overlaps, cut to them, and a chunk is put together from its parts. Parts are dealt
+    by blocks of `block` chunks, so the chunks of a block come out in one task and need no second shuffle.
     """
     held = kept(docs.select("doc_id", "ids").where("doc_id IS NOT NULL"), "ids")
     sizes = held.select("doc_id", F.size("ids").cast("long").alias("n"))
@@ -95,7 +96,8 @@ def stream_chunks(docs: DataFrame, size: int, stride: int, pad: int) -> DataFram
     first, stop = F.greatest("start", at), F.least("end", at + size + 1)
     part = F.struct(first.alias("at"), F.slice("ids", (first - F.col("start") + 1).cast("int"), (stop - first).cast("int")).alias("ids"))
     parts = parts.where((F.lit(whole) - at > 1) & (stop > first)).select("chunk", part.alias("p"))
-    joined = parts.groupBy("chunk").agg(F.flatten(F.sort_array(F.collect_list("p"))["ids"]).alias("ids"))
+    dealt = parts.withColumn("block", F.floor(F.col("chunk") / block)).repartition("block")
+    joined = dealt.groupBy("block", "chunk").agg(F.flatten(F.sort_array(F.collect_list("p"))["ids"]).alias("ids"))
     return joined.select("chunk", F.concat("ids", F.array_repeat(F.lit(pad), size + 1 - F.size("ids"))).alias("ids"))
 
 

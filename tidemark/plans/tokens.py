@@ -46,10 +46,10 @@ def token_round_trip(spark, sf_dir):
 @query("token_shards", "SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS place, sha256(coalesce(text, '')) AS sha FROM documents")
 def token_shards(spark, sf_dir):
     """All documents as one stream of ids in overlapping chunks, written to shards, verified, read back, and cut into texts again."""
-    own, size, stride = codec(), 512, 256
+    own, size, stride, block = codec(), 512, 256, 2000
     path = fresh_path(spark, "shards")
     ids = _texts(spark, sf_dir).select("doc_id", own.encode(F.col("text"), bos=True, eos=True).alias("ids"))
-    shards.write_shards(S.stream_chunks(ids, size, stride, own.id("<pad>")), path, own, size, stride, per_shard=2000)
+    shards.write_shards(S.stream_chunks(ids, size, stride, own.id("<pad>"), block), path, own, size, stride, per_shard=block, dealt=True)
     bad = shards.verified(spark, path, own, size).where("NOT ok").take(1)
     if bad:
         raise ValueError(f"{bad[0].shard}: {bad[0].reason}")

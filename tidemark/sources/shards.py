@@ -207,11 +207,15 @@ class TokenShards(DataSource):
         return _Writer(dict(self.options), overwrite)
 
 
-def write_shards(chunks: DataFrame, path: str, codec, length: int, stride: int, split: str = "train", per_shard: int = 20_000, mode: str = "append") -> None:
-    """Chunks (chunk, ids of length + 1) as shards in the order of chunk; append adds files to the split, overwrite leaves only these."""
+def write_shards(chunks: DataFrame, path: str, codec, length: int, stride: int, split: str = "train", per_shard: int = 20_000, mode: str = "append", dealt: bool = False) -> None:
+    """Chunks (chunk, ids of length + 1) as shards in the order of chunk; append adds files to the split, overwrite leaves only these.
+
+    dealt: each `per_shard` chunks that follow one another are in one task already, as stream_chunks gives them.
+    """
     chunks.sparkSession.dataSource.register(TokenShards)
     options = {"split": split, "length": length, "stride": stride, "vocabulary": codec.size, "fingerprint": codec.fingerprint(), "chunks_per_shard": per_shard}
-    ordered = chunks.select(F.col("chunk").cast("long").alias("chunk"), "ids").repartitionByRange("chunk").sortWithinPartitions("chunk")
+    rows = chunks.select(F.col("chunk").cast("long").alias("chunk"), "ids")
+    ordered = (rows if dealt else rows.repartitionByRange("chunk")).sortWithinPartitions("chunk")
     ordered.write.format("token_shards").options(**options).mode(mode).save(path)
 
 
