@@ -124,15 +124,17 @@ class Codec:
         return texts(ids)
 
     def chat_chunks(self, ids: Column, most: int) -> Column:
-        """Chunks of at most `most` ids of a conversation that is longer, as array of arrays; see chunked_chat."""
+        """Chunks of at most `most` ids of a conversation that is longer, as array of arrays, see chunked_chat; those in which
+        nothing is to be predicted are left out."""
         names = ("<bos>", "<eos>", "<user>", "<assistant>", "</assistant>", "<think>", "</think>")
         marks = tuple(self.id(m) for m in names)
+        told = (marks[0], marks[1], marks[3], marks[4])
 
         @F.arrow_udf("array<array<int>>")
         def chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for rows in _sliced(batches):
                 flat, offsets = _flat(rows)
-                found = [chunked_chat(flat[i:j], marks, most) for i, j in zip(offsets, offsets[1:])]
+                found = [[c for c in chunked_chat(flat[i:j], marks, most) if target_mask(c, np.array([len(c)]), told)[0].any()] for i, j in zip(offsets, offsets[1:])]
                 outer = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
                 yield pa.ListArray.from_arrays(outer, _lists([c for cs in found for c in cs]))
 

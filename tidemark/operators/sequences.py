@@ -108,13 +108,15 @@ def example_sequences(docs: DataFrame, codec: Codec, size: int, run: int = 64) -
     bins_in_order does; of a longer one an answer makes chunks of its own, and other text makes windows.
     Fewer than two ids are left out.
     """
+    opens = codec.id("<assistant>")
+    answers = F.array_contains("ids", opens)
+    # of a chat something is predicted if anything but another such mark follows an opening mark
+    followed = F.exists(F.transform("ids", lambda x, i: (x == opens) & (i > 0) & (i + 1 < F.size("ids")) & (F.get("ids", i + 1) != opens)), lambda x: x)
     held = kept(docs.select("doc_id", "ids").where("doc_id IS NOT NULL AND size(ids) >= 2"), "ids")
     placed = bins_in_order(held.select("doc_id", F.size("ids").cast("long").alias("n")), size + 1, run).join(held, "doc_id")
     own = F.sort_array(F.collect_list(F.struct("doc_id", "n", "ids")))
-    short = placed.where(F.col("n") <= size + 1).groupBy("run", "bin").agg(own.alias("m"))
+    short = placed.where(F.col("n") <= size + 1).withColumn("told", ~answers | followed).groupBy("run", "bin").agg(own.alias("m"), F.bool_or("told").alias("told")).where("told")
     short = short.select("run", "bin", F.lit(0).alias("part"), F.flatten("m.ids").alias("ids"), F.transform("m", lambda m: F.struct(m["doc_id"].alias("doc_id"), m["n"].alias("n"))).alias("members"))
     long = placed.where(F.col("n") > size + 1)
-    answers = F.array_contains("ids", codec.id("<assistant>"))
     cut = lambda rows, parts: rows.select("run", "bin", F.array(F.struct("doc_id", "n")).alias("members"), F.posexplode(parts).alias("part", "ids")).select(*short.columns)
-    found = short.unionByName(cut(long.where(~answers), windows(F.col("ids"), size))).unionByName(cut(long.where(answers), codec.chat_chunks(F.col("ids"), size + 1)))
-    return found.where(codec.targets(F.col("ids"), size)["n_targets"] > 0)
+    return short.unionByName(cut(long.where(~answers), windows(F.col("ids"), size))).unionByName(cut(long.where(answers), codec.chat_chunks(F.col("ids"), size + 1)))
