@@ -120,6 +120,24 @@ def _roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
+def _spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs, the earliest that do, that join all classes of n points that the pairs join."""
+    root, kept = np.arange(n), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i, j in pairs:
+        while True:
+            a, b = root[i], root[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            high, at = np.unique(np.maximum(a, b), return_index=True)  # one pair for each class that joins a lower one
+            kept.append((i[at], j[at]))
+            root[high] = np.minimum(a, b)[at]
+            while (root[root] != root).any():
+                root = root[root]
+    return np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
+
+
 def _split(mask: int, parts: int) -> list[int]:
     """mask with one more run of its free bits fixed, in each of the given number of ways."""
     free = [b for b in range(BITS) if not mask >> b & 1]
@@ -256,12 +274,57 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def wide_radius(similarity: float, slack: float = 1.3) -> int:
+def wide_radius(similarity: float, slack: float = 1.8) -> int:
     """Bits that two texts may differ in: what the similarity is expected to give, and `slack` standard deviations."""
     p, bits = differing_share(similarity), BITS * WIDE
     return round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
+#: Shares of the radius at which links are looked for in turn, so that near ones come before those that are less so.
+STEPS = (0.5, 0.7, 0.85, 1.0)
+
+#: Documents with a candidate link up to which their ids are broadcast, 8 bytes each; more are joined.
+SENT = 1_000_000
+
+
+def shingle_set(text: bytes | None, shingle: int) -> set[bytes]:
+    words = (text or b"").lower().split()
+    if len(words) < shingle:
+        return {b" ".join(words)} if words else set()
+    return {b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)}
+
+
+def verified(links: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The links (u, v) of documents (doc_id, text) whose sets of shingles have this Jaccard similarity or more.
+
+    Only texts with a link are shuffled. Several rows of one doc_id count as the one that sorts first by text.
+    """
+    nodes = written(links.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "linked")
+    few = nodes.count() <= SENT
+    mine = docs.join(F.broadcast(nodes) if few else nodes, F.col("doc_id") == F.col("node"), "left_semi")
+    mine = written(mine.groupBy("doc_id").agg(F.min("text").alias("text")), "linked-texts", "zstd")
+    side = lambda name: mine.select(F.col("doc_id").alias(name), F.col("text").alias(f"{name}_text"))
+    pairs = links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_text", "v_text")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int | None, set[bytes]] = (None, set())
+        for batch in batches:
+            v = batch.column("v").to_numpy()
+            good = np.zeros(batch.num_rows, bool)
+            texts = [c.cast(pa.large_binary() if pa.types.is_large_string(c.type) else pa.binary()) for c in (batch.column("u_text"), batch.column("v_text"))]
+            for k in range(batch.num_rows):
+                if held[0] != v[k]:  # links come by v, as they were joined
+                    held = (int(v[k]), shingle_set(texts[1][k].as_py(), shingle))
+                other = shingle_set(texts[0][k].as_py(), shingle)
+                same = len(held[1] & other)
+                good[k] = same >= similarity * (len(held[1]) + len(other) - same) - 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good))
+
+    found = written(pairs.mapInArrow(check, "u long, v long"), "verified")
+    remove(docs.sparkSession, nodes, mine)
+    return found
+
+
 def bands(number: int, similarity: float, missed: float = 0.02, seed: int = 42) -> np.ndarray:
     """Bits of each band: rows of as many bits as keep `number` points thin, and so many rows that a pair of
     this similarity agrees on no band with a probability of about `missed`, whatever the number of points."""
@@ -275,11 +338,13 @@ def bands(number: int, similarity: float, missed: float = 0.02, seed: int = 42)
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42, most: int = 2048, per_task: int = 40_000) -> DataFrame:
     """doc_id, component_id of every document that has a doc_id: groups of texts alike in their word shingles.
 
-    Two documents are linked if their wide fingerprints, an estimate of the Jaccard similarity of their
-    sets of shingles, lie within wide_radius(similarity) and agree on one band at least. Documents meet
-    in shards, one for each value of each band, in which BK-trees are searched; equal fingerprints meet
-    before. Null and blank texts are alike. An empty table gives no rows. Columns but doc_id and text are
-    not read.
+    Two documents are linked if their sets of shingles have this Jaccard similarity. Those are looked for
+    whose wide fingerprints, an estimate of it, lie within wide_radius(similarity) and agree on one band at
+    least: in shards, one for each value of each band, BK-trees are searched. In a task the links that join
+    its documents, the nearest first, are candidates, and each is checked on the sets themselves; so a
+    group of n copies costs about n checks and not n * n. A link is lost where all pairs that are as near
+    or nearer and would join its ends fail the check. Equal fingerprints meet before, unchecked. Null and
+    blank texts are alike. An empty table gives no rows. Columns but doc_id and text are not read.
     """
     spark, radius = docs.sparkSession, wide_radius(similarity)
 
@@ -317,15 +382,17 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
         shard = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
         known, who = np.unique(rows["first"].to_numpy(), return_inverse=True)
         forest = BKForest(np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(len(rows), -1), shard)
-        root = _roots(len(known), ((who[i], who[j]) for i, j in forest.links(radius)))
-        moved = np.flatnonzero(root != np.arange(len(known)))
-        return pd.DataFrame({"u": known[moved], "v": known[root[moved]]})
+        links = ((who[i], who[j]) for step in STEPS for i, j in forest.links(round(radius * step)))
+        i, j = _spanning(len(known), links)
+        return pd.DataFrame({"u": np.maximum(known[i], known[j]), "v": np.minimum(known[i], known[j])})
 
     level = level.withColumn("bucket", F.pmod(F.xxhash64("mask", "value", "pair"), F.lit(buckets)))
-    roots = connected_components(level.groupBy("bucket").applyInPandas(search, "u long, v long"))
+    links = written(level.groupBy("bucket").applyInPandas(search, "u long, v long").distinct(), "links")
+    checked = verified(links, rows, similarity, shingle)
+    roots = connected_components(checked)
     named = points.join(roots, points["first"] == roots["node"], "left").select("fp", F.coalesce("root", "first").alias("component_id"))
     found = written(prints.join(named, "fp").select("doc_id", "component_id"), "similar-documents")
-    remove(spark, prints, points, banded, roots)
+    remove(spark, prints, points, banded, links, checked, roots)
     return found
 
 
