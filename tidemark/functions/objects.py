@@ -88,10 +88,10 @@ def record_messages(types: dict[str, str], fields: dict[str, list[str]]) -> Colu
     answer = R.first_present(list(types), ("response", "output", "answer", "solution"))
     more = F.array(R.message(F.lit("assistant"), answer))
 
-    def choose(p: Column) -> Column:
-        found = F.when(F.size(p["inner"]) > 0, R.tidied(F.concat(p["inner"], more))).when(F.size(p["lines"]) > 0, R.tidied(F.concat(p["lines"], more)))
-        return F.coalesce(found, own)
-
     none = F.array().cast("array<struct<role:string,text:string>>")
+    # what is found is tidied already, so only the answer outside still has to be
+    with_answer = lambda found: F.concat(found, F.filter(R.tidied(more), lambda m: m != F.element_at(found, -1)))
+    first = lambda inner: F.when(F.size(inner) > 0, with_answer(inner)).otherwise(let(R.tidied(chat_lines(F.col("prompt"))), second))
+    second = lambda lines: F.when(F.size(lines) > 0, with_answer(lines)).otherwise(own)
     inner = let(record(embedded(F.col("prompt"))), lambda r: F.when(r.isNotNull(), R.record_messages(SHAPE, FIELDS, lambda n: r[n], False)).otherwise(none))
-    return let(F.struct(F.coalesce(inner, none).alias("inner"), chat_lines(F.col("prompt")).alias("lines")), choose)
+    return let(F.coalesce(inner, none), first)
