@@ -47,8 +47,8 @@ def split_legacy(text: Column) -> Column:
     text = trimmed(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"))
     text = F.regexp_replace(text, r"(?i)^\s*(?:Human|User)\s*:\s*", "")
     parts = F.split(text, r"(?i)(?:^|\n)\s*Assistant\s*:\s*", 2)
-    answer = F.when(F.size(parts) > 1, X.normalized(F.get(parts, F.lit(1)), True)).otherwise("")
-    return F.struct(clean_instruction(F.get(parts, F.lit(0))).alias("user"), answer.alias("assistant"))
+    answer = lambda p: F.when(F.size(p) > 1, X.normalized(F.get(p, F.lit(1)), True)).otherwise("")
+    return X.let(parts, lambda p: F.struct(clean_instruction(F.get(p, F.lit(0))).alias("user"), answer(p).alias("assistant")))
 
 
 def message(role: Column, text: Column) -> Column:
@@ -126,12 +126,12 @@ def record_messages(types: dict[str, str], fields: dict[str, list[str]], of: Cal
             parts.append(F.coalesce(from_turns(of(name), fields[name]), none))
     answer = first(*ANSWERS)
     instruction, extra = first("instruction"), X.normalized(first("input"), True)
-    told = clean_instruction(instruction)
-    asked = F.when(extra != "", F.concat(told, F.lit("\n\n"), extra)).otherwise(told)
-    legacy = split_legacy(first(*QUESTIONS, "input"))
-    reply = X.normalized(answer, True)
+    told = F.struct(clean_instruction(instruction).alias("told"), extra.alias("extra"))
+    asked = X.let(told, lambda p: F.when(p["extra"] != "", F.concat(p["told"], F.lit("\n\n"), p["extra"])).otherwise(p["told"]))
     framed = F.array(message(F.lit("user"), asked), message(F.lit("assistant"), answer))
-    plain = F.array(message(F.lit("user"), legacy["user"]), message(F.lit("assistant"), F.when(reply != "", reply).otherwise(legacy["assistant"])))
+    parts_of = F.struct(split_legacy(first(*QUESTIONS, "input")).alias("legacy"), X.normalized(answer, True).alias("reply"))
+    replied = lambda p: F.when(p["reply"] != "", p["reply"]).otherwise(p["legacy"]["assistant"])
+    plain = X.let(parts_of, lambda p: F.array(message(F.lit("user"), p["legacy"]["user"]), message(F.lit("assistant"), replied(p))))
     has_question = first(*QUESTIONS, "input").isNotNull()
     parts.append(F.when(instruction.isNotNull(), framed).when(answer.isNotNull() & has_question, plain).otherwise(none))
     parts.append(F.array(message(F.lit("assistant"), first("teacher_response"))))

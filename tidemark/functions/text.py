@@ -74,17 +74,22 @@ def repaired(text: Column) -> Column:
 
 def escaped(text: Column, allowed: tuple[str, ...] = ()) -> Column:
     """The text with reserved marks made inert, but for those that are allowed."""
-    for mark in MARKS:
-        if mark not in allowed:
-            text = F.replace(text, F.lit(mark), F.lit(mark.replace("<", "&lt;").replace(">", "&gt;")))
-    return text
+
+    def inert(whole: Column) -> Column:
+        text = whole
+        for mark in MARKS:
+            if mark not in allowed:
+                text = F.replace(text, F.lit(mark), F.lit(mark.replace("<", "&lt;").replace(">", "&gt;")))
+        return F.when(whole.contains("<"), text).otherwise(whole)  # most texts have no mark to look for
+
+    return let(text, inert)
 
 
 def normalized(text: Column, strip_role: bool = False) -> Column:
     """Line ends made one kind, marks on lines of their own, the parts between them trimmed; null gives ""."""
     text = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\\x00", ""), "\r\n?", "\n")
     listed = "|".join(re.escape(m) for m in sorted(MARKS, key=len, reverse=True))
-    text = F.regexp_replace(text, rf"\s*({listed})\s*", "\n$1\n")
+    text = let(text, lambda t: F.when(t.contains("<"), F.regexp_replace(t, rf"\s*({listed})\s*", "\n$1\n")).otherwise(t))
     text = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), rf"(?<=>)\n\n(?=<)", "\n")
     if strip_role:
         text = F.regexp_replace(text, r"(?i)^(?:\s*(?:Human|User|Assistant|AI|System)\s*:\s*)+", "")

@@ -79,11 +79,16 @@ def serialized(messages: Column) -> Column:
         role = F.lower(F.trim(m["role"]))
         helper = role.isin("assistant", "ai", "gpt", "model")
         body = F.when(helper, X.normalized(X.escaped(m["text"], ("<think>", "</think>")), True)).otherwise(X.normalized(X.escaped(m["text"]), True))
-        wrap = lambda tag: F.concat(F.lit(f"<{tag}>\n"), body, F.lit(f"\n</{tag}>"))
-        return F.when(body == "", None).when(role.isin("human", "user"), wrap("user")).when(helper, wrap("assistant")).when(role == "system", wrap("evidence")).when(role == "document", body)
+
+        def wrapped(text: Column) -> Column:
+            wrap = lambda tag: F.concat(F.lit(f"<{tag}>\n"), text, F.lit(f"\n</{tag}>"))
+            return F.when(text == "", None).when(role.isin("human", "user"), wrap("user")).when(helper, wrap("assistant")).when(role == "system", wrap("evidence")).when(role == "document", text)
+
+        return X.let(body, wrapped)
 
     parts = F.filter(F.transform(messages, part), lambda x: x.isNotNull())
-    return F.when(F.size(parts) == 0, "").otherwise(F.concat(F.lit("<bos>\n"), F.array_join(parts, "\n"), F.lit("\n<eos>")))
+    whole = lambda p: F.when(F.size(p) == 0, "").otherwise(F.concat(F.lit("<bos>\n"), F.array_join(p, "\n"), F.lit("\n<eos>")))
+    return X.let(parts, whole)
 
 
 def conversation_texts(turns: DataFrame) -> DataFrame:
