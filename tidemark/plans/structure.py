@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import candles as C
 from tidemark.functions import indicators as ind
 from tidemark.operators import frames as T
 from tidemark.operators import zones as Z
@@ -80,6 +81,70 @@ def replay_view(spark, sf_dir):
     return seen.join(quote, ["symbol", "ts"]).select("symbol", "ts", "bid", "ask", *told)
 
 
+KEEP = 60
+
+
+def _bar_lists() -> str:
+    """SQL: of each frame's bars the last sixty with them, and when they are closed."""
+    return ", ".join(f"k_{n} AS (SELECT symbol, ts + INTERVAL {m} minutes AS at, list({{'o': open, 'h': high, 'l': low, 'c': close}}) OVER (PARTITION BY symbol ORDER BY ts ROWS {KEEP - 1} PRECEDING) AS {n} FROM {n})" for n, m in T.FRAMES.items() if n in C.TREND)
+
+
+def _closes(x: str) -> str:
+    return f"list_transform({x}, lambda b: b.c)"
+
+
+def _ema_sql(values: str, n: int) -> str:
+    alpha = 2.0 / (n + 1)
+    return f"list_reduce({values}, lambda a, x: x * {alpha!r} + a * {1 - alpha!r})"
+
+
+def _rsi_sql(c: str) -> str:
+    d = f"list_transform(range(2, len({c}) + 1), lambda i: ({c})[i] - ({c})[i - 1])"
+    gain, loss = (f"(list_sum(list_transform({d}, lambda d: greatest({sign}d, 0.0))) / (len({c}) - 1))" for sign in ("", "-"))
+    return f"CASE WHEN {loss} <= 0 THEN 100.0 ELSE 100 - 100 / (1 + {gain} / {loss}) END"
+
+
+def _slope_sql(x: str) -> str:
+    return f"greatest(-1.0, least(1.0, (({x})[-1].c - ({x})[1].c) / greatest(list_sum(list_transform({x}, lambda b: abs(b.h - b.l))), 1e-9)))"
+
+
+def _trend_sql(n: str) -> str:
+    far = f"CASE WHEN len({n}) >= 60 THEN {_ema_sql(_closes(f'{n}[-60:]'), 50)} ELSE {_ema_sql(_closes(n), 30)} END"
+    near, lean = _ema_sql(_closes(f"{n}[-30:]"), 20), _slope_sql(f"{n}[-12:]")
+    straight = f"least(1.0, abs({n}[-1].c - ({n}[-20:])[1].c) / greatest(list_sum(list_transform({n}[-20:], lambda b: abs(b.h - b.l))), 1e-9))"
+    order = f"CASE WHEN {n}[-1].c > {near} AND {near} > {far} THEN 1.0 WHEN {n}[-1].c < {near} AND {near} < {far} THEN -1.0 ELSE 0.0 END"
+    return f"CASE WHEN len({n}) < 30 THEN 0.0 ELSE greatest(-1.0, least(1.0, 0.55 * {order} + 0.30 * {lean} + 0.15 * {straight} * CASE WHEN {lean} >= 0 THEN 1.0 ELSE -1.0 END)) END"
+
+
+_MACD = """list_reduce(list_transform(m15, lambda b: {'x': b.c, 'f': b.c, 's': b.c, 'g': 0.0, 'h': [0.0]}), lambda a, b: {'x': b.x, 'f': b.x * 2 / 13 + a.f * 11 / 13, 's': b.x * 2 / 27 + a.s * 25 / 27,
+            'g': ((b.x * 2 / 13 + a.f * 11 / 13) - (b.x * 2 / 27 + a.s * 25 / 27)) * 0.2 + a.g * 0.8,
+            'h': list_append(a.h, ((b.x * 2 / 13 + a.f * 11 / 13) - (b.x * 2 / 27 + a.s * 25 / 27)) * 0.8 - a.g * 0.8)})"""
+_BODY = "least(1.0, abs(m15[-1].c - m15[-1].o) / greatest(abs(m15[-1].h - m15[-1].l), 1e-9)) * CASE WHEN m15[-1].c >= m15[-1].o THEN 1.0 ELSE -1.0 END"
+
+
+@query(
+    "indicator_scores",
+    f"""WITH {ALL_BARS}, {_bar_lists()}, d AS (SELECT symbol, ts + INTERVAL 15 minutes AS ts FROM m15),
+        s AS (SELECT d.*, {', '.join(f'coalesce({n}, []) AS {n}' for n in C.TREND)} FROM d {' '.join(f'ASOF LEFT JOIN k_{n} ON k_{n}.symbol = d.symbol AND k_{n}.at <= d.ts' for n in C.TREND)}),
+        e AS (SELECT *, {_MACD}.h AS hist, {_closes('m15')} AS c, CASE WHEN len(m15) >= 20 THEN m15 ELSE m5 END AS u FROM s),
+        q AS (SELECT *, list_max(list_transform(u[-20:][:-2], lambda b: b.h)) AS top, list_min(list_transform(u[-20:][:-2], lambda b: b.l)) AS low FROM e),
+        r AS (SELECT symbol, ts, CASE WHEN len(m15) < 35 THEN 0.0 ELSE greatest(-1.0, least(1.0, 0.30 * greatest(-1.0, least(1.0, ({_rsi_sql('c[-15:]')} - {_rsi_sql('c[-20:-6]')}) / 25)) + 0.35 * greatest(-1.0, least(1.0, (hist[-1] - hist[-4]) / greatest(abs(c[-1]) * 0.0004, 1e-9)))
+                + 0.25 * greatest(-1.0, least(1.0, ((c[-1] - c[-4]) / greatest(abs(c[-4]), 1e-9) - (c[-1] - c[-12]) / greatest(abs(c[-12]), 1e-9)) * 800)) + 0.10 * {_BODY})) END AS momentum,
+            greatest(-1.0, least(1.0, {' + '.join(f'{w} * {_trend_sql(n)}' for n, w in C.TREND.items())})) AS trend,
+            CASE WHEN len(u) < 12 THEN 0.0 ELSE greatest(-1.0, least(1.0, 0.45 * CASE WHEN u[-1].c > top THEN 1.0 WHEN u[-1].c < low THEN -1.0 ELSE 0.0 END + 0.30 * CASE WHEN u[-1].h > top AND u[-1].c < top THEN -0.7 WHEN u[-1].l < low AND u[-1].c > low THEN 0.7 ELSE 0.0 END
+                + 0.15 * greatest(-1.0, least(1.0, (u[-1].c - (top + low) / 2) / greatest(top - low, 1e-9))) + 0.10 * CASE WHEN len(h1) >= 8 THEN {_slope_sql('h1[-8:]')} ELSE 0.0 END)) END AS structure FROM q)
+    SELECT symbol, ts, round(momentum, 5) AS momentum, round(trend, 5) AS trend, round(structure, 5) AS structure FROM r""",
+    digits=5,
+)
+def indicator_scores(spark, sf_dir):
+    """Momentum, trend and structure at the close of each bar of fifteen minutes, from the last sixty closed bars of four timeframes."""
+    frames = {n: f for n, f in _frames(spark, sf_dir).items() if n in C.TREND}
+    asked = frames["m15"][0].select("symbol", (F.col("ts") + F.make_dt_interval(mins=F.lit(15))).alias("ts"))
+    seen = T.visible(asked, frames, keep=KEEP)
+    own = {n: F.col(n) for n in frames}
+    return seen.select("symbol", "ts", C.momentum(own["m15"]).alias("momentum"), C.trend(own).alias("trend"), C.structure(own["m5"], own["m15"], own["h1"]).alias("structure"))
+
+
 DAYS = 2
 
 ZONED = f"""{_bars_sql('bars', 15)}, {_bars_sql('hours', 60)},
