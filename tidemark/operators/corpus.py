@@ -180,11 +180,24 @@ def content_windows(docs: DataFrame, size: int = 128) -> DataFrame:
 def curriculum(docs: DataFrame, seed: int = 143, least: int = 50) -> DataFrame:
     """doc_id, role: documents of the reasoning stage (primary), and a sample of the others (replay).
 
-    The replay has a quarter of the primary's number, or `least`, taken in the order of a seeded hash.
+    The replay has a quarter of the primary's number, or `least`, taken in the order of a seeded hash. The
+    others are counted in 4096 ranges of it first; only those of the range that the number falls into are
+    ordered one by one.
     """
     rows = docs.select("doc_id", X.category(F.coalesce("text", F.lit(""))).isin("reasoning", "math").alias("primary"))
     number = rows.agg(F.greatest(F.lit(least), F.floor(F.count_if("primary") / 4)).alias("k")).first()["k"]
-    replay = rows.where("NOT primary").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(int(number))
+    others = rows.where("NOT primary").withColumn("hash", F.xxhash64("doc_id", F.lit(seed))).withColumn("range", F.shiftright("hash", 52))
+    last, left = None, int(number)
+    for r in others.groupBy("range").count().orderBy("range").collect():  # 4096 at most
+        if r["count"] >= left:
+            last = r["range"]
+            break
+        left -= r["count"]
+    if last is None:
+        replay = others
+    else:
+        edge = others.where(F.col("range") == last).orderBy("hash", "doc_id").limit(left)
+        replay = others.where(F.col("range") < last).unionByName(edge)
     return rows.where("primary").select("doc_id", F.lit("primary").alias("role")).unionByName(replay.select("doc_id", F.lit("replay").alias("role")))
 
 

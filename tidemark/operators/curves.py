@@ -52,3 +52,17 @@ def curve(rows: DataFrame, keys: list[str], time: str, order: list[str], goal: f
         link = link & F.col(k).eqNullSafe(F.col(f"g_{k}"))
     found = whole.where("n IS NOT NULL").drop("g").join(hit, link, "left").drop(*[f"g_{k}" for k in keys])
     return found.withColumn("trades_to_goal", F.coalesce("trades_to_goal", F.lit(0)))
+
+
+def numbered(rows: DataFrame, keys: list[str], time: str, order: list[str]) -> DataFrame:
+    """rows with place (from 1, by time and order, within the keys) and whole (how many the keys have); sorted by day as in curve()."""
+    on = [*keys, "day"]
+    own = rows.withColumn("day", F.date_trunc("day", time))
+    days = own.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    over = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*[F.col(c).alias(f"d_{c}") for c in on], F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy(*keys)).alias("whole"))
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"d_{c}"))
+    found = own.withColumn("place", F.row_number().over(Window.partitionBy(*on).orderBy(time, *order))).join(days, same)
+    return found.withColumn("place", F.col("place") + F.col("before")).drop("day", "before", *[f"d_{c}" for c in on])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
 from tidemark.operators.bars import series
+from tidemark.operators.curves import curve, numbered
 from tidemark.plans.market import BARS, DEALS, TR, _bars, _deals, _events, _frame, _tr
 from tidemark.plans.registry import Registry
 from tidemark.sources.tables import clock_bars
@@ -196,11 +197,9 @@ def shadow_edge(spark, sf_dir):
 
 
 def _streaks(deals):
-    """symbol, loss_streak: the longest run of losses in order of time and ticket."""
-    lost = F.col("profit") < 0
-    g = F.row_number().over(Window.partitionBy("symbol").orderBy("ts", "ticket")) - F.row_number().over(Window.partitionBy("symbol", lost).orderBy("ts", "ticket"))
-    runs = deals.select("symbol", lost.alias("lost"), g.alias("g")).where("lost").groupBy("symbol", "g").count()
-    return runs.groupBy("symbol").agg(F.max("count").alias("loss_streak"))
+    """symbol, loss_streak: the longest run of losses in order of time and ticket; a profit of zero ends one."""
+    way = F.when(F.col("profit") < 0, -1.0).otherwise(1.0)
+    return curve(deals.select("symbol", "ts", "ticket", way.alias("profit")), ["symbol"], "ts", ["ticket"]).select("symbol", F.col("max_loss_streak").alias("loss_streak"))
 
 
 @query(
@@ -214,8 +213,7 @@ def _streaks(deals):
 def holdout_policy(spark, sf_dir):
     """The last three tenths of each symbol's deals, and the first requirement of the policy that they fail."""
     d = _deals(spark, sf_dir)
-    order = Window.partitionBy("symbol").orderBy("ts", "ticket")
-    h = d.withColumns({"k": F.row_number().over(order), "whole": F.count(F.lit(1)).over(Window.partitionBy("symbol"))}).where("k > floor(whole * 0.7)").drop("k", "whole")
+    h = numbered(d, ["symbol"], "ts", ["ticket"]).where("place > floor(whole * 0.7)").drop("place", "whole")
     gain, loss = F.sum(F.greatest("profit", F.lit(0.0))), F.sum(F.greatest(-F.col("profit"), F.lit(0.0)))
     s = h.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.abs("profit") >= 5).alias("selected"), (F.count_if(F.col("profit") > 0) / F.count(F.lit(1))).alias("win_rate"),
