@@ -62,6 +62,16 @@ def test_every_capacity_holds():
         assert own.sum() <= 100 and len(own) <= 3 and (len(own) == 1 or (own.astype(float) ** 2).sum() <= 6000)
 
 
+def test_packing_beside_columns_of_its_own_names(spark):
+    rows = [(i, 0, 3 + i % 5, "x", "y", 7, i % 3) for i in range(30)] + [(0, 0, 3, None, None, None, None)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, length long, sequence_id string, offset string, shard int, __shard int")
+    got = packing.pack(parts, 10, per_shard=8).toPandas()
+    assert list(got.columns) == ["doc_id", "piece", "length", "shard", "__shard", "sequence_id", "offset"] and len(got) == 31
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert list(s.offset) == list(s.length.cumsum() - s.length) and s.length.sum() <= 10
+    assert packing.pack(parts.where("false"), 10).collect() == []
+
+
 def test_store_round_trip(spark):
     from tokenizers import Tokenizer
 

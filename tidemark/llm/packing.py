@@ -82,25 +82,27 @@ def pack(
 ) -> DataFrame:
     """parts with sequence_id and offset.
 
-    parts: doc_id, piece, length (1 to `length`) and any other columns, which stay. Capacities of a
+    parts: doc_id, piece, length (1 to `length`) and any other columns, which stay but for ones of the new names. Capacities of a
     sequence: `length` tokens, most_documents pieces (none given: as many as tokens, which never
     binds) and most_attention (none given: length squared, which never binds). Items are dealt by a
     hash into shards of about per_shard, so no shard grows with the input or with one key; within a
     shard the longest go first. Equal lengths are ordered by doc_id and piece. Every shard may leave
     one sequence that another could have filled. An empty table gives no rows.
     """
+    parts = parts.drop("sequence_id", "offset")
+    shard = "shard" + "_" * max([0, *map(len, parts.columns)])  # longer than any name that is there
     capacity = (length, most_documents or length, most_attention or float(length) ** 2)
     number = max(1, -(-parts.count() // per_shard))
 
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True])
         bins, offsets = best_fit(rows["length"].to_numpy(), capacity, weights)
-        return rows.drop(columns="__shard").assign(sequence_id=bins * number + key[0], offset=offsets)
+        return rows.drop(columns=shard).assign(sequence_id=bins * number + key[0], offset=offsets)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
     return (
-        parts.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(number)))
-        .groupBy("__shard")
+        parts.withColumn(shard, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(number)))
+        .groupBy(shard)
         .applyInPandas(fill, f"{schema}, sequence_id long, offset long")
     )
 
