@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.operators.corpus import curriculum
+from tidemark.operators.corpus import curriculum, inserted, upserted
 from tidemark.operators.curves import numbered
 
 
@@ -29,3 +29,12 @@ def test_numbers_by_day(spark):
     for key in ("a", "b", None):
         own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))
         assert [got[r[2]] for r in own] == [(n, len(own)) for n in range(1, len(own) + 1)]
+
+
+def test_upserts_and_inserts(spark):
+    shape = "id int, at int, new string, k string, row string"
+    old = spark.createDataFrame([(1, 1, "a", "o", "r"), (2, 5, "b", "o", "r"), (None, 1, "c", "o", "r")], shape)
+    new = spark.createDataFrame([(1, 1, "x", "n", "r"), (2, 4, "y", "n", "r"), (3, 2, "late", "n", "r"), (3, 1, "first", "n", "r"), (None, 0, "z", "n", "r")], shape)
+    assert {(r.id, r.new) for r in upserted(old, new, "id", "at").collect()} == {(1, "x"), (2, "b"), (3, "late"), (None, "c")}
+    assert sorted((str(r.id), r.new, r.k) for r in inserted(old, new, "id", "at").collect()) == [("1", "a", "o"), ("2", "b", "o"), ("3", "first", "n"), ("None", "c", "o"), ("None", "z", "n")]
+    assert upserted(old, new, "id", "at").columns == inserted(old, new, "id", "at").columns == old.columns

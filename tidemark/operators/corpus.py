@@ -203,6 +203,15 @@ def curriculum(docs: DataFrame, seed: int = 143, least: int = 50) -> DataFrame:
 
 def upserted(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """old with the rows of new: of rows with one key the last by `order` stays, new before old on a tie."""
-    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    newest = Window.partitionBy(key).orderBy(F.desc(order), F.desc("__new"))
-    return both.withColumn("__k", F.row_number().over(newest)).where("__k = 1").drop("__k", "__new")
+    whole = lambda df, rank: df.select(F.struct(*[F.col(f"`{c}`") for c in old.columns]).alias("row"), F.lit(rank).alias("new"))
+    newest = Window.partitionBy(F.col("row")[key]).orderBy(F.desc(F.col("row")[order]), F.desc("new"))
+    return whole(old, 0).unionByName(whole(new, 1)).withColumn("k", F.row_number().over(newest)).where("k = 1").select("row.*")
+
+
+def inserted(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """old with the rows of new whose key it has not, of several with one key the first by `order`; rows without a key are inserted each."""
+    whole = new.select(F.struct(*[F.col(f"`{c}`") for c in old.columns]).alias("row"))
+    first = Window.partitionBy(F.col("row")[key]).orderBy(F.col("row")[order])
+    fresh = whole.withColumn("k", F.row_number().over(first)).where(F.col("row")[key].isNull() | (F.col("k") == 1))
+    known = old.select(F.col(f"`{key}`").alias("known")).distinct()
+    return old.unionByName(fresh.join(known, F.col("row")[key] == F.col("known"), "left_anti").select("row.*"))
