@@ -54,34 +54,58 @@ def last_gap(bars: DataFrame, minutes: int = 30) -> DataFrame:
     return wide.groupBy("symbol").agg(F.max_by(F.struct("before", "ts", "close_before", "open", "gap_minutes"), "ts").alias("x")).select("symbol", "x.*")
 
 
-def _ema(x: np.ndarray, n: int) -> np.ndarray:
-    """Exponential mean seeded with the first value."""
-    alpha, out = 2.0 / (n + 1), np.empty(len(x))
-    for i, v in enumerate(x):
-        out[i] = v if i == 0 else out[i - 1] + alpha * (v - out[i - 1])
-    return out
-
-
 def folded(bars: DataFrame, periods: tuple[int, ...] = (12, 20, 26)) -> DataFrame:
-    """symbol, ts, close, ema_n for each period, and the histogram of MACD (12, 26, 9).
+    """symbol, ts, close, ema_n for each period, and the histogram of MACD (12, 26, 9), null for symbols of fewer than 35 bars.
 
-    These recur from the first bar, so each symbol is one pass over its bars in time order; the rows of a
-    symbol meet in one task, which is why bars, not events, come in.
+    All of these recur from the first bar, as sums of what they were and the close. So what a day does to
+    them is one linear map, whatever they began with: days are folded apart, their maps, a few numbers
+    each, are joined along a symbol, and then each day is folded from what it really begins with.
     """
+    wanted = sorted({*periods, 12, 26})
+    paces = np.array([2.0 / (n + 1) for n in wanted])
+    fast, slow, pace = wanted.index(12), wanted.index(26), 2.0 / (9 + 1)
+    size = len(wanted) + 1  # the means, and the signal
+
+    def fold(states: np.ndarray, closes: np.ndarray) -> np.ndarray:
+        """All states after each close; states: a row for each beginning, columns as above."""
+        out = np.empty((len(closes), *states.shape))
+        for i, x in enumerate(closes):
+            states = states.copy()
+            states[:, :-1] += paces * (x - states[:, :-1])
+            states[:, -1] += pace * (states[:, fast] - states[:, slow] - states[:, -1])
+            out[i] = states
+        return out
+
+    def mapped(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ts")
+        closes = rows["close"].to_numpy(float)
+        ends = fold(np.vstack([np.zeros(size), np.eye(size)]), closes)[-1]
+        return pd.DataFrame({"symbol": rows["symbol"].iloc[:1], "day": rows["day"].iloc[:1], "n": [len(rows)], "first": closes[:1], "shift": [ends[0]], "map": [(ends[1:] - ends[0]).ravel()]})
+
+    def joined(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("day")
+        state = np.append(np.full(size - 1, rows["first"].iloc[0]), 0.0)
+        starts = []
+        for shift, turn in zip(rows["shift"], rows["map"], strict=True):
+            starts.append(state)
+            state = shift + state @ np.asarray(turn).reshape(size, size)
+        return pd.DataFrame({"symbol": rows["symbol"], "day": rows["day"], "start": starts, "whole": rows["n"].sum()})
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts")
-        close = rows["close"].to_numpy(float)
+        found = fold(np.asarray(rows["start"].iloc[0])[None, :], rows["close"].to_numpy(float))[:, 0]
         out = rows[["symbol", "ts", "close"]].copy()
         for n in periods:
-            out[f"ema_{n}"] = _ema(close, n)
-        macd = _ema(close, 12) - _ema(close, 26)
-        histogram = macd - _ema(macd, 9)
-        out["macd_histogram"] = histogram if len(close) >= 35 else np.nan
+            out[f"ema_{n}"] = found[:, wanted.index(n)]
+        histogram = found[:, fast] - found[:, slow] - found[:, -1]
+        out["macd_histogram"] = histogram if rows["whole"].iloc[0] >= 35 else np.nan
         return out
 
+    own = bars.select("symbol", "ts", "close", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"))
+    maps = own.groupBy("symbol", "day").applyInPandas(mapped, "symbol string, day timestamp_ntz, n long, first double, shift array<double>, map array<double>")
+    starts = maps.groupBy("symbol").applyInPandas(joined, "symbol string, day timestamp_ntz, start array<double>, whole long")
     shape = "symbol string, ts timestamp_ntz, close double, " + ", ".join(f"ema_{n} double" for n in periods) + ", macd_histogram double"
-    return bars.select("symbol", "ts", "close").groupBy("symbol").applyInPandas(run, shape)
+    return own.join(starts, ["symbol", "day"]).groupBy("symbol", "day").applyInPandas(run, shape)
 
 
 def parabolic_sar(bars: DataFrame, step: float = 0.02, most: float = 0.2) -> DataFrame:

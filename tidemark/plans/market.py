@@ -315,9 +315,16 @@ def ewm_returns(spark, sf_dir):
     return t.select("symbol", "ts", "mean", dev.alias("dev"))
 
 
-@query("bar_folds")
+@query(
+    "bar_folds",
+    f"""WITH RECURSIVE {BARS}, o AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, count(*) OVER (PARTITION BY symbol) AS whole FROM bars),
+        r AS (SELECT symbol, ts, close, k, whole, close AS e12, close AS e20, close AS e26, CAST(0.0 AS DOUBLE) AS s FROM o WHERE k = 1
+              UNION ALL SELECT o.symbol, o.ts, o.close, o.k, o.whole, e12 + (o.close - e12) * 2 / 13, e20 + (o.close - e20) * 2 / 21, e26 + (o.close - e26) * 2 / 27,
+                  s + (e12 + (o.close - e12) * 2 / 13 - e26 - (o.close - e26) * 2 / 27 - s) * 0.2 FROM r JOIN o ON o.symbol = r.symbol AND o.k = r.k + 1)
+    SELECT symbol, ts, round(close, 6) AS close, round(e12, 6) AS ema_12, round(e20, 6) AS ema_20, round(e26, 6) AS ema_26, CASE WHEN whole >= 35 THEN round(e12 - e26 - s, 6) END AS macd_histogram FROM r""",
+)
 def bar_folds(spark, sf_dir):
-    """Exponential means and MACD recur from the first bar: held against a loop in the tests."""
+    """Exponential means and MACD, which recur from the first bar."""
     return B.folded(_bars(spark, sf_dir))
 
 
@@ -326,7 +333,16 @@ def parabolic_sar(spark, sf_dir):
     return B.parabolic_sar(_bars(spark, sf_dir))
 
 
-@query("volume_profile")
+@query(
+    "volume_profile",
+    """WITH RECURSIVE p AS (SELECT event_type AS symbol, (value + (value + 0.02)) / 2 AS price FROM events), w AS (SELECT symbol, min(price) AS low, greatest((max(price) - min(price)) / 100, 1e-9) AS width FROM p GROUP BY symbol),
+        n AS (SELECT symbol, low, width, CAST(least(floor((price - low) / width), 99) AS INT) AS bin, count(*) AS v FROM p JOIN w USING (symbol) GROUP BY ALL),
+        l AS (SELECT symbol, low, width, map(list(bin), list(v)) AS m FROM n GROUP BY symbol, low, width), v AS (SELECT symbol, low, width, list_transform(range(100), lambda i: coalesce(m[CAST(i AS INT)], 0)) AS v FROM l),
+        r AS (SELECT symbol, low, width, v, list_position(v, list_max(v)) - 1 AS poc, list_position(v, list_max(v)) - 1 AS a, list_position(v, list_max(v)) - 1 AS b FROM v
+              UNION ALL SELECT symbol, low, width, v, poc, CASE WHEN up >= down THEN a ELSE a - 1 END, CASE WHEN up >= down THEN b + 1 ELSE b END
+              FROM (SELECT *, CASE WHEN b + 1 < 100 THEN v[b + 2] ELSE -1 END AS up, CASE WHEN a > 0 THEN v[a] ELSE -1 END AS down FROM r WHERE list_sum(v[a + 1 : b + 1]) < CAST(0.7 AS DOUBLE) * list_sum(v)))
+    SELECT symbol, round(low + (poc + 0.5) * width, 6) AS poc, round(low + (b + 0.5) * width, 6) AS vah, round(low + (a + 0.5) * width, 6) AS val FROM r QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY b - a DESC) = 1""",
+)
 def volume_profile(spark, sf_dir):
     return B.volume_profile(ticks(_events(spark, sf_dir)))
 

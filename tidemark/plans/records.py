@@ -223,6 +223,8 @@ def stage_gate(spark, sf_dir):
 
 _STRICT = QUALITY
 for _old, _new in (("< 0.80", "< 0.95"), ("< 0.12", "< 0.30"), (">= 0.5 THEN", ">= 0.32 THEN"), ("< 0.06", "< 0.10"), ("> 0.30 THEN", "> 0.08 THEN"), ("< 25", "< 40"), ("> 100000", "> 20000"), ("raw >= 0.55", "raw >= 0.70 - 1e-9")):
+    if _old not in _STRICT:
+        raise ValueError(f"the SQL of the quality rules has no {_old!r}")
     _STRICT = _STRICT.replace(_old, _new)
 _HITS = ", ".join(f"len(regexp_extract_all(c, '{p}')) AS {n}" for n, p in (("link", X.LINK), ("mail", X.MAIL), ("code", X.CODE), ("notation", X.NOTATION), ("stops", "[.!?]")))
 
