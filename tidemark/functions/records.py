@@ -45,6 +45,7 @@ def clean_instruction(text: Column) -> Column:
 def split_legacy(text: Column) -> Column:
     """(user, assistant) of one string in which a line that begins with "Assistant:" starts the answer; no such line: no answer."""
     text = trimmed(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"))
+    # The patterns of who speaks, here and in from_transcript.
     text = F.regexp_replace(text, r"(?i)^\s*(?:Human|User)\s*:\s*", "")
     parts = F.split(text, r"(?i)(?:^|\n)\s*Assistant\s*:\s*", 2)
     answer = lambda p: F.when(F.size(p) > 1, X.normalized(F.get(p, F.lit(1)), True)).otherwise("")

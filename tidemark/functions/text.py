@@ -30,6 +30,7 @@ CLASS_WORDS = (
     ("instruction", ("human:", "assistant:", "user:", "instruction:")),
 )
 
+#: Fixed value: the marks as they are looked for in any case.
 ANY_MARK = r"(?i)</?(?:bos|eos|sep|user|assistant|think|market|account|position|evidence|hypothesis|countercase|tool|tool_result|decision|confidence|invalidation)>"
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
@@ -215,6 +216,7 @@ def _faults(content: Column, words: Column, lines: Column, lower: Column, limits
     letters = F.length(F.regexp_replace(content, r"[^\p{L}\p{N}]+", ""))
     count, different = F.size(words), F.size(F.array_distinct(words))
     printable, alnum, repeated, diverse, tags = limits
+    # Names and costs of the faults, least counts, the patterns of boilerplate.
     often = (count >= 40) & (different - 1 <= (1 - repeated) * count)
     repeats = (F.size(lines) >= 12) & (F.size(lines) - F.size(F.array_distinct(lines)) >= 7)
     faults = [
@@ -247,6 +249,7 @@ def foundation_quality(text: Column, pass_score: float = 0.70) -> Column:
         hits = lambda pattern: F.regexp_count(content, F.lit(pattern))
         many = lambda n, share: (n >= 3) | (n / count > share)
         letters, links = length(r"[^\p{L}]+"), hits(LINK) + hits(MAIL)
+        # Names, bounds and costs of the faults.
         faults = [
             ((letters > 0) & (length("[^A-Za-z]+") / F.greatest(letters, F.lit(1)) < 0.90), "non_english_script_density", 0.45),
             (many(links, 0.025), "link_or_identifier_heavy", 0.45),
