@@ -37,6 +37,7 @@ def matches(policy: Policy) -> Column:
 
 def gate(enabled: bool, policy: Policy | None, allowed: bool = True, reason: str = "shadow_policy_not_allowed", invert: bool = False) -> Column:
     """What the policy in force says of a row: the first reason against it, or shadow_policy_ok."""
+    # The reasons.
     if not enabled:
         return F.lit("shadow_policy_disabled")
     if policy is None:
