@@ -122,6 +122,25 @@ def test_codec(spark):
     assert own.fingerprint() != T.Codec(own.path, own.marks[:-1]).fingerprint() and len(own.fingerprint()) == 16
 
 
+def test_ids_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    own = codec()
+    library = Tokenizer.from_file(own.path)
+    library.encode_special_tokens = True
+    rng = random.Random(7)
+    bits = [" ", "  ", "\n", "\t", "a", "bc", "é", "\xa0", "\u3000", "'s", "1", ".", "Z ", "\x1c", "\x85", "日", "<|endoftext|>", "\r\n", "İ", "word", " '", " 's"]
+    texts = ["", " ", "\n"] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    for t, ids in zip(texts, own.encode_all(texts)):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+        assert own.decode_all([ids]) == [t]
+    wordy = T.Codec(own.path.replace("byte_bpe_50k", "word_bpe_49k"))  # not byte-level: nothing is cut
+    other = Tokenizer.from_file(wordy.path)
+    for t, ids in zip(texts[:300], wordy.encode_all(texts[:300])):
+        other.encode_special_tokens = True
+        assert ids.tolist() == other.encode(t, add_special_tokens=False).ids
+
+
 def test_windows_and_stream_chunks(spark):
     rng = random.Random(3)
     docs = [(i * 7, [rng.randint(0, 50) for _ in range(rng.choice([0, 1, 5, 30, 200]))]) for i in range(40)]

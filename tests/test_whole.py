@@ -1,4 +1,4 @@
-"""The queries over every row whose SQL twins take a part of the ids, against loops."""
+"""Queries over every row of their tables against loops, also where SQL is their twin."""
 
 import pandas as pd
 import pytest

@@ -7,6 +7,7 @@ what needs a look at the ids themselves, in Arrow batches: encoding, decoding, c
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -25,18 +26,59 @@ PAD = "<pad>"
 #: Characters of text that are encoded together.
 MOST = 1 << 19
 
-_LOADED: dict[str, object] = {}
+#: Pieces of text that a worker keeps with their ids, some 30 MB; a full cache is emptied.
+KEPT = 200_000
 
+#: Where a byte-level tokenizer always cuts: before a single blank between two characters that are no white space.
+CUT = re.compile(r"(?<=\S)(?= \S)")
 
-def _library(path: str):
-    """The worker's tokenizer of a file; workers outlive tasks."""
-    if path not in _LOADED:
+
+class _Library:
+    """A worker's tokenizer of a file. If it is byte-level, texts are cut where it cuts too, and each piece is encoded once."""
+
+    def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True  # its own special strings are ordinary text
-        _LOADED[path] = made
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # its own special strings are ordinary text
+        self.size = self.tokenizer.get_vocab_size()
+        told = json.loads(self.tokenizer.to_str())
+        before = told.get("pre_tokenizer") or {}
+        self.known: dict[str, bytes] = {}
+        self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not told.get("normalizer")
+        self.raw: list[bytes] | None = None
+        if self.cuts and (told.get("decoder") or {}).get("type") == "ByteLevel":
+            # how byte-level vocabularies show bytes: printable Latin-1 as itself, the others from U+0100 on
+            shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+            byte = {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(x for x in range(0x100) if x not in shown)}
+            tokens = [self.tokenizer.id_to_token(i) for i in range(self.size)]
+            self.raw = [bytes(map(byte.__getitem__, t)) if all(c in byte for c in t) else t.encode() for t in tokens]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.cuts:
+            return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        if len(self.known) > KEPT:
+            self.known.clear()
+        parts = [CUT.split(t) for t in texts]
+        fresh = list({x for p in parts for x in p} - self.known.keys())
+        for x, found in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
+            self.known[x] = np.array(found.ids, np.int32).tobytes()
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, p)), np.int32) for p in parts]
+
+    def decode(self, ids: list[int]) -> str:
+        if self.raw is not None:
+            return b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")
+        return self.tokenizer.decode(ids, skip_special_tokens=False)
+
+
+_LOADED: dict[str, _Library] = {}
+
+
+def _library(path: str) -> _Library:
+    """The worker's tokenizer of a file; workers outlive tasks."""
+    if path not in _LOADED:
+        _LOADED[path] = _Library(path)
     return _LOADED[path]
 
 
@@ -49,7 +91,7 @@ class Codec:
 
     @property
     def base(self) -> int:
-        return _library(self.path).get_vocab_size()
+        return _library(self.path).size
 
     @property
     def size(self) -> int:
@@ -77,8 +119,7 @@ class Codec:
         known = {m: np.array([self.base + i], np.int32) for i, m in enumerate(self.marks)}
         parts = [[x for x in cut.split(t) if x] for t in texts]
         fresh = list({x for p in parts for x in p} - known.keys())
-        for x, found in zip(fresh, _library(self.path).encode_batch(fresh, add_special_tokens=False), strict=True):
-            known[x] = np.array(found.ids, np.int32)
+        known.update(zip(fresh, _library(self.path).encode(fresh), strict=True))
         return [np.concatenate([known[x] for x in p]) if p else np.empty(0, np.int32) for p in parts]
 
     def decode_all(self, rows: list[np.ndarray], marks: bool = True) -> list[str]:
@@ -93,7 +134,7 @@ class Codec:
             at = np.flatnonzero(ids >= base).tolist()
             text, start = [], 0
             for i in [*at, len(ids)]:
-                text.append(library.decode(ids[start:i].tolist(), skip_special_tokens=False) if i > start else "")
+                text.append(library.decode(ids[start:i].tolist()) if i > start else "")
                 if i < len(ids) and marks:
                     text.append(self.marks[int(ids[i]) - base])
                 start = i + 1
