@@ -15,7 +15,7 @@ from tidemark.operators import corpus as C
 from tidemark.operators import sequences as S
 from tidemark.plans.registry import Registry
 from tidemark.sources import shards
-from tidemark.sources.scratch import fresh_path
+from tidemark.sources.scratch import fresh_path, kept
 from tidemark.sources.tables import table
 
 query = Registry()
@@ -37,9 +37,9 @@ BODY = "regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(1
 
 @query("token_round_trip", "SELECT doc_id, sha256(coalesce(text, '')) AS sha, true AS some FROM documents WHERE text <> '' UNION ALL SELECT doc_id, sha256(''), false FROM documents WHERE coalesce(text, '') = ''")
 def token_round_trip(spark, sf_dir):
-    """Every text to ids and back."""
+    """Every text to ids, a written table, and back."""
     own = codec()
-    ids = _texts(spark, sf_dir).select("doc_id", own.encode(F.col("text")).alias("ids"))
+    ids = kept(_texts(spark, sf_dir).select("doc_id", own.encode(F.col("text")).alias("ids")), "ids")
     return ids.select("doc_id", F.sha2(own.decode(F.col("ids")), 256).alias("sha"), (F.size("ids") > 0).alias("some"))
 
 
