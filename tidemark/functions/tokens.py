@@ -26,8 +26,8 @@ PAD = "<pad>"
 #: Characters of text that are encoded together.
 MOST = 1 << 19
 
-#: Pieces of text that a worker keeps with their ids, some 30 MB; a full cache is emptied.
-KEPT = 200_000
+#: Pieces of text that a worker keeps with their ids, some 80 MB; a full cache is emptied.
+KEPT = 400_000
 
 #: Where a byte-level tokenizer always cuts: before a single blank between two characters that are no white space.
 CUT = re.compile(r"(?<=\S)(?= \S)")

@@ -112,7 +112,7 @@ def example_sequences(docs: DataFrame, codec: Codec, size: int, run: int = 64) -
     answers = F.array_contains("ids", opens)
     # of a chat something is predicted if anything but another such mark follows an opening mark
     followed = F.exists(F.transform("ids", lambda x, i: (x == opens) & (i > 0) & (i + 1 < F.size("ids")) & (F.get("ids", i + 1) != opens)), lambda x: x)
-    held = kept(docs.select("doc_id", "ids").where("doc_id IS NOT NULL AND size(ids) >= 2"), "ids")
+    held = kept(docs.select("doc_id", "ids").where("doc_id IS NOT NULL"), "ids").where("size(ids) >= 2")  # ids are made once
     placed = bins_in_order(held.select("doc_id", F.size("ids").cast("long").alias("n")), size + 1, run).join(held, "doc_id")
     own = F.sort_array(F.collect_list(F.struct("doc_id", "n", "ids")))
     short = placed.where(F.col("n") <= size + 1).withColumn("told", ~answers | followed).groupBy("run", "bin").agg(own.alias("m"), F.bool_or("told").alias("told")).where("told")
