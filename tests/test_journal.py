@@ -3,9 +3,11 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.outcomes import settle
 from tidemark.operators import journal
 from tidemark.streaming.journal import ROCKS, journal_stream
 
@@ -56,6 +58,54 @@ def test_batch_is_the_loop(spark):
     assert journal.followed(none, spark.createDataFrame(quotes, QUOTES), 120).collect() == []
 
 
+def test_no_row_for_a_pair_of_decision_and_quote(spark):
+    # 2,000 decisions and 2,000 quotes within one horizon: rows that leave a join would be two million
+    quotes = spark.range(2000).select(F.lit("a").alias("symbol"), (F.lit(T0) + F.make_dt_interval(secs=F.col("id") / 10)).cast("timestamp_ntz").alias("ts"), F.col("id").alias("ord"), F.lit(1.0).alias("bid"), F.lit(1.0).alias("ask"))
+    asked = quotes.select(F.col("ts").alias("decided"), "symbol", F.lit(1).alias("side"), "bid", "ask", F.lit(5.0).alias("target"), F.lit(5.0).alias("limit"), F.lit(1.0).alias("worth"))
+    found = journal.followed(asked, quotes, 3600)
+    assert found.count() == 2000 and found.where("status <> 'pending'").isEmpty()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_settle_is_the_loop(seed):
+    rng = np.random.default_rng(seed)
+    n, m = int(rng.integers(0, 70)), 200
+    times, prices = np.sort(rng.integers(0, 60, n)), rng.choice([1.0, 2.0, 3.0, 4.5, np.nan, np.inf, -np.inf], n, p=[0.3, 0.3, 0.2, 0.14, 0.02, 0.02, 0.02])
+    decided, side, entry, worth = rng.integers(-5, 65, m), rng.choice([1, -1], m), rng.choice([1.0, 2.0, 3.0], m), rng.choice([1.0, 2.0, -1.0], m)
+    target, limit = (rng.choice([0.0, 1.0, 3.0, 50.0, np.nan], m) for _ in range(2))
+    hit, won, favorable, adverse = settle(times, prices, decided, 20, side, entry, worth, target, limit)
+    for k in range(m):
+        most = least = 0.0
+        place, win = -1, False
+        for i in np.flatnonzero((times > decided[k]) & (times <= decided[k] + 20)):
+            gain = side[k] * (prices[i] - entry[k]) * worth[k]
+            odd = np.isnan(gain)
+            most, least = np.maximum(most, gain), np.maximum(least, -gain)
+            win = bool(target[k] > 0 and (odd or gain >= target[k]))
+            if win or (limit[k] > 0 and (odd or -gain >= limit[k])):
+                place = i
+                break
+        assert (hit[k], won[k]) == (place, win and place >= 0)
+        np.testing.assert_equal((favorable[k], adverse[k]), (most, least))
+
+
+def test_absent_values_and_strange_prices(spark):
+    row = lambda i, **k: {"decided": T0, "symbol": "a", "side": 1, "bid": 10.0 + i, "ask": 10.0 + i, "target": 2.0, "limit": 2.0, "worth": 1.0} | k
+    rows = [row(0), row(1, symbol=None), row(2, side=None), row(3, ask=None), row(4, bid=None), row(5, target=None, limit=None), row(6, decided=None), row(7, worth=None), row(8, side=-1)]
+    quotes = [("a", T0 + dt.timedelta(seconds=s), s, p, p) for s, p in ((1, None), (2, 11.0), (3, 13.0))] + [(None, T0, 0, 1.0, 1.0), ("a", None, 1, 90.0, 90.0)]
+    names = [c.split()[0] for c in DECISIONS.split(", ")]
+    asked = spark.createDataFrame([tuple(r[c] for c in names) for r in rows], DECISIONS)
+    got = journal.followed(asked, spark.createDataFrame(quotes, QUOTES), 60).collect()
+    kind = {(r.decided is None, r.symbol, r.side, r.bid, r.ask): (r.status, r.most_favorable, r.most_adverse, r.seconds) for r in got}
+    assert len(got) == len(rows)
+    assert kind[False, "a", 1, 10.0, 10.0] == ("win", 3.0, 0.0, 3) and kind[False, "a", 1, None, 14.0] == ("loss", 0.0, 3.0, 2)
+    assert kind[False, "a", 1, 15.0, 15.0] == ("pending", 0.0, 4.0, None) and kind[False, "a", -1, 18.0, 18.0] == ("win", 7.0, 0.0, 2)
+    blank = [v for k, v in kind.items() if k[0] or k[1] is None or k[2] is None or k[4] is None or k[3] == 17.0]
+    assert blank == [("pending", 0.0, 0.0, None)] * 5
+
+
 @pytest.fixture
 def rocks(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
