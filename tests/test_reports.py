@@ -12,6 +12,7 @@ from tidemark.operators import exam as E
 from tidemark.operators import monitor
 from tidemark.operators.curves import curve
 from tidemark.operators.features import rolling_z
+from tidemark.plans.reports import monitor_report
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -142,3 +143,8 @@ def test_collapse(spark):
     rows += [("fine", f"answer {i}") for i in range(9)] + [("fine", "")] + [("none", None), ("none", "")]
     got = {r.k: (r.answers, round(r.diversity, 3), r.most_same, r.most_alike, r.collapsed) for r in E.collapse(spark.createDataFrame(rows, "k string, answer string"), "k").collect()}
     assert got == {"same": (11, 54.545, 6, 6, True), "alike": (15, 100.0, 1, 8, True), "fine": (10, 100.0, 1, 1, False), "none": (2, 0.0, 2, 2, True)}
+
+
+def test_report_reads_the_journal_once_written(spark, data):
+    read = monitor_report(spark, data).inputFiles()
+    assert read and not [f for f in read if f.endswith("events.parquet")]

@@ -16,6 +16,7 @@ from tidemark.operators.features import rolling_z
 from tidemark.plans.market import DEALS
 from tidemark.plans.registry import Registry
 from tidemark.plans.state import FOLLOWED, HORIZON, _decisions
+from tidemark.sources.scratch import kept
 from tidemark.sources.tables import deals, table, ticks
 
 query = Registry()
@@ -65,7 +66,7 @@ def monitor_report(spark, sf_dir):
     """The report on shadow_journal's decisions, its document as rows of section, bucket and measure."""
     given = table(spark, sf_dir, "events")
     found = journal.followed(_decisions(spark, sf_dir), ticks(given), HORIZON)
-    doc = monitor.report(found)
+    doc = monitor.report(kept(found, "journal"))  # read for each part of the report
     measures = [m.strip() for m in _MEASURES.split(",")]
     listed = lambda s, names: F.array(*[F.struct(F.lit(n).alias("measure"), s[n].cast("double").alias("value")) for n in names])
     part = lambda section, bucket, values: F.struct(F.lit(section).alias("section"), bucket.alias("bucket"), values.alias("values"))
