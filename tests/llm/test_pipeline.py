@@ -111,6 +111,40 @@ def test_near_copies_are_found_and_others_left(spark):
     assert len(close) > 100 and len(edge) > 60 and sum(close) >= 0.97 * len(close) and sum(edge) >= 0.9 * len(edge), (len(close), sum(close), len(edge), sum(edge))
 
 
+def edge_pairs(seed, sizes, many):
+    """Pairs of texts whose similarity is at or little over 0.8: words changed, one end cut off, or both ends different."""
+    rng = random.Random(seed)
+    while many:
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice(sizes))]
+        kind, copy = rng.randrange(3), list(base)
+        if kind == 0:
+            for _ in range(max(1, len(base) * 22 // 1000)):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+        elif kind == 1:
+            copy = copy[: len(base) - int((len(base) - 4) * 0.2)]
+        else:
+            copy = [f"new{rng.randrange(10**6)}" for _ in range(len(base) // 9)] + copy[len(base) // 9 :]
+        a, b = shingles(" ".join(base)), shingles(" ".join(copy))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.825 and a != b:
+            many -= 1
+            yield " ".join(base), " ".join(copy)
+
+
+def test_no_pair_at_the_threshold_is_missed(spark):
+    texts = [t for pair in edge_pairs(8, [9, 14, 40, 70, 100, 300, 900], 300) for t in pair]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table(spark, texts)).collect()}
+    # a short text may be like a third one, so classes are those of all pairs
+    sets = [shingles(t) for t in texts]
+    roots = classes(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+    assert got == dict(enumerate(roots))
+
+
+def test_similar_texts_share_a_signature():
+    for a, b in edge_pairs(9, [6, 9, 14, 24, 68, 69, 90, 150, 400, 2000], 400):
+        x, y = (simhash.signatures(t.encode(), 0.8) for t in (a, b))
+        assert len(np.intersect1d(x, y))
+
+
 def test_hot_shards_of_wide_fingerprints(spark):
     """Blocks of large shards, met in pairs, lose no pair."""
     rng = random.Random(6)

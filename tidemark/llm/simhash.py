@@ -335,6 +335,86 @@ def bands(number: int, similarity: float, missed: float = 0.02, seed: int = 42)
     return np.array([rng.choice(BITS * WIDE, width, replace=False) for _ in range(count)])
 
 
+#: Shingles of a text up to which a signature is a single one of them.
+SINGLE = 64
+
+
+def signatures(text: bytes | None, similarity: float, shingle: int = 5, seed: int = 42) -> np.ndarray | None:
+    """Numbers (uint64) of which two texts whose sets of shingles have this Jaccard similarity (0.75 or more) share one.
+
+    A text has signatures in its class of sizes, of which each ends at 1 / similarity times the end before, and
+    in the next, as all texts that a larger one may be similar to lie in its own class or the one before. In a
+    class, shingles are dealt by their hash to about half as many parts as the class has shingles at most. Of a
+    text of s shingles at most d = s * (1 - similarity) / similarity are added or taken away in a similar one, so
+    of any d + 1 parts with shingles one is the same in both, and the first d + 1 are signatures; the text of
+    which these end earlier has the shared one among them. In small classes each shingle is a part, and the first
+    s * (1 - similarity) + 1 do. None: the text has shingles in too few parts under this seed.
+    """
+    items = shingle_set(text, shingle)
+    size = len(items)
+    if not size:
+        return np.zeros(0, np.uint64)
+    hashes = np.frombuffer(b"".join([xxhash.xxh3_64_digest(s, seed) for s in items]), np.uint64)
+    own, out = math.ceil(math.log(size) / -math.log(similarity) - 1e-9), []
+    for level in (own, own + 1):
+        end = similarity**-level
+        single = end <= SINGLE
+        need = 1 + math.floor(size * (1 - similarity) / (1 if single else similarity) + 1e-9)
+        part = hashes if single else (hashes >> np.uint64(8)) % np.uint64(end / 2)
+        order = np.argsort(part)
+        part, mine = part[order], hashes[order]
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        if len(starts) < need:
+            return None
+        sums = np.add.reduceat(mine, starts)[:need]
+        out.append(sums * np.uint64(0x9E3779B97F4A7C15) + part[starts[:need]] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(level))
+    return np.concatenate(out)
+
+
+def _signed_documents(rows: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
+    """doc_id, sig of every signature; another seed is taken where a text has none under one."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                texts = batch.column("text").cast(pa.large_binary() if pa.types.is_large_string(batch.column("text").type) else pa.binary())
+                found = [signatures(t.as_py(), similarity, shingle, use) for t in texts]
+                many = np.array([1 if f is None else len(f) for f in found])
+                sigs = np.concatenate([np.zeros(1, np.uint64) if f is None else f for f in found]).view(np.int64)
+                none = np.repeat(np.array([f is None for f in found]), many)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.repeat(np.arange(batch.num_rows), many))), pa.array(sigs, mask=none)], names=["doc_id", "sig"])
+
+    for use in range(seed, seed + 20):
+        signed = written(rows.mapInArrow(sign, "doc_id long, sig long"), "signatures", "zstd")
+        if signed.where("sig IS NULL").isEmpty():
+            return signed
+        remove(rows.sparkSession, signed)
+    raise ValueError("a text has too few parts with shingles under 20 seeds")
+
+
+def missed_links(rows: DataFrame, known: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
+    """u, v (component_ids): links of this similarity between documents that `known` (doc_id, same, component_id) has apart; none is missed.
+
+    rows: doc_id, text. Documents that share a signature and not a component are compared; of copies (equal in `same`) one is.
+    """
+    spark = rows.sparkSession
+    signed = _signed_documents(rows, similarity, shingle, seed)
+    shared = signed.groupBy("sig").count().where("count > 1").drop("count")
+    met = written(signed.join(shared, "sig", "left_semi").join(known, "doc_id"), "met", "zstd")
+    remove(spark, signed)
+    mixed = met.groupBy("sig").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a < b").select("sig")
+    few = met.join(mixed, "sig", "left_semi").groupBy("sig", "same", "component_id").agg(F.min("doc_id").alias("doc_id"))
+    few = written(few.select("sig", "doc_id", F.col("component_id").alias("c")), "mixed", "zstd")
+    pairs = few.alias("a").join(few.alias("b"), F.col("a.sig") == F.col("b.sig")).where("a.c < b.c")
+    pairs = written(pairs.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct(), "missed")
+    checked = verified(pairs, rows, similarity, shingle)
+    name = lambda c: known.select(F.col("doc_id").alias(c), F.col("component_id").alias(f"c{c}"))
+    links = written(checked.join(name("u"), "u").join(name("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "missed-links")
+    remove(spark, met, few, pairs, checked)
+    return links
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42, most: int = 2048, per_task: int = 40_000) -> DataFrame:
     """doc_id, component_id of every document that has a doc_id: groups of texts alike in their word shingles.
 
@@ -342,20 +422,23 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     whose wide fingerprints, an estimate of it, lie within wide_radius(similarity) and agree on one band at
     least: in shards, one for each value of each band, BK-trees are searched. In a task the links that join
     its documents, the nearest first, are candidates, and each is checked on the sets themselves; so a
-    group of n copies costs about n checks and not n * n. A link is lost where all pairs that are as near
-    or nearer and would join its ends fail the check. Equal fingerprints meet before, unchecked. Null and
-    blank texts are alike. An empty table gives no rows. Columns but doc_id and text are not read.
+    group of n copies costs about n checks and not n * n. What that leaves apart is linked by missed_links(),
+    so no link is lost. Equal fingerprints meet before, unchecked. Null and blank texts are alike. An
+    empty table gives no rows. Columns but doc_id and text are not read. similarity: 0.75 or more.
     """
+    if similarity < 0.75:
+        raise ValueError("below 0.75 signatures do not find all links")
     spark, radius = docs.sparkSession, wide_radius(similarity)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary() if pa.types.is_large_string(batch.column("text").type) else pa.binary())
             found = pa.array((wide_fingerprint(t.as_py(), shingle, seed) for t in texts), pa.binary(), size=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], names=["doc_id", "fp"])
+            same = pa.array((xxhash.xxh3_128_digest(b" ".join((t.as_py() or b"").lower().split())) for t in texts), pa.binary(), size=len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found, same], names=["doc_id", "fp", "same"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    prints = written(rows.mapInArrow(sketch, "doc_id long, fp binary"), "wide-fingerprints")
+    prints = written(rows.mapInArrow(sketch, "doc_id long, fp binary, same binary"), "wide-fingerprints")
     points = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "wide-points")
     chosen = bands(points.count(), similarity, seed=seed)
 
@@ -391,8 +474,13 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     checked = verified(links, rows, similarity, shingle)
     roots = connected_components(checked)
     named = points.join(roots, points["first"] == roots["node"], "left").select("fp", F.coalesce("root", "first").alias("component_id"))
-    found = written(prints.join(named, "fp").select("doc_id", "component_id"), "similar-documents")
+    known = written(prints.join(named, "fp").select("doc_id", "same", "component_id"), "known-components")
     remove(spark, prints, points, banded, links, checked, roots)
+    missed = missed_links(rows, known, similarity, shingle, seed)
+    roots = connected_components(missed)
+    found = known.join(roots, known["component_id"] == roots["node"], "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+    found = written(found, "similar-documents")
+    remove(spark, known, missed, roots)
     return found
 
 
