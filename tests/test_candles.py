@@ -2,8 +2,10 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
+from tidemark import queries as core
 from tidemark.functions import candles as C
 from tidemark.functions import decisions as D
 
@@ -71,3 +73,13 @@ def test_decisions_without_judgements(spark):
     assert (d.sure.action, d.sure.score, d.sure.support) == ("BUY", 1.0, 7) and abs(d.sure.threshold - 0.58) < 1e-12 and d.short.action == "SELL"
     assert d.low.blocked and d.down.blocked and {d.low.action, d.down.action, d.idle.action, d.none.action} == {"WAIT"} and not d.idle.blocked
     assert tuple(d.flow) == (0.0, False, False)
+
+
+def test_half_way_scores_are_rounded_as_the_sql_does(spark, tmp_path):
+    rows = [(2734, 680, 'click', 15.88), (23246, 1134, 'error', 34.15), (31216, 1280, 'signup', 7.73)]  # their scores are halves of the fifth digit but for the last bits
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = {r[0]: r[2] for r in con.execute(core.ORACLE["decision_fusion"]).fetchall()}
+    assert {r.event_id: r.score for r in core.QUERIES["decision_fusion"](spark, str(tmp_path)).collect()} == want

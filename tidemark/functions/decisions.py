@@ -79,8 +79,8 @@ def fused(
 
     def weighed(p: Column) -> Column:
         up, down = F.size(F.filter(p["signals"], lambda v: v >= 0.25)), F.size(F.filter(p["signals"], lambda v: v <= -0.25))
-        balance = (up - down) / F.greatest(up + down, F.lit(1))
-        agree = clamp(0.60 * add(p["signals"], lambda v: clamp(v)) / len(values) + 0.40 * balance)
+        balance = (up - down) * 4 / 10.0 / F.greatest(up + down, F.lit(1))  # four tenths of it, rounded once
+        agree = clamp(0.60 * add(p["signals"], lambda v: clamp(v)) / len(values) + balance)
         mean = add(p["listed"], lambda x: x["v"] * x["w"]) / add(p["listed"], lambda x: x["w"])
         return F.struct(up.alias("support"), down.alias("conflict"), agree.alias("confluence"), mean.alias("mean"))
 

@@ -85,4 +85,5 @@ def decision_fusion(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumns({"side": side, "flow": flow["alignment"]})
     made = D.fused(F.col("side"), F.col("value") > 30, F.col("event_type"), absent(5, share(23)), absent(3, _step(29)), absent(4, F.col("flow")), _step(31), _step(37), absent(6, _step(41)), share(43), share(47), share(53))
     found = rows.select("event_id", made.alias("d")).select("event_id", "d.*")
-    return found.withColumns({"support": F.col("support").cast("long"), "conflict": F.col("conflict").cast("long")})
+    exact = {c: F.round(c, 12) for c in ("score", "confidence", "confluence")}  # a half of the last digit told is one in spite of the last bits
+    return found.withColumns({**exact, "support": F.col("support").cast("long"), "conflict": F.col("conflict").cast("long")})
