@@ -145,6 +145,27 @@ def test_similar_texts_share_a_signature():
         assert len(np.intersect1d(x, y))
 
 
+def test_sketches_and_ranks_lose_no_similar_pair():
+    ranks = np.random.default_rng(3).integers(0, 40, 1 << simhash.RARITY_BITS).astype(np.uint8)
+    for a, b in edge_pairs(10, [6, 14, 68, 150, 2000], 200):
+        x, y = (simhash.shingle_hashes(t.encode(), 5, 42) for t in (a, b))
+        odd = [np.unpackbits(np.frombuffer(simhash.parity_sketch(h), np.uint8)) for h in (x, y)]
+        assert (odd[0] != odd[1]).sum() <= len(np.setxor1d(x, y)) <= 0.2 / 1.8 * (len(x) + len(y)) + 1e-6
+        assert len(np.intersect1d(*(simhash.signatures(t.encode(), 0.8, rarity=ranks) for t in (a, b))))
+
+
+def test_texts_that_share_a_passage_are_not_all_compared(spark, monkeypatch):
+    """120 different texts with one long passage in common are no 7,140 checks of texts."""
+    rng, checks, whole = random.Random(12), [], simhash.verified
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(120)]
+    texts.append(texts[7] + " end")
+    monkeypatch.setattr(simhash, "verified", lambda links, *a: checks.append(links.count()) or whole(links, *a))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table(spark, texts)).collect()}
+    assert got == {i: i for i in range(120)} | {120: 7}
+    assert sum(checks) < 500
+
+
 def test_hot_shards_of_wide_fingerprints(spark):
     """Blocks of large shards, met in pairs, lose no pair."""
     rng = random.Random(6)

@@ -311,7 +311,7 @@ def verified(links: DataFrame, docs: DataFrame, similarity: float, shingle: int)
         for batch in batches:
             v = batch.column("v").to_numpy()
             good = np.zeros(batch.num_rows, bool)
-            texts = [c.cast(pa.large_binary() if pa.types.is_large_string(c.type) else pa.binary()) for c in (batch.column("u_text"), batch.column("v_text"))]
+            texts = [_binary(batch.column(c)) for c in ("u_text", "v_text")]
             for k in range(batch.num_rows):
                 if held[0] != v[k]:  # links come by v, as they were joined
                     held = (int(v[k]), shingle_set(texts[1][k].as_py(), shingle))
@@ -335,71 +335,106 @@ def bands(number: int, similarity: float, missed: float = 0.02, seed: int = 42)
     return np.array([rng.choice(BITS * WIDE, width, replace=False) for _ in range(count)])
 
 
-#: Shingles of a text up to which a signature is a single one of them.
-SINGLE = 64
+#: Buckets of shingles, by the top bits of their hash, in which they are counted for the order by rarity: a table of fixed size.
+RARITY_BITS = 16
 
 
-def signatures(text: bytes | None, similarity: float, shingle: int = 5, seed: int = 42) -> np.ndarray | None:
-    """Numbers (uint64) of which two texts whose sets of shingles have this Jaccard similarity (0.75 or more) share one.
+def _binary(texts: pa.Array) -> pa.Array:
+    return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
 
-    A text has signatures in its class of sizes, of which each ends at 1 / similarity times the end before, and
-    in the next, as all texts that a larger one may be similar to lie in its own class or the one before. In a
-    class, shingles are dealt by their hash to about half as many parts as the class has shingles at most. Of a
-    text of s shingles at most d = s * (1 - similarity) / similarity are added or taken away in a similar one, so
-    of any d + 1 parts with shingles one is the same in both, and the first d + 1 are signatures; the text of
-    which these end earlier has the shared one among them. In small classes each shingle is a part, and the first
-    s * (1 - similarity) + 1 do. None: the text has shingles in too few parts under this seed.
+
+def shingle_hashes(text: bytes | None, shingle: int, seed: int) -> np.ndarray:
+    return np.frombuffer(b"".join([xxhash.xxh3_64_digest(s, seed) for s in shingle_set(text, shingle)]), np.uint64)
+
+
+def signatures(text: bytes | None, similarity: float, shingle: int = 5, seed: int = 42, rarity: np.ndarray | None = None) -> np.ndarray:
+    """Numbers (uint64) of which two texts whose sets of shingles have this Jaccard similarity share one.
+
+    Of s shingles in an order that is the same for all texts, similar ones share one of the first
+    s - ceil(similarity * s) + 1 of each. The order goes by rarity, a rank for each bucket of hashes, and then by hash,
+    so passages that many texts share come last. Whatever the ranks, no similar pair is lost.
     """
-    items = shingle_set(text, shingle)
-    size = len(items)
-    if not size:
-        return np.zeros(0, np.uint64)
-    hashes = np.frombuffer(b"".join([xxhash.xxh3_64_digest(s, seed) for s in items]), np.uint64)
-    own, out = math.ceil(math.log(size) / -math.log(similarity) - 1e-9), []
-    for level in (own, own + 1):
-        end = similarity**-level
-        single = end <= SINGLE
-        need = 1 + math.floor(size * (1 - similarity) / (1 if single else similarity) + 1e-9)
-        part = hashes if single else (hashes >> np.uint64(8)) % np.uint64(end / 2)
-        order = np.argsort(part)
-        part, mine = part[order], hashes[order]
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        if len(starts) < need:
-            return None
-        sums = np.add.reduceat(mine, starts)[:need]
-        out.append(sums * np.uint64(0x9E3779B97F4A7C15) + part[starts[:need]] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(level))
-    return np.concatenate(out)
-
-
-def _signed_documents(rows: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
-    """doc_id, sig of every signature; another seed is taken where a text has none under one."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if not len(hashes):
+        return hashes
+    need = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    rank = np.zeros(len(hashes), np.uint8) if rarity is None else rarity[hashes >> np.uint64(64 - RARITY_BITS)]
+    return hashes[np.lexsort((hashes, rank))[:need]]
+
+
+#: Bits of a parity sketch.
+PARITY = 1024
+
+
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """For each of PARITY places whether an odd number of shingles falls there: two sets differ in no more places than shingles."""
+    return np.packbits(np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
+def _sketched(rows: DataFrame, shingle: int, seed: int) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, n (shingles), odd (parity sketch); and a rank for each bucket of shingle hashes, greater for those that
+    more of the texts have: half steps of log2."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << RARITY_BITS, np.int64)
+        names = ["doc_id", "n", "odd", "bucket"]
+        for batch in batches:
+            sizes, odd = [], []
+            for t in _binary(batch.column("text")):
+                hashes = shingle_hashes(t.as_py(), shingle, seed)
+                np.add.at(total, hashes >> np.uint64(64 - RARITY_BITS), 1)
+                sizes.append(len(hashes))
+                odd.append(parity_sketch(hashes))
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(odd, pa.binary()), pa.nulls(len(odd), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(total[some]), pa.nulls(len(some), pa.binary()), pa.array(some)], names=names)
+
+    both = written(rows.mapInArrow(sketch, "doc_id long, n long, odd binary, bucket long"), "sketches")
+    table = np.zeros(1 << RARITY_BITS, np.int64)
+    for row in both.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most 2^RARITY_BITS rows
+        table[row["bucket"]] = row["n"]
+    return both.where("bucket IS NULL").drop("bucket"), (2 * np.log2(1 + table)).astype(np.uint8)
+
+
+def _may_be_similar(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose numbers of shingles and parity sketches allow the similarity; no similar one is dropped."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("u_n", "v_n"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for c in ("u_odd", "v_odd"))
+            good = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
+            good &= np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good))
+
+    side = lambda name: sketches.select(F.col("doc_id").alias(name), F.col("n").alias(f"{name}_n"), F.col("odd").alias(f"{name}_odd"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(sift, "u long, v long")
+
+
+def _signed_documents(rows: DataFrame, similarity: float, shingle: int, seed: int, rarity: np.ndarray) -> DataFrame:
+    """doc_id, sig of every signature."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                texts = batch.column("text").cast(pa.large_binary() if pa.types.is_large_string(batch.column("text").type) else pa.binary())
-                found = [signatures(t.as_py(), similarity, shingle, use) for t in texts]
-                many = np.array([1 if f is None else len(f) for f in found])
-                sigs = np.concatenate([np.zeros(1, np.uint64) if f is None else f for f in found]).view(np.int64)
-                none = np.repeat(np.array([f is None for f in found]), many)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.repeat(np.arange(batch.num_rows), many))), pa.array(sigs, mask=none)], names=["doc_id", "sig"])
+                found = [signatures(t.as_py(), similarity, shingle, seed, rarity) for t in _binary(batch.column("text"))]
+                who = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(who)), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "sig"])
 
-    for use in range(seed, seed + 20):
-        signed = written(rows.mapInArrow(sign, "doc_id long, sig long"), "signatures", "zstd")
-        if signed.where("sig IS NULL").isEmpty():
-            return signed
-        remove(rows.sparkSession, signed)
-    raise ValueError("a text has too few parts with shingles under 20 seeds")
+    return written(rows.mapInArrow(sign, "doc_id long, sig long"), "signatures", "zstd")
 
 
 def missed_links(rows: DataFrame, known: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
     """u, v (component_ids): links of this similarity between documents that `known` (doc_id, same, component_id) has apart; none is missed.
 
-    rows: doc_id, text. Documents that share a signature and not a component are compared; of copies (equal in `same`) one is.
+    rows: doc_id, text. Documents that share a signature and not a component are compared, first by size and
+    parity sketch; of copies (equal in `same`) one is.
     """
     spark = rows.sparkSession
-    signed = _signed_documents(rows, similarity, shingle, seed)
+    sketches, rarity = _sketched(rows, shingle, seed)
+    signed = _signed_documents(rows, similarity, shingle, seed, rarity)
     shared = signed.groupBy("sig").count().where("count > 1").drop("count")
     met = written(signed.join(shared, "sig", "left_semi").join(known, "doc_id"), "met", "zstd")
     remove(spark, signed)
@@ -408,10 +443,12 @@ def missed_links(rows: DataFrame, known: DataFrame, similarity: float, shingle:
     few = written(few.select("sig", "doc_id", F.col("component_id").alias("c")), "mixed", "zstd")
     pairs = few.alias("a").join(few.alias("b"), F.col("a.sig") == F.col("b.sig")).where("a.c < b.c")
     pairs = written(pairs.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct(), "missed")
-    checked = verified(pairs, rows, similarity, shingle)
+    sifted = written(_may_be_similar(pairs, sketches, similarity), "sifted")
+    remove(spark, pairs, sketches)
+    checked = verified(sifted, rows, similarity, shingle)
     name = lambda c: known.select(F.col("doc_id").alias(c), F.col("component_id").alias(f"c{c}"))
     links = written(checked.join(name("u"), "u").join(name("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "missed-links")
-    remove(spark, met, few, pairs, checked)
+    remove(spark, met, few, sifted, checked)
     return links
 
 
@@ -432,7 +469,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary() if pa.types.is_large_string(batch.column("text").type) else pa.binary())
+            texts = _binary(batch.column("text"))
             found = pa.array((wide_fingerprint(t.as_py(), shingle, seed) for t in texts), pa.binary(), size=len(texts))
             same = pa.array((xxhash.xxh3_128_digest(b" ".join((t.as_py() or b"").lower().split())) for t in texts), pa.binary(), size=len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found, same], names=["doc_id", "fp", "same"])
