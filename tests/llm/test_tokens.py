@@ -190,3 +190,19 @@ def test_many_lines_without_blanks(name):
     assert list(array("I", own.batch(pa.array([text.encode()], pa.binary()))[0])) == sentencepiece.SentencePieceProcessor(model_file=path).encode(text)
     for cache in (blanks.first, blanks.rest, own.after, own.bare):
         assert sum(map(len, cache)) <= len(text)
+
+
+def test_frequent_chunks_outlive_a_full_cache(monkeypatch):
+    """A cache that is full keeps what the last texts had; a chunk of every text is encoded once, not once for each time it fills."""
+    monkeypatch.setattr(tokens, "GENERATION", 50)
+    path = tokenizer_path("byte_bpe_50k.json")
+    library, blanks, seen = tokens.Tokenizer.from_file(path), tokens.BlankEncoder(path, "I"), []
+    whole = blanks.rest.model
+    blanks.rest.model = lambda word: seen.append(word) or whole(word)
+    texts = [f"so common\nwords, {k}: " + " ".join(f"common q{chr(97 + i)}{chr(97 + k)}" for i in range(26)) for k in range(20)]
+    for t in texts:
+        assert blanks.batch(pa.array([t.encode()], pa.binary())) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+        assert len(blanks.rest) + len(blanks.rest.older) < 250
+    assert seen.count("Ġcommon") == 1
+    blanks.release()
+    assert not blanks.rest and not blanks.rest.older

@@ -122,7 +122,7 @@ class TokenStore:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[bytes] = set()
-            for keys, found in encoded(batches, encoder(BlankEncoder, tokenizer, code)):
+            for keys, found in encoded(batches, encoder(BlankEncoder, tokenizer, code), keep=True):
                 names, sizes, names_at, new, new_at = [], [], [0], [], [0]
                 streams = [ids + end for ids in found]
                 for ids, stops in zip(streams, cuts([np.frombuffer(x, dtype) for x in streams], least, mask, most), strict=True):

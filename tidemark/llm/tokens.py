@@ -19,6 +19,9 @@ from tokenizers import Tokenizer
 #: Chunks that a task keeps, about 40 MB; a full cache is emptied, which costs time but changes nothing.
 CACHE_ENTRIES = 200_000
 
+#: Chunks after which a byte-level encoder begins a new generation of its cache; with the one before some 150 MB.
+GENERATION = 450_000
+
 #: Longest chunk of several lines that is kept whole; of a longer one only the lines are.
 KEPT_BYTES = 200
 
@@ -43,9 +46,17 @@ class _Chunks(dict):
     def __init__(self, tokenizer: Tokenizer, code: str, before: str = "") -> None:
         self.encode, self.model, self.code, self.before = tokenizer.encode, tokenizer.model.tokenize, code, before
         self.shown, self.marks = before.translate(_SHOWN_AS), {}
+        self.older: dict[bytes, bytes] = {}
+
+    def aged(self) -> None:
+        """Begins a new generation: what is looked up again moves to it, what is not goes with the next one."""
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if chunk.isalpha():
+        if chunk in self.older:
+            ids = self.older[chunk]
+        elif chunk.isalpha():
             ids = array(self.code, [t.id for t in self.model(self.shown + chunk.decode())]).tobytes()
         else:
             ids = self.fresh(chunk)
@@ -94,6 +105,7 @@ class _Encoder:
         """Drops what the task has cached: a worker that waits for another task holds the tokenizer alone."""
         for cache in self.caches():
             cache.clear()
+            cache.older = {}
         pa.default_memory_pool().release_unused()
 
     def batch(self, texts: pa.Array) -> list[bytes]:
@@ -138,7 +150,7 @@ class _Blanks(_Chunks):
     plain: _Chunks
 
     def __missing__(self, chunk: bytes) -> bytes:
-        head, *lines = _SURE_BREAK.split(chunk) if b"\n" in chunk else (chunk,)
+        head, *lines = _SURE_BREAK.split(chunk) if b"\n" in chunk and chunk not in self.older else (chunk,)
         if not lines:
             return super().__missing__(chunk)
         ids = self.raw(b"\n").join([self[head], *map(self.plain.__getitem__, lines)])
@@ -167,8 +179,9 @@ class BlankEncoder(_Encoder):
         return np.flatnonzero(bad.to_numpy(zero_copy_only=False)).tolist()
 
     def regular(self, texts: pa.Array) -> list[bytes]:
-        if len(self.first) + len(self.rest) > CACHE_ENTRIES:
-            self.release()
+        if len(self.first) + len(self.rest) > GENERATION:
+            for cache in self.caches():
+                cache.aged()
         parts = pc.split_pattern(texts, b" ")
         flat, offsets = parts.flatten(), parts.offsets.to_numpy()
         pieces = flat.dictionary_encode()
@@ -210,10 +223,10 @@ def encoder(kind: type[_Encoder], path: str, code: str = "I") -> _Encoder:
     return _ENCODERS[kind, path, code]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], encode: _Encoder, most: int = 1 << 23) -> Iterator[tuple[list, list[bytes]]]:
+def encoded(batches: Iterator[pa.RecordBatch], encode: _Encoder, most: int = 1 << 23, keep: bool = False) -> Iterator[tuple[list, list[bytes]]]:
     """doc_id and ids of each row, rows of about `most` bytes at a time; null texts count as empty.
 
-    Batches: doc_id, text. The encoder's cache goes when the task ends, in whatever way.
+    Batches: doc_id, text. The encoder's cache goes when the task ends, in whatever way, unless the worker is to keep it.
     """
     try:
         for batch in batches:
@@ -225,4 +238,5 @@ def encoded(batches: Iterator[pa.RecordBatch], encode: _Encoder, most: int = 1 <
                 part = texts.slice(i, j - i).cast(pa.binary())
                 yield batch.column(0).slice(i, j - i).to_pylist(), encode.batch(pc.fill_null(part, b""))
     finally:
-        encode.release()
+        if not keep:
+            encode.release()
