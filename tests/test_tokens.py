@@ -263,3 +263,25 @@ def test_example_sequences(spark):
             assert all(p[0] == m("<bos>") for p in parts) and parts[-1][-1] == m("<eos>")
         else:
             assert [x for p in parts for x in p[1:]] == by_id[ids_of[0]][1:]
+
+
+def test_frequent_pieces_outlive_a_full_cache(monkeypatch):
+    """What the last texts had is not encoded anew when the cache of pieces is full, and words that go to the model alone have the library's ids."""
+    from tidemark.functions import tokens
+
+    monkeypatch.setattr(tokens, "KEPT", 40)
+    library = tokens._Library(codec().path)
+    whole, seen = library.tokenizer, []
+
+    class Counted:
+        model = whole.model
+
+        def encode_batch(self, texts, **how):
+            seen.extend(texts)
+            return whole.encode_batch(texts, **how)
+
+    library.tokenizer = Counted()
+    for k in range(20):
+        text = "start it's (so) " + " ".join(f"(so) q{chr(97 + i)}{chr(97 + k)} été{k} x{i}" for i in range(26))
+        assert library.encode([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert seen.count(" (so)") == 1 and not any(x[1:].isalpha() and x.isascii() for x in seen if x[0] == " ")
