@@ -190,3 +190,17 @@ def test_entry_works_without_the_llm_package(spark, data, tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'corpus_index' in q and not any(n.startswith('op') for n in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True, timeout=60)
+
+
+def test_foundation_gate_looks_for_each_pattern_once(spark):
+    """Counts are worked out once a text, not again in each condition and for score, verdict and reasons."""
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import text
+
+    rows = spark.createDataFrame([("An ordinary text of some words, long enough to be looked at in whole, as it has a stop.",)], "t string")
+    column = text.foundation_quality(F.col("t"))
+    plan = rows.select(column.alias("x"))._jdf.queryExecution().optimizedPlan()
+    shown = str(plan.expressions().mkString("|"))
+    assert shown.count("mathrm") == 1 and shown.count("www") == 1
+    assert rows.select(column["accepted"].alias("a")).first().a

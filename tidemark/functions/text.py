@@ -192,7 +192,8 @@ def quality(text: Column, least: int = 25, most: int = 100_000, pass_score: floa
         words = F.transform(F.regexp_extract_all(content, F.lit("([A-Za-z0-9]+)")), F.lower)
         lines = F.filter(F.transform(F.split(content, LINE_ENDS), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
         parts = F.struct(words.alias("words"), lines.alias("lines"), F.lower(content).alias("lower"))
-        return let(let(parts, lambda p: _faults(content, p["words"], p["lines"], p["lower"], limits)), summed)
+        faults = lambda p: let(F.size(F.array_distinct(p["words"])), lambda different: _faults(content, p["words"], different, p["lines"], p["lower"], limits))
+        return let(let(parts, faults), summed)
 
     return (
         F.when(F.length(text) < least, reject("too_short"))
@@ -209,12 +210,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _faults(content: Column, words: Column, lines: Column, lower: Column, limits: tuple[float, ...]) -> Column:
-    """Faults of a text as array of (bad, reason, cost). Counts of the most frequent item wait for enough repeats."""
+def _faults(content: Column, words: Column, different: Column, lines: Column, lower: Column, limits: tuple[float, ...]) -> Column:
+    """Faults of a text as array of (bad, reason, cost); different: its different words. Counts of the most frequent item wait for enough repeats."""
     size = F.greatest(F.length(content), F.lit(1))
     hidden = F.length(content) - F.length(F.regexp_replace(content, r"[\p{Cc}\p{Cf}\p{Co}\p{Zl}\p{Zp}\p{Zs}&&[^ \n\t]]+", ""))
     letters = F.length(F.regexp_replace(content, r"[^\p{L}\p{N}]+", ""))
-    count, different = F.size(words), F.size(F.array_distinct(words))
+    count = F.size(words)
     printable, alnum, repeated, diverse, tags = limits
     # Names and costs of the faults, least counts, the patterns of boilerplate.
     often = (count >= 40) & (different - 1 <= (1 - repeated) * count)
@@ -247,22 +248,28 @@ def foundation_quality(text: Column, pass_score: float = 0.70) -> Column:
         count = F.greatest(F.size(words), F.lit(1))
         length = lambda pattern: F.length(F.regexp_replace(content, pattern, ""))
         hits = lambda pattern: F.regexp_count(content, F.lit(pattern))
-        many = lambda n, share: (n >= 3) | (n / count > share)
-        letters, links = length(r"[^\p{L}]+"), hits(LINK) + hits(MAIL)
-        # Names, bounds and costs of the faults.
-        faults = [
-            ((letters > 0) & (length("[^A-Za-z]+") / F.greatest(letters, F.lit(1)) < 0.90), "non_english_script_density", 0.45),
-            (many(links, 0.025), "link_or_identifier_heavy", 0.45),
-            (many(hits(CODE), 0.03), "code_or_markup_heavy", 0.50),
-            (many(hits(NOTATION), 0.025), "math_notation_heavy", 0.50),
-            ((F.size(words) >= 30) & (hits("[.!?]") == 0), "no_sentence_boundaries", 0.35),
-            (F.size(F.filter(words, lambda w: w.rlike("^[0-9]+$"))) / count > 0.16, "numeric_heavy", 0.40),
-        ]
-        found = F.filter(F.array(*[F.struct(c.alias("bad"), F.lit(r).alias("reason"), F.lit(x).alias("cost")) for c, r, x in faults]), lambda x: x["bad"])
-        short = F.size(words) < 8
-        score = F.when(short, 0.0).otherwise(F.greatest(F.lit(0.0), F.aggregate(found, base["score"], lambda a, x: a - x["cost"])))
-        reasons = F.when(short, F.array(F.lit("too_few_words_for_foundation"))).otherwise(F.transform(found, lambda x: x["reason"]))
-        verdict = F.struct((score >= pass_score - 1e-9).alias("accepted"), F.bround(score, 4).alias("score"), F.concat(base["reasons"], reasons).alias("reasons"))
+        counts = {"letters": length(r"[^\p{L}]+"), "latin": length("[^A-Za-z]+"), "links": hits(LINK) + hits(MAIL), "code": hits(CODE), "notation": hits(NOTATION), "stops": hits("[.!?]")}
+
+        def faulty(n: Column) -> Column:
+            many = lambda name, share: (n[name] >= 3) | (n[name] / count > share)
+            # Names, bounds and costs of the faults.
+            faults = [
+                ((n["letters"] > 0) & (n["latin"] / F.greatest(n["letters"], F.lit(1)) < 0.90), "non_english_script_density", 0.45),
+                (many("links", 0.025), "link_or_identifier_heavy", 0.45),
+                (many("code", 0.03), "code_or_markup_heavy", 0.50),
+                (many("notation", 0.025), "math_notation_heavy", 0.50),
+                ((F.size(words) >= 30) & (n["stops"] == 0), "no_sentence_boundaries", 0.35),
+                (F.size(F.filter(words, lambda w: w.rlike("^[0-9]+$"))) / count > 0.16, "numeric_heavy", 0.40),
+            ]
+            return F.filter(F.array(*[F.struct(c.alias("bad"), F.lit(r).alias("reason"), F.lit(x).alias("cost")) for c, r, x in faults]), lambda x: x["bad"])
+
+        def told(found: Column) -> Column:
+            short = F.size(words) < 8
+            score = F.when(short, 0.0).otherwise(F.greatest(F.lit(0.0), F.aggregate(found, base["score"], lambda a, x: a - x["cost"])))
+            reasons = F.when(short, F.array(F.lit("too_few_words_for_foundation"))).otherwise(F.transform(found, lambda x: x["reason"]))
+            return F.struct((score >= pass_score - 1e-9).alias("accepted"), F.bround(score, 4).alias("score"), F.concat(base["reasons"], reasons).alias("reasons"))
+
+        verdict = let(let(F.struct(*[c.alias(name) for name, c in counts.items()]), faulty), told)
         return F.when(base["accepted"], verdict).otherwise(base)
 
     content = F.regexp_replace(text, ANY_MARK, " ")
