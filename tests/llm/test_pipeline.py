@@ -154,6 +154,19 @@ def test_sketches_and_ranks_lose_no_similar_pair():
         assert len(np.intersect1d(*(simhash.signatures(t.encode(), 0.8, rarity=ranks) for t in (a, b))))
 
 
+def test_sketches_part_long_texts(spark):
+    """Long texts that are not alike go by their sketches; similar ones stay, also where their sketches differ in length."""
+    rng = random.Random(14)
+    plain = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    texts = [plain(n) for n in (1000, 4000, 4000, 4200, 9000, 9500)]
+    near = [f"{t} {plain(k)}" for t, k in zip(texts, (100, 200, 300, 600, 1000, 100), strict=True)]
+    rows = table(spark, [*texts, *near]).select("doc_id", "text")
+    sketches, _ = simhash._sketched(rows, 5, 42)
+    pairs = spark.createDataFrame([(u, v) for u in range(12) for v in range(u)], "u long, v long")
+    got = {(r.u, r.v) for r in simhash._may_be_similar(pairs, sketches, 0.8).collect()}
+    assert got == {(u + 6, u) for u in range(6)}
+
+
 def test_texts_that_share_a_passage_are_not_all_compared(spark, monkeypatch):
     """120 different texts with one long passage in common are no 7,140 checks of texts."""
     rng, checks, whole = random.Random(12), [], simhash.verified

@@ -362,13 +362,30 @@ def signatures(text: bytes | None, similarity: float, shingle: int = 5, seed: in
     return hashes[np.lexsort((hashes, rank))[:need]]
 
 
-#: Bits of a parity sketch.
+#: Least bits of a parity sketch.
 PARITY = 1024
 
 
-def parity_sketch(hashes: np.ndarray) -> bytes:
-    """For each of PARITY places whether an odd number of shingles falls there: two sets differ in no more places than shingles."""
-    return np.packbits(np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+def parity_sketch(hashes: np.ndarray, places: int = PARITY) -> bytes:
+    """For each place whether an odd number of shingles falls there: two sets differ in no more places than shingles."""
+    return np.packbits(np.bincount((hashes % np.uint64(places)).astype(np.int64), minlength=places) & 1).tobytes()
+
+
+def _places(shingles: int) -> int:
+    """Bits of a text's sketch, a power of two that is no less than its shingles: in fewer, the sketches of all long texts look alike."""
+    return max(PARITY, 1 << (max(1, shingles) - 1).bit_length())
+
+
+def sketches_differ(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many places the parity sketches of each pair differ; the longer one is folded to the length of the other."""
+    size = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    out = np.zeros(len(size), np.int64)
+    fold = lambda x, n: x if len(x) == n else np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, n)).tobytes()
+    for n in np.unique(size).tolist():
+        at = np.flatnonzero(size == n)
+        x, y = (np.frombuffer(b"".join([fold(side[k], n) for k in at]), np.uint64).reshape(len(at), -1) for side in (a, b))
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _sketched(rows: DataFrame, shingle: int, seed: int) -> tuple[DataFrame, np.ndarray]:
@@ -384,7 +401,7 @@ def _sketched(rows: DataFrame, shingle: int, seed: int) -> tuple[DataFrame, np.n
                 hashes = shingle_hashes(t.as_py(), shingle, seed)
                 np.add.at(total, hashes >> np.uint64(64 - RARITY_BITS), 1)
                 sizes.append(len(hashes))
-                odd.append(parity_sketch(hashes))
+                odd.append(parity_sketch(hashes, _places(len(hashes))))
             columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(odd, pa.binary()), pa.nulls(len(odd), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
         some = np.flatnonzero(total)
@@ -403,9 +420,10 @@ def _may_be_similar(pairs: DataFrame, sketches: DataFrame, similarity: float) ->
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(c).to_numpy() for c in ("u_n", "v_n"))
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for c in ("u_odd", "v_odd"))
-            good = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
-            good &= np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6
+            batch = batch.filter(pa.array(np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6))
+            n, m = (batch.column(c).to_numpy() for c in ("u_n", "v_n"))
+            differ = sketches_differ(*[batch.column(c).to_pylist() for c in ("u_odd", "v_odd")])
+            good = differ <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good))
 
     side = lambda name: sketches.select(F.col("doc_id").alias(name), F.col("n").alias(f"{name}_n"), F.col("odd").alias(f"{name}_odd"))
