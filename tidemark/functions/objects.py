@@ -29,7 +29,8 @@ def python_to_json(text: Column) -> Column:
 
     def told(token: Column) -> Column:
         inner = token.substr(F.lit(2), F.length(token) - 2)
-        inner = F.regexp_replace(F.replace(inner, F.lit('"'), F.lit(_TWO)), r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
+        bytes_told = lambda x: F.when(x.contains("\\x"), F.regexp_replace(x, r"\\x([0-9a-fA-F]{2})", r"\\u00$1")).otherwise(x)
+        inner = let(F.replace(inner, F.lit('"'), F.lit(_TWO)), bytes_told)
         inner = F.replace(F.replace(F.replace(inner, F.lit(_ONE), F.lit("'")), F.lit(_TWO), F.lit('\\"')), F.lit(_SLASH), F.lit("\\\\"))
         bare = F.translate(token, "()", "[]")
         for python, json in (("True", "true"), ("False", "false"), ("None", "null")):
@@ -47,9 +48,8 @@ def python_to_json(text: Column) -> Column:
 
 def embedded(text: Column) -> Column:
     """The JSON or Python value that a text is, as VARIANT; null if it is neither."""
-    text = R.trimmed(text)
-    literal = F.when(text.rlike(r"^[\[{(]"), _parsed(python_to_json(text)))
-    return F.coalesce(F.when(text != "", _parsed(text)), literal)
+    literal = lambda t: F.when(F.substring(t, 1, 1).isin("[", "{", "("), _parsed(python_to_json(t)))
+    return let(R.trimmed(text), lambda t: F.coalesce(F.when(t != "", _parsed(t)), literal(t)))
 
 
 def _parsed(json: Column) -> Column:
@@ -60,8 +60,8 @@ def _parsed(json: Column) -> Column:
 
 def record(value: Column) -> Column:
     """What an object says under the known names, as a struct; null if it is no object."""
-    parts = [F.try_variant_get(value, f"$.{n}", t).alias(n) for n, t in SHAPE.items()]
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), F.struct(*parts))
+    parts = lambda v: F.struct(*[F.try_variant_get(v, f"$.{n}", t).alias(n) for n, t in SHAPE.items()])
+    return let(value, lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), parts(v)))
 
 
 def chat_lines(text: Column) -> Column:
@@ -69,14 +69,13 @@ def chat_lines(text: Column) -> Column:
     none = F.array().cast("array<struct<role:string,text:string>>")
     lines = F.filter(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: R.trimmed(x) != "")
 
-    def turn(line: Column) -> Column:
-        value = embedded(line)
+    def turn(value: Column) -> Column:
         part = lambda n: F.try_variant_get(value, f"$.{n}", "string")
         has = lambda n: F.schema_of_variant(value).rlike(rf"^OBJECT<(?:.*, )?{n}: ")
         return F.when(has("role") & has("content"), R.message(F.coalesce(part("role"), F.lit("")), F.coalesce(part("content"), F.lit(""))))
 
     whole = lambda found: F.when(F.forall(found, lambda m: m.isNotNull()), found).otherwise(none)
-    return F.when(R.trimmed(F.coalesce(text, F.lit(""))) == "", none).otherwise(let(F.transform(lines, turn), whole))
+    return F.when(R.trimmed(F.coalesce(text, F.lit(""))) == "", none).otherwise(let(F.transform(lines, lambda line: let(embedded(line), turn)), whole))
 
 
 def record_messages(types: dict[str, str], fields: dict[str, list[str]]) -> Column:
