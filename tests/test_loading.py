@@ -88,3 +88,20 @@ def test_load_all(spark, tmp_path):
     assert files.load_all(spark, f"{tmp_path}/none").collect() == []
     (tmp_path / "empty").mkdir()
     assert files.load_all(spark, f"{tmp_path}/empty").collect() == []
+
+
+def test_texts_of_records_are_worked_out_once(spark):
+    """The length is not looked at in a filter that holds the whole expression a second time."""
+    rows = spark.createDataFrame([(1, "Human: a question\n### Response: ", "an answer that is long enough"), (2, "", "no")], "at int, question string, answer string")
+    found = files.record_texts(rows)
+    assert [(r.at, r.text) for r in found.collect()] == [(1, "<bos>\n<user>\na question\n</user>\n<assistant>\nan answer that is long enough\n</assistant>\n<eos>")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("&lt;think&gt;") == 1
+
+
+def test_objects_are_parsed_once(spark):
+    """Every name of a record is read from one parsed value, also where it is a Python literal."""
+    rows = spark.createDataFrame([("{'instruction': 'a \\x41', 'output': 'b'}",), ('{"prompt": "p", "response": "r"}',), ("no object",), (None,)], "t string")
+    found = rows.select(O.record(O.embedded(F.col("t"))).alias("r"))
+    assert [r.r and tuple(r.r[n] for n in ("instruction", "output", "prompt", "response")) for r in found.collect()] == [("a A", "b", None, None), (None, None, "p", "r"), None, None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") <= 2

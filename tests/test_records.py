@@ -1,9 +1,12 @@
 """Corner cases of records, chats and sequences that the tables do not hold."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import records as R
+from tidemark.functions import text as X
 from tidemark.operators import joins, sequences
 
 
@@ -81,3 +84,19 @@ def test_nearest_gap_of_many_prices(spark):
     for x in range(80):
         p = x / 2
         assert got["a", p] == min(((m, abs(p - m)) for m in (2.0, 10.0, 29.0)), key=lambda y: (y[1], y[0]))
+
+
+@pytest.mark.parametrize("text", ["", " \t\r\n\x0b\x0c", " a \r\nb\r\rc ", "Human : user:\n x", "uSeR:AI: assistant", "human", "a>\n\n<b>\n\n<c", "x\x00y\n", "Below is an instruction that describes a task. Write a response that appropriately completes the request.\n\n### Instruction:\nx ### Response: ", "Human: q\nassistant : a\nAssistant: b", "ASSISTANT: only", "Systems: x"])
+def test_plain_forms_do_what_the_patterns_did(spark, text):
+    """Trimming, line ends, roles and frames by the patterns alone, in Python."""
+    blank = "[ \t\n\x0b\x0c\r]"
+    role = lambda t: re.sub(rf"(?i)^(?:{blank}*(?:Human|User|Assistant|AI|System){blank}*:{blank}*)+", "", t)
+    trim = lambda t: re.sub(rf"\A{blank}+|{blank}+\Z", "", t)
+    ends = lambda t: re.sub("\r\n?", "\n", t.replace("\x00", ""))
+    normal = lambda t: role(re.sub("(?<=>)\n\n(?=<)", "\n", trim(ends(t))))
+    clean = lambda t: trim(re.sub(R.FRAME_END.replace("$", r"\Z"), "", re.sub(R.FRAME, "", normal(t))))
+    got = spark.createDataFrame([(text,)], "t string").select(X.normalized(F.col("t"), True).alias("n"), R.clean_instruction(F.col("t")).alias("c"), R.split_legacy(F.col("t")).alias("s")).first()
+    assert (got.n, got.c) == (normal(text), clean(text))
+    said = re.sub(rf"(?i)^{blank}*(?:Human|User){blank}*:{blank}*", "", trim(re.sub("\r\n?", "\n", text)))
+    parts = [*re.split(rf"(?i)(?:^|\n){blank}*Assistant{blank}*:{blank}*", said, maxsplit=1), ""]
+    assert (got.s.user, got.s.assistant) == (clean(parts[0]), normal(parts[1]))

@@ -33,21 +33,21 @@ MATH = (
 )
 
 
-def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+trimmed = X.trimmed
 
 
 def clean_instruction(text: Column) -> Column:
     """An instruction without its frame and without a role before it."""
-    return trimmed(F.regexp_replace(F.regexp_replace(X.normalized(text, True), FRAME, ""), FRAME_END, ""))
+    framed = lambda t: t.contains("### ")
+    return trimmed(X.let(X.normalized(text, True), lambda t: F.when(framed(t), F.regexp_replace(F.regexp_replace(t, FRAME, ""), FRAME_END, "")).otherwise(t)))
 
 
 def split_legacy(text: Column) -> Column:
     """(user, assistant) of one string in which a line that begins with "Assistant:" starts the answer; no such line: no answer."""
-    text = trimmed(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"))
+    text = trimmed(X.one_line_end(F.coalesce(text, F.lit(""))))
     # The patterns of who speaks, here and in from_transcript.
-    text = F.regexp_replace(text, r"(?i)^\s*(?:Human|User)\s*:\s*", "")
-    parts = F.split(text, r"(?i)(?:^|\n)\s*Assistant\s*:\s*", 2)
+    text = X.without_head(text, r"(?i)^\s*(?:Human|User)\s*:\s*", "Human|User")
+    parts = X.let(text, lambda t: F.when(F.lower(t).contains("assistant"), F.split(t, r"(?i)(?:^|\n)\s*Assistant\s*:\s*", 2)).otherwise(F.array(t)))
     answer = lambda p: F.when(F.size(p) > 1, X.normalized(F.get(p, F.lit(1)), True)).otherwise("")
     return X.let(parts, lambda p: F.struct(clean_instruction(F.get(p, F.lit(0))).alias("user"), answer(p).alias("assistant")))
 
@@ -139,15 +139,13 @@ def record_messages(types: dict[str, str], fields: dict[str, list[str]], of: Cal
     found = tidied(F.concat(*parts))
     if not plain_text:
         return found
-    text = X.normalized(first("text"), True)
-    document = F.when(text != "", F.array(message(F.lit("document"), text))).otherwise(none)
+    document = X.let(X.normalized(first("text"), True), lambda t: F.when(t != "", F.array(message(F.lit("document"), t))).otherwise(none))
     return F.get(F.transform(F.array(found), lambda m: F.when(F.size(m) > 0, m).otherwise(document)), F.lit(0))
 
 
 def document_text(text: Column) -> Column:
     """A document as canonical text; a blank one gives ""."""
-    body = X.normalized(X.escaped(text))
-    return F.when(body == "", "").otherwise(F.concat(F.lit("<bos>\n"), body, F.lit("\n<eos>")))
+    return X.let(X.normalized(X.escaped(text)), lambda body: F.when(body == "", "").otherwise(F.concat(F.lit("<bos>\n"), body, F.lit("\n<eos>"))))
 
 
 def is_reasoning(text: Column) -> Column:

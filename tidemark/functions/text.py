@@ -86,14 +86,32 @@ def escaped(text: Column, allowed: tuple[str, ...] = ()) -> Column:
     return let(text, inert)
 
 
+#: What \\s is in a pattern.
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def trimmed(text: Column) -> Column:
+    """The text without white space around it, found from its ends and not by a pattern tried at each character."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def one_line_end(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
+def without_head(text: Column, pattern: str, names: str) -> Column:
+    """A text that begins with no white space without its head by the pattern, which is looked for only where a text begins with one of the names."""
+    return let(text, lambda t: F.when(F.substring(t, 1, 9).rlike(f"(?i)^(?:{names})"), F.regexp_replace(t, pattern, "")).otherwise(t))
+
+
 def normalized(text: Column, strip_role: bool = False) -> Column:
     """Line ends made one kind, marks on lines of their own, the parts between them trimmed; null gives ""."""
-    text = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\\x00", ""), "\r\n?", "\n")
+    text = one_line_end(F.replace(F.coalesce(text, F.lit("")), F.lit("\0"), F.lit("")))
     listed = "|".join(re.escape(m) for m in sorted(MARKS, key=len, reverse=True))
     text = let(text, lambda t: F.when(t.contains("<"), F.regexp_replace(t, rf"\s*({listed})\s*", "\n$1\n")).otherwise(t))
-    text = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), rf"(?<=>)\n\n(?=<)", "\n")
+    text = F.replace(trimmed(text), F.lit(">\n\n<"), F.lit(">\n<"))
     if strip_role:
-        text = F.regexp_replace(text, r"(?i)^(?:\s*(?:Human|User|Assistant|AI|System)\s*:\s*)+", "")
+        text = without_head(text, r"(?i)^(?:\s*(?:Human|User|Assistant|AI|System)\s*:\s*)+", "Human|User|Assistant|AI|System")
     return text
 
 

@@ -64,7 +64,9 @@ def record_texts(rows: DataFrame, longer_than: int = 20) -> DataFrame:
 
     types = {n: t for n, t in rows.dtypes if n != "at"}
     fields = {n: [f.name for f in rows.schema[n].dataType.elementType] for n, t in types.items() if t.startswith("array<struct")}
-    return rows.select("at", serialized(record_messages(types, fields)).alias("text")).where(F.length("text") > longer_than)
+    text = F.array(serialized(record_messages(types, fields)))
+    # a generator, as a filter would work the text out a second time
+    return rows.select("at", F.explode(F.filter(text, lambda t: F.length(t) > longer_than)).alias("text"))
 
 
 def load_all(spark: SparkSession, root: str, schema: str = RECORD, seed: int | None = None, most: int | None = None) -> DataFrame:
@@ -87,10 +89,11 @@ def load_all(spark: SparkSession, root: str, schema: str = RECORD, seed: int | N
     lines = _placed(_below(spark, root, "jsonl").text(root), 1, F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("x"))
     lines = lines.where("x._bad IS NULL").select("at", "x.*").drop("_bad")
     whole = _placed(_below(spark, root, "txt").text(root, wholetext=True), 2, "value")
-    parts = whole.select("at", F.posexplode(F.split("value", r"\n{2,}")).alias("part", "p"))
-    texts = parts.select(F.col("at").withField("row", F.col("part").cast("long")).alias("at"), document_text(F.col("p")).alias("text")).where(F.length("text") > 30)
+    parts = whole.select("at", F.posexplode(F.transform(F.split("value", r"\n{2,}"), document_text)).alias("part", "text"))
+    texts = parts.where(F.length("text") > 30).select(F.col("at").withField("row", F.col("part").cast("long")).alias("at"), "text")
     found = record_texts(json).unionByName(record_texts(lines)).unionByName(texts)
-    once = found.groupBy("text").agg(F.min("at").alias("at")).select("at", "text")
+    first = found.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min(F.struct("at", "text")).alias("x"))  # sorts by digest: texts begin alike
+    once = first.select("x.at", "x.text")
     if most is not None or seed is not None:
         once = once.orderBy(*([F.xxhash64("text", F.lit(seed))] if seed is not None else []), "at")
     return once if most is None else once.limit(max(0, most))
