@@ -4,12 +4,13 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.outcomes import settle
 from tidemark.operators import journal
-from tidemark.streaming.journal import ROCKS, journal_stream
+from tidemark.streaming.journal import ROCKS, _Follower, journal_stream
 
 T0 = dt.datetime(2024, 1, 1)
 DECISIONS = "decided timestamp_ntz, symbol string, side int, bid double, ask double, target double, limit double, worth double"
@@ -133,3 +134,61 @@ def test_stream_gives_the_batch_rows_once(spark, rocks, tmp_path):
     assert as_dict([r for r in got if r.status != "expired"]) == settled and sum(r.status != "expired" for r in got) == len(settled)
     expired = as_dict([r for r in got if r.status == "expired"])
     assert expired and all(want[k][0] == "pending" and want[k][1:3] == v[1:3] for k, v in expired.items())
+
+
+class Held:
+    """A state of any kind, with a count of what is written to it."""
+
+    def __init__(self):
+        self.value, self.writes = {}, 0
+
+    def exists(self):
+        return bool(self.value)
+
+    def get(self):
+        return iter(self.value["rows"]) if isinstance(self.value.get("rows"), list) else self.value["rows"]
+
+    def put(self, rows):
+        self.update(rows)
+
+    def update(self, rows):
+        self.value, self.writes = {"rows": rows}, self.writes + 1
+
+    def clear(self):
+        self.value = {}
+
+    def containsKey(self, name):
+        return name in self.value
+
+    def updateValue(self, name, value):
+        self.value[name], self.writes = value, self.writes + 1
+
+
+class Handle:
+    def __init__(self):
+        self.timers = []
+
+    def getListState(self, *_):
+        return Held()
+
+    getMapState = getValueState = getListState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_stream_state_holds_the_last_horizon_alone():
+    """Of many decisions in one batch those are written to the state that a repeat could still meet, not all; repeats give no row."""
+    decisions, quotes = some_rows(5, 600)
+    decisions, quotes = [d for d in decisions if d[1] == "a"], [q for q in quotes if q[0] == "a"]
+    asked = pd.DataFrame(decisions, columns=["ts", "symbol", "side", "bid", "ask", "target", "limit", "worth"]).assign(kind="decision")
+    given = pd.DataFrame(quotes, columns=["symbol", "ts", "ord", "bid", "ask"]).assign(kind="quote")
+    follower = _Follower(60)
+    follower.init(Handle())
+    rows = pd.concat([asked, given])
+    got = pd.concat(follower.handleInputRows(("a", 0), iter([rows]), None))
+    want = {k: v for k, v in plain(decisions, quotes, 60).items() if v[0] != "pending"}
+    assert as_dict(got.itertuples()) == want and len(got) == len(want)
+    end = quotes[-1][1] - dt.timedelta(seconds=60)
+    assert follower.known.writes == sum(d[0] >= end for d in decisions) > 0
+    assert not list(follower.handleInputRows(("a", 0), iter([rows]), None))
