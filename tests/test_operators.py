@@ -204,3 +204,12 @@ def test_foundation_gate_looks_for_each_pattern_once(spark):
     shown = str(plan.expressions().mkString("|"))
     assert shown.count("mathrm") == 1 and shown.count("www") == 1
     assert rows.select(column["accepted"].alias("a")).first().a
+
+
+def test_sound_texts_do_not_go_to_python(spark):
+    """Repair sends a Python function nulls for sound texts, as it is called for every row."""
+    rows = spark.createDataFrame([(1, "cafÃ©"), (2, "sound"), (3, None), (4, "")], "i int, t string")
+    found = rows.select("i", X.repaired(F.col("t")).alias("x"))
+    assert {r.i: r.x for r in found.collect()} == {1: "café", 2: "sound", 3: None, 4: ""}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_decoded_again(CASE WHEN" in plan

@@ -69,8 +69,11 @@ def _decoded_again(texts: pd.Series) -> pd.Series:
 
 
 def repaired(text: Column) -> Column:
-    """The text decoded once or twice more where that lowers its score; sound texts never leave the JVM."""
-    return F.when(mojibake_score(text) > 0, _decoded_again(text)).otherwise(text)
+    """The text decoded once or twice more where that lowers its score.
+
+    A Python function is called for all rows, whatever condition stands around it; so sound texts go to it as nulls.
+    """
+    return F.coalesce(_decoded_again(F.when(mojibake_score(text) > 0, text)), text)
 
 
 def escaped(text: Column, allowed: tuple[str, ...] = ()) -> Column:
