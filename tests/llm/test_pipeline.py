@@ -179,6 +179,34 @@ def test_texts_that_share_a_passage_are_not_all_compared(spark, monkeypatch):
     assert sum(checks) < 500
 
 
+def test_texts_of_few_shared_lines_are_no_pairs(spark, monkeypatch):
+    """Texts that share some rare lines with others, and are mostly their own, are not compared; similar ones are."""
+    rng, pairs, sift = random.Random(21), [], simhash._may_be_similar
+    plain = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    pool = [plain(40) for _ in range(300)]
+    texts = ["\n".join([plain(400), *rng.sample(pool, 3), plain(400)]) for _ in range(300)]
+    texts += [" ".join([plain(8), *t.split()[:60], plain(9)]) for t in texts[:3]] + [" ".join(t.split()[:60]) for t in texts[:3]]
+    monkeypatch.setattr(simhash, "_may_be_similar", lambda p, *a: pairs.append(p.count()) or sift(p, *a))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table(spark, texts)).collect()}
+    sets = [shingles(t) for t in texts]
+    want = classes(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+    assert got == dict(enumerate(want))
+    assert sum(pairs) < 20
+
+
+def test_only_texts_without_a_similar_one_are_left_out(spark):
+    """What counts of shingles leave out has no similar text, at the threshold either, nor in another component."""
+    texts = [t for pair in edge_pairs(22, [9, 14, 40, 100, 300], 60) for t in pair] + [None, "", "a b", "a b"]
+    rows = table(spark, texts).select("doc_id", "text")
+    sets = [shingles(t or "") for t in texts]
+    near = {i for i in range(len(sets)) for j in range(len(sets)) if i != j and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9}
+    assert near <= {r.node for r in simhash._not_alone(rows, 0.8, 5, 42).collect()}
+    known = spark.createDataFrame([(i, i) for i in range(len(texts))], "doc_id long, component_id long")
+    assert near <= {r.node for r in simhash._met_elsewhere(rows, known, 0.8, 5, 42).collect()}
+    known = spark.createDataFrame([(i, i // 2) for i in range(120)], "doc_id long, component_id long")
+    assert len(simhash._met_elsewhere(rows, known, 0.8, 5, 42).collect()) < 10
+
+
 def test_hot_shards_of_wide_fingerprints(spark):
     """Blocks of large shards, met in pairs, lose no pair."""
     rng = random.Random(6)

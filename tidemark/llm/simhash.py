@@ -444,13 +444,74 @@ def _signed_documents(rows: DataFrame, similarity: float, shingle: int, seed: in
     return written(rows.mapInArrow(sign, "doc_id long, sig long"), "signatures", "zstd")
 
 
+#: Part of all shingles, by their hash, that are counted for every text; texts that these don't show to be alone are looked at whole.
+COUNTED = 0.375
+
+
+def _listed(rows: DataFrame, similarity: float, shingle: int, seed: int, part: float = 1.0) -> DataFrame:
+    """doc_id, spare, sigs of every text: the hashes of its shingles, or of the given part of all shingles, and how many of its
+    shingles a similar text may lack at most."""
+    most = np.uint64(min((1 << 64) - 1, int(part * (1 << 64))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                hashes = [shingle_hashes(t.as_py(), shingle, seed) for t in _binary(batch.column("text"))]
+                spare = pa.array([len(h) - math.ceil(similarity * len(h) - 1e-9) for h in hashes], pa.int64())
+                hashes = [h[h <= most].view(np.int64) for h in hashes]
+                ends = pa.array(np.cumsum([0, *map(len, hashes)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), spare, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(hashes)))], names=["doc_id", "spare", "sigs"])
+
+    return written(rows.select("doc_id", "text").mapInArrow(run, "doc_id long, spare long, sigs array<long>"), "listed")
+
+
+def _those_listed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows whose doc_id is a node; up to SENT of these are broadcast."""
+    return rows.join(F.broadcast(nodes) if nodes.count() <= SENT else nodes, F.col("doc_id") == F.col("node"), "left_semi")
+
+
+def _not_alone(rows: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
+    """node: doc_ids of the texts that may be similar to another one.
+
+    A text that has more shingles to itself than a similar one may lack is alone. Shingles are counted exactly,
+    in one shuffle, so it doesn't matter how many texts share a passage.
+    """
+    listed = _listed(rows, similarity, shingle, seed, COUNTED)
+    seen = listed.select("doc_id", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
+    own = seen.where("n = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    texts = listed.groupBy("doc_id").agg(F.max("spare").alias("spare"), F.count(F.lit(1)).alias("rows"))  # several rows of one doc_id stay
+    found = texts.join(own, "doc_id", "left").where("rows > 1 OR own IS NULL OR own <= spare").select(F.col("doc_id").alias("node"))
+    found = written(found, "not-alone")
+    remove(rows.sparkSession, listed)
+    return found
+
+
+def _met_elsewhere(rows: DataFrame, known: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
+    """node: doc_ids of the texts of which other components' texts hold as many shingles as a similar text would."""
+    listed = _listed(rows, similarity, shingle, seed)
+    each = listed.join(known, "doc_id").select("doc_id", "component_id", F.explode("sigs").alias("sig"))
+    mixed = each.groupBy("sig").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a < b").select("sig")
+    shared = each.join(mixed, "sig", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    need = listed.groupBy("doc_id").agg(F.min(F.size("sigs") - F.col("spare")).alias("need"))
+    found = written(shared.join(need, "doc_id").where("shared >= need").select(F.col("doc_id").alias("node")), "met-elsewhere")
+    remove(rows.sparkSession, listed)
+    return found
+
+
 def missed_links(rows: DataFrame, known: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
     """u, v (component_ids): links of this similarity between documents that `known` (doc_id, same, component_id) has apart; none is missed.
 
-    rows: doc_id, text. Documents that share a signature and not a component are compared, first by size and
+    rows: doc_id, text. Texts that the counts of their shingles show to have no similar one in another component go first.
+    Of the others, documents that share a signature and not a component are compared, first by size and
     parity sketch; of copies (equal in `same`) one is.
     """
     spark = rows.sparkSession
+    some = _not_alone(rows, similarity, shingle, seed)
+    rows = _those_listed(rows, some)
+    left = _met_elsewhere(rows, known, similarity, shingle, seed)
+    rows = written(_those_listed(rows, left), "left-texts", "zstd")
+    remove(spark, some, left)
     sketches, rarity = _sketched(rows, shingle, seed)
     signed = _signed_documents(rows, similarity, shingle, seed, rarity)
     shared = signed.groupBy("sig").count().where("count > 1").drop("count")
@@ -466,7 +527,7 @@ def missed_links(rows: DataFrame, known: DataFrame, similarity: float, shingle:
     checked = verified(sifted, rows, similarity, shingle)
     name = lambda c: known.select(F.col("doc_id").alias(c), F.col("component_id").alias(f"c{c}"))
     links = written(checked.join(name("u"), "u").join(name("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "missed-links")
-    remove(spark, met, few, sifted, checked)
+    remove(spark, rows, met, few, sifted, checked)
     return links
 
 
