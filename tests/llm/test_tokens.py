@@ -173,6 +173,23 @@ def test_unigram_search_takes_the_best_sum():
         assert np.isclose(sum(model.score[i] for i in model.encode(text)), best[-1])
 
 
+def test_new_words_go_to_the_library_together():
+    """Words with marks, digits and letters of any kind take few calls, and their ids are those of the whole text."""
+    rng = random.Random(31)
+    odd = ["{}.", "{},\nAnd", "don't{}", "{}9", "ß{}é", "日本{}", "<|endoftext|>{}", "{}\n\n", "{}\t", "😀{}", "{}!!", "\u00a0{}", "\n{}", "{}" * 90]
+    texts = [" ".join(rng.choice(odd).replace("{}", f"w{rng.randrange(10**5)}") for _ in range(400)) for _ in range(20)]
+    path = tokenizer_path("byte_bpe_50k.json")
+    whole = tokens.Tokenizer.from_file(path)
+    made = tokens.BlankEncoder(path, "H")
+    calls, encode = [], made.rest.encode_fast
+    made.rest.encode_fast = lambda *a, **k: calls.append(1) or encode(*a, **k)
+    plain = [t.replace("\u00a0", "x").replace(" \n", " n") for t in texts]
+    for some in (plain, texts, plain):
+        got = made.batch(pa.array([t.encode() for t in some], pa.binary()))
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in some]
+    assert 0 < len(calls) <= 12
+
+
 LINES = {"words": "\n".join(f"word{i}" for i in range(5000)), "blank lines": "a" + "\n" * 5000 + "b", "after a blank": "x " + "y1,z.\n" * 5000}
 
 

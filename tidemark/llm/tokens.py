@@ -45,6 +45,7 @@ class _Chunks(dict):
 
     def __init__(self, tokenizer: Tokenizer, code: str, before: str = "") -> None:
         self.encode, self.model, self.code, self.before = tokenizer.encode, tokenizer.model.tokenize, code, before
+        self.encode_fast = tokenizer.encode_batch_fast
         self.shown, self.marks = before.translate(_SHOWN_AS), {}
         self.older: dict[bytes, bytes] = {}
 
@@ -148,6 +149,35 @@ class _Blanks(_Chunks):
     """Chunks after a blank, for byte-level BPE; a line break between two visible characters is always cut off."""
 
     plain: _Chunks
+    #: Bytes that each id stands for.
+    widths: np.ndarray
+
+    def many(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk, where a blank stands before all; those that are new go to the library together."""
+        older, model, shown, code = self.older, self.model, self.shown, self.code
+        new = [c for c in chunks if c not in self]
+        if older:
+            self.update([(c, older[c]) for c in new if c in older])
+            new = [c for c in new if c not in older]
+        plain = [c for c in new if c.isalpha()]
+        self.update(zip(plain, [array(code, [t.id for t in model(shown + c.decode())]).tobytes() for c in plain], strict=True))
+        joined = [c for c in new if not c.isalpha() and 0 < len(c) <= KEPT_BYTES and c[0] not in _MAYBE_FIRST]
+        for at in range(0, len(joined), 1000):
+            some = joined[at : at + 1000]
+            self.update(zip(some, self.together(some), strict=True))
+        return list(map(self.__getitem__, chunks))
+
+    def together(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of chunks that begin without white space: those of one text, cut after the bytes of each chunk."""
+        text = self.before + self.before.join([c.decode() for c in chunks])
+        ids = np.array(self.encode_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        stops, ends = np.cumsum(self.widths[ids]), np.cumsum([len(c) + len(self.before) for c in chunks])
+        at = np.searchsorted(stops, ends)
+        if not len(ids) or stops[-1] != ends[-1] or (stops[at] != ends).any():  # no such tokenizer
+            return [self[c] for c in chunks]
+        data, width = ids.astype(f"<u{array(self.code).itemsize}").tobytes(), array(self.code).itemsize
+        cut = [0, *((at + 1) * width).tolist()]
+        return [data[i:j] for i, j in zip(cut, cut[1:], strict=False)]
 
     def __missing__(self, chunk: bytes) -> bytes:
         head, *lines = _SURE_BREAK.split(chunk) if b"\n" in chunk and chunk not in self.older else (chunk,)
@@ -169,6 +199,11 @@ class BlankEncoder(_Encoder):
     def prepare(self, tokenizer: Tokenizer, code: str) -> None:
         self.first, self.rest = _Blanks(tokenizer, code), _Blanks(tokenizer, code, " ")
         self.first.plain = self.rest.plain = self.first
+        known = tokenizer.get_vocab(with_added_tokens=True)
+        added = {i: len(t.content.encode()) for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.rest.widths = np.zeros(max(known.values(), default=0) + 1, np.int64)
+        for shown, i in known.items():  # a character for each byte
+            self.rest.widths[i] = added.get(i, len(shown))
 
     def caches(self) -> list[_Chunks]:
         return [self.first, self.rest]
@@ -185,7 +220,7 @@ class BlankEncoder(_Encoder):
         parts = pc.split_pattern(texts, b" ")
         flat, offsets = parts.flatten(), parts.offsets.to_numpy()
         pieces = flat.dictionary_encode()
-        known = [self.rest[p] for p in pieces.dictionary.to_pylist()]
+        known = self.rest.many(pieces.dictionary.to_pylist())
         codes = pieces.indices.to_numpy().copy()
         heads = flat.take(pa.array(offsets[:-1])).to_pylist()
         codes[offsets[:-1]] = len(known) + np.arange(len(heads))
