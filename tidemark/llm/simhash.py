@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import boxed, remove, unboxed, written
@@ -430,20 +430,6 @@ def _may_be_similar(pairs: DataFrame, sketches: DataFrame, similarity: float) ->
     return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(sift, "u long, v long")
 
 
-def _signed_documents(rows: DataFrame, similarity: float, shingle: int, seed: int, rarity: np.ndarray) -> DataFrame:
-    """doc_id, sig of every signature."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                found = [signatures(t.as_py(), similarity, shingle, seed, rarity) for t in _binary(batch.column("text"))]
-                who = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(who)), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "sig"])
-
-    return written(rows.mapInArrow(sign, "doc_id long, sig long"), "signatures", "zstd")
-
-
 #: Part of all shingles, by their hash, that are counted for every text; texts that these don't show to be alone are looked at whole.
 COUNTED = 0.375
 
@@ -488,13 +474,18 @@ def _not_alone(rows: DataFrame, similarity: float, shingle: int, seed: int) -> D
 
 
 def _met_elsewhere(rows: DataFrame, known: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
-    """node: doc_ids of the texts of which other components' texts hold as many shingles as a similar text would."""
+    """doc_id, sig: signatures of the texts of which other components' texts hold as many shingles as a similar text would.
+
+    As in signatures(), in this order: first the shingles of one component alone, which no link between two can share and
+    which are not returned, then the others by the number of texts that have them, counted exactly.
+    """
     listed = _listed(rows, similarity, shingle, seed)
     each = listed.join(known, "doc_id").select("doc_id", "component_id", F.explode("sigs").alias("sig"))
-    mixed = each.groupBy("sig").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a < b").select("sig")
-    shared = each.join(mixed, "sig", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    mixed = each.groupBy("sig").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("sig", "n")
+    text = Window.partitionBy("doc_id")
+    shared = each.join(mixed, "sig").select("doc_id", "sig", F.row_number().over(text.orderBy("n", "sig")).alias("at"), F.count(F.lit(1)).over(text).alias("shared"))
     need = listed.groupBy("doc_id").agg(F.min(F.size("sigs") - F.col("spare")).alias("need"))
-    found = written(shared.join(need, "doc_id").where("shared >= need").select(F.col("doc_id").alias("node")), "met-elsewhere")
+    found = written(shared.join(need, "doc_id").where("at <= shared - need + 1").select("doc_id", "sig"), "signatures", "zstd")
     remove(rows.sparkSession, listed)
     return found
 
@@ -509,11 +500,11 @@ def missed_links(rows: DataFrame, known: DataFrame, similarity: float, shingle:
     spark = rows.sparkSession
     some = _not_alone(rows, similarity, shingle, seed)
     rows = _those_listed(rows, some)
-    left = _met_elsewhere(rows, known, similarity, shingle, seed)
+    signed = _met_elsewhere(rows, known, similarity, shingle, seed)
+    left = written(signed.select(F.col("doc_id").alias("node")).distinct(), "met-elsewhere")
     rows = written(_those_listed(rows, left), "left-texts", "zstd")
     remove(spark, some, left)
-    sketches, rarity = _sketched(rows, shingle, seed)
-    signed = _signed_documents(rows, similarity, shingle, seed, rarity)
+    sketches, _ = _sketched(rows, shingle, seed)
     shared = signed.groupBy("sig").count().where("count > 1").drop("count")
     met = written(signed.join(shared, "sig", "left_semi").join(known, "doc_id"), "met", "zstd")
     remove(spark, signed)
